@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .fingerprint import op10_fingerprint
+from .mix import op7_mix
 from .pii import op9_pii
+from .secrets import op8_secrets
 
-QUERIES = {"op9_pii": op9_pii}
+QUERIES = {"op7_mix": op7_mix, "op8_secrets": op8_secrets, "op9_pii": op9_pii, "op10_fingerprint": op10_fingerprint}
 ORACLES: dict[str, str] = {}
