@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .fingerprint import op10_fingerprint
 from .mix import op7_mix
+from .pack import op5_pack
 from .pii import op9_pii
 from .secrets import op8_secrets
+from .token_counts import op6_token_counts
 
-QUERIES = {"op7_mix": op7_mix, "op8_secrets": op8_secrets, "op9_pii": op9_pii, "op10_fingerprint": op10_fingerprint}
+QUERIES = {"op5_pack": op5_pack, "op6_token_counts": op6_token_counts, "op7_mix": op7_mix, "op8_secrets": op8_secrets, "op9_pii": op9_pii, "op10_fingerprint": op10_fingerprint}
 ORACLES: dict[str, str] = {}
