@@ -1,0 +1,33 @@
+"""Connected components of link tables, distributed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .base import saved
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``links(u, v)``: root is the smallest node reachable.
+
+    Alternating star steps: every node's larger neighbours, then its smaller ones, move to its smallest
+    neighbour, until the table holds still. Groups are never gathered: each step is a partial minimum and a join
+    of one short row per node. Rounds grow with the logarithm of the table. Each round is written to the shared
+    folder, so a lost executor repeats one round at most. Links to itself and repeated links are harmless.
+    """
+    edges = saved(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "links")
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = saved(small.select("e.u", "e.v").where("u > v").distinct(), "links")
+        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if now == before:
+            break
+        before = now
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
