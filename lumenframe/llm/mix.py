@@ -24,7 +24,7 @@ def _uniform(id_: Column, seed: int) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
-    """Targets per source by water filling: from (source, source_size), one row per source.
+    """Targets per source by water filling: from (source, source_size, any others), one row per source.
 
     Sources in code point order, null last, take ``weights`` in turn and share all words; none exceeds ``ceiling``
     times its size, and what it can't take the others share by weight. With sources ordered by limit over weight
@@ -41,7 +41,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling
         / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))),
     )
     s = s.withColumn("level", F.max(F.when(F.col("limit") > F.col("level") * F.col("weight"), F.col("level"))).over(everything))
-    return s.select("source", "source_size", F.least("limit", F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
+    return s.select(*sizes.columns, F.least("limit", F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
 def mix(
@@ -67,25 +67,24 @@ def mix(
         words(text_of(df, text_col)).alias("size"),
         _uniform(df[id_col], seed).alias("u"),
     ).withColumn("bin", F.floor(F.col("u") * BINS).cast("int"))
-    bins = saved(rows.groupBy("source", "bin").agg(F.sum("size").alias("words")), "mix-bins")
-    plan = source_targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, ceiling)
+    # At most BINS sums a source: the sample's edge is then found inside one row, without ordering documents.
+    sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
+    sums = saved(sums.groupBy("source").agg(F.sum("words").alias("source_size"), F.sort_array(F.collect_list(F.struct("bin", "words"))).alias("bins")), "mix-sources")
+    plan = source_targets(sums.select("source", "source_size", "bins"), weights, ceiling)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("whole", F.floor(ratio + 1e-12).cast("long"))
     plan = plan.withColumn("part", F.greatest(F.lit(0).cast("long"), F.round("target").cast("long") - F.col("whole") * F.col("source_size")))
-    upto = F.sum("words").over(W.partitionBy("source").orderBy("bin"))
-    edge = (
-        bins.select("source", "bin", (upto - F.col("words")).alias("before"), upto.alias("upto"))
-        .join(plan.select(F.col("source").alias("of"), "part"), F.col("source").eqNullSafe(F.col("of")))
-        .where((F.col("before") < F.col("part")) & (F.col("upto") >= F.col("part")))
-        .groupBy("source")
-        .agg(F.min("bin").alias("edge"), F.min("before").alias("before"))
-    )
-    plan = saved(
-        plan.join(edge.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").select(
-            F.col("source").alias("of"), "source_size", "target", "whole", "part", F.coalesce("edge", F.lit(-1)).alias("edge"), F.coalesce("before", F.lit(0)).cast("long").alias("before")
+    start = F.struct(F.lit(-1).alias("edge"), F.lit(0).cast("long").alias("before"), F.lit(False).alias("over"))
+    found = F.aggregate(
+        "bins",
+        start,
+        lambda a, x: F.when(a["over"] | (F.col("part") == 0), a).otherwise(
+            F.when(
+                a["before"] + x["words"] >= F.col("part"), F.struct(x["bin"].alias("edge"), a["before"].alias("before"), F.lit(True).alias("over"))
+            ).otherwise(F.struct(F.lit(-1).alias("edge"), (a["before"] + x["words"]).alias("before"), F.lit(False).alias("over")))
         ),
-        "mix-plan",
     )
+    plan = saved(plan.withColumn("found", found).select(F.col("source").alias("of"), "source_size", "target", "whole", "part", "found.edge", "found.before"), "mix-plan")
     planned = rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
     inside = planned.where(F.col("bin") != F.col("edge")).withColumn("sampled", F.when(F.col("bin") < F.col("edge"), F.col("size")).otherwise(0).cast("long"))
     odds = F.col("part") / F.greatest(F.lit(1).cast("long"), F.col("source_size") - F.col("part"))
