@@ -5,10 +5,11 @@ from __future__ import annotations
 from .fingerprint import op10_fingerprint
 from .mix import op7_mix
 from .near_text import op4_near_dedup
+from .near_vector import op2_near_vectors
 from .pack import op5_pack
 from .pii import op9_pii
 from .secrets import op8_secrets
 from .token_counts import op6_token_counts
 
-QUERIES = {"op4_near_dedup": op4_near_dedup, "op5_pack": op5_pack, "op6_token_counts": op6_token_counts, "op7_mix": op7_mix, "op8_secrets": op8_secrets, "op9_pii": op9_pii, "op10_fingerprint": op10_fingerprint}
+QUERIES = {"op2_near_vectors": op2_near_vectors, "op4_near_dedup": op4_near_dedup, "op5_pack": op5_pack, "op6_token_counts": op6_token_counts, "op7_mix": op7_mix, "op8_secrets": op8_secrets, "op9_pii": op9_pii, "op10_fingerprint": op10_fingerprint}
 ORACLES: dict[str, str] = {}
