@@ -1,13 +1,56 @@
-"""Corpus preparation in five stages, each written and read again before the next."""
+"""Corpus preparation in five stages, each written as Parquet and read again as the next one's documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from lumenframe.llm.base import saved
+from lumenframe.llm.language import UNKNOWN, identify, train
+from lumenframe.llm.mix import emit, mix
+from lumenframe.llm.near_text import near_duplicates
+from lumenframe.llm.pack import pack
+from lumenframe.llm.pii import redact
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Label every document with its language; those without any (no letter, or no text) go.
+
+    The field is fitted on the stage's own labelled rows. ``lang`` becomes the predicted language.
+    """
+    known = identify(docs.select(*COLUMNS), train(docs))
+    return known.where(F.col("lang_pred") != UNKNOWN).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of least id stays."""
+    kept = near_duplicates(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every confirmed span of personal data is replaced by its kind; all documents stay."""
+    return redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come to their target weights: documents are left out, kept, or repeated as rows."""
+    return emit(mix(docs.select(*COLUMNS))).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces placed into sequences of at most 2048 tokens."""
+    return pack(docs)
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("personal_data", personal_data), ("mixture", mixture), ("packing", packing)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

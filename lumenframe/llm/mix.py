@@ -110,7 +110,7 @@ def emit(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """
     rest = F.col("taken") - F.col("copies") * F.col("size")
     space = r"[\x20\x09-\x0D]"
-    head = F.regexp_extract(F.col(text_col), F.concat(F.lit(f"^(?:{space}*+{WORD}+){{"), rest.cast("string"), F.lit("}+")), F.lit(0))
+    head = F.call_function("regexp_extract", F.col(text_col), F.concat(F.lit(f"^(?:{space}*+{WORD}+){{"), rest.cast("string"), F.lit("}+")), F.lit(0))
     copies = mixed.where(F.col("taken") > 0).withColumn(
         "part", F.explode(F.concat(F.array_repeat(F.lit(False), F.col("copies").cast("int")), F.when(rest > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))))
     )
