@@ -93,6 +93,26 @@ def v_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def v_pix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations as pixels of known points seen by the cameras, with bounded errors."""
+    z = (50 + F.col("track") % 10).cast("double")
+    rows = v_obs(spark, sf_dir).select("track", "frame", F.col("u").alias("raw_u"), F.col("v").alias("raw_v")).join(F.broadcast(v_cam(spark, sf_dir)), "frame")  # at most 100 cameras
+    u = F.col("fx") * (F.col("track") % 37 - F.col("c0")) / z + F.col("cx") + (F.floor("raw_u") % 7 - 3)
+    v = F.col("fy") * (F.col("track") % 23 - F.col("c1")) / z + F.col("cy") + (F.floor("raw_v") % 5 - 2)
+    return rows.select("track", "frame", "fx", "fy", "cx", "cy", "c0", "c1", "c2", "w", "h", u.alias("u"), v.alias("v"), z.alias("d"))
+
+
+def v_land(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("track"))
+    return tracks.select("track", (F.col("track") % 37 + F.col("track") % 4 * F.lit(0.1)).alias("x"), (F.col("track") % 23).cast("double").alias("y"), (50 + F.col("track") % 10).cast("double").alias("z"))
+
+
+def v_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth pixels: one median depth per frame and raster cell, by cameras on a line."""
+    rows = v_depth(spark, sf_dir).select("frame", (F.col("part") % 64).alias("x"), (F.floor(F.col("part") / 64) % 48).alias("y"), "raw")
+    return rows.groupBy("frame", "x", "y").agg((10 + F.percentile("raw", 0.5) / 25).alias("depth"), F.round(F.avg("raw") / 50, 6).alias("grey")).withColumn("c0", F.col("frame") * F.lit(0.05))
+
+
 #: The same views as DuckDB SQL.
 VIEWS_SQL = {
     "v_frames": "SELECT event_id AS candidate, event_id AS source_frame, epoch_us(ts) AS ticks, epoch_us(ts) / 1e6::DOUBLE AS ts_s, CAST(json_extract(props, '$.k') AS INT) + 80 AS feature_count, value AS sharpness, event_type FROM events",
@@ -102,4 +122,7 @@ VIEWS_SQL = {
     "v_points": "SELECT l_suppkey % 100 AS frame, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z, CAST(l_linenumber * 30 AS INT) AS red, CAST(round_even(l_tax * 1000, 0) AS INT) AS green, CAST(round_even(l_quantity, 0) AS INT) AS blue FROM lineitem",
     "v_cam": "SELECT s_suppkey AS frame, CAST(500 + s_nationkey AS DOUBLE) AS fx, CAST(500 + s_nationkey AS DOUBLE) AS fy, 320.0::DOUBLE AS cx, 240.0::DOUBLE AS cy, CAST(s_suppkey AS DOUBLE) AS c0, s_acctbal / 1000 AS c1, 0.0::DOUBLE AS c2, 640 AS w, 480 AS h FROM supplier WHERE s_suppkey < 100",
     "v_depth": "SELECT l_suppkey % 100 AS frame, l_partkey AS part, l_quantity AS raw, l_extendedprice / 1000 AS opt, 1 - l_tax AS conf FROM lineitem",
+    "v_pix": "SELECT track, o.frame, fx, fy, cx, cy, c0, c1, c2, w, h, fx * (track % 37 - c0) / CAST(50 + track % 10 AS DOUBLE) + cx + (floor(u)::BIGINT % 7 - 3) AS u, fy * (track % 23 - c1) / CAST(50 + track % 10 AS DOUBLE) + cy + (floor(v)::BIGINT % 5 - 2) AS v, CAST(50 + track % 10 AS DOUBLE) AS d FROM v_obs o JOIN v_cam c ON o.frame = c.frame",
+    "v_land": "SELECT p_partkey AS track, p_partkey % 37 + p_partkey % 4 * 0.1::DOUBLE AS x, CAST(p_partkey % 23 AS DOUBLE) AS y, CAST(50 + p_partkey % 10 AS DOUBLE) AS z FROM part",
+    "v_grid": "SELECT frame, part % 64 AS x, part // 64 % 48 AS y, 10 + quantile_cont(raw, 0.5) / 25 AS depth, round(avg(raw) / 50, 6) AS grey, frame * 0.05::DOUBLE AS c0 FROM v_depth GROUP BY ALL",
 }
