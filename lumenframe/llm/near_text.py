@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,6 +31,12 @@ _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, CHUNKS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, CHUNKS * SYMBOLS, dtype=np.uint64)
+#: One-bit symbols of the longer sketch, and the most that may differ: at a similarity of 0.75 an eighth does, with a
+#: deviation of 15; four and a half deviations are allowed, so a pair is lost once in 300,000 times.
+BITS, MOST_BITS = 2048, 2048 // 8 + 68
+BLOCK = 1024
+#: Chunks whose keys the first round looks at.
+FIRST_CHUNKS = 2
 #: Bytes hashed together.
 TOGETHER = 2_000_000
 
@@ -154,11 +160,106 @@ def _keyed(nodes: DataFrame) -> DataFrame:
                 part = batch.iloc[at : at + 2000]
                 yield pd.DataFrame({"node": part["node"].to_numpy(), "keys": list(index_keys(np.stack(part["sig"].to_numpy()).view(np.uint32)))})
 
-    return nodes.select("node", "sig").mapInPandas(run, "node long, keys array<long>").select(F.explode("keys").alias("key"), "node")
+    return nodes.select("node", "sig").mapInPandas(run, "node long, keys array<long>").select(F.posexplode("keys").alias("slot", "key"), "node")
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One-bit MinHash symbols, packed, one row per non-empty set."""
+    sizes = np.array([len(x) for x in sets])
+    whole, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
+    rng = np.random.default_rng(77)
+    bits = np.empty((len(sets), BITS), bool)
+    for k in range(BITS):
+        a, b = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
+        least = np.minimum.reduceat((whole * (a | np.uint64(1)) + b) >> np.uint64(32), starts)
+        bits[:, k] = (_mix(least) & np.uint64(1)).astype(bool)
+    return np.packbits(bits, axis=1)
+
+
+def _canonical(same: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether ``slot`` is the first under which a pair with these equal symbols meets; so each pair counts once."""
+    parts = same.reshape(len(same), CHUNKS, SYMBOLS)
+    enough = parts.sum(axis=2) >= SYMBOLS - ERRORS
+    chunk = enough.argmax(axis=1)
+    mine = parts[np.arange(len(same)), chunk]
+    mine &= np.cumsum(mine, axis=1) <= SYMBOLS - ERRORS
+    masks = np.zeros((len(_MASKS), SYMBOLS), bool)
+    masks[np.arange(len(_MASKS))[:, None], _MASKS] = True
+    return (chunk == slot // len(_MASKS)) & (mine == masks[slot % len(_MASKS)]).all(axis=1)
+
+
+def _nearest_only(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Pairs that are the nearest of one of their ends."""
+    ends, other = np.concatenate([u, v]), np.concatenate([v, u])
+    at = np.tile(np.arange(len(u)), 2)
+    order = np.lexsort((other, np.tile(d, 2), ends))
+    first = np.unique(ends[order], return_index=True)[1]
+    return np.unique(at[order[first]])
+
+
+def _compare(rows: pd.DataFrame, exhaustive: bool) -> pd.DataFrame | None:
+    """Candidate pairs of the block pairs in ``rows``, which are sorted by task."""
+    task, node, root, block, slot = (rows[c].to_numpy() for c in ("task", "node", "root", "block", "slot"))
+    within = (rows["i"] == rows["j"]).to_numpy()
+    sig = np.stack(rows["sig"].to_numpy())
+    bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(len(rows), -1) if exhaustive else None
+    found = []
+    for step in range(1, len(rows)):  # all pairs of a task are the rows step apart, for each step
+        x = np.flatnonzero(task[:-step] == task[step:])
+        if not len(x):
+            break
+        x = x[(root[x] != root[x + step]) & (within[x] | (block[x] != block[x + step]))]
+        for at in range(0, len(x), 20_000):
+            a = x[at : at + 20_000]
+            same = sig[a] == sig[a + step]
+            d = CHUNKS * SYMBOLS - same.sum(axis=1)
+            near = d <= DISTANCE
+            a, d = a[near], d[near]
+            ours = _canonical(same[near], slot[a])
+            a, d = a[ours], d[ours]
+            if exhaustive and len(a):
+                close = np.bitwise_count(bits[a] ^ bits[a + step]).sum(axis=1) <= MOST_BITS
+                a, d = a[close], d[close]
+            if len(a):
+                found.append((np.minimum(node[a], node[a + step]), np.maximum(node[a], node[a + step]), d))
+    if not found:
+        return None
+    u, v, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    if not exhaustive:
+        keep = _nearest_only(u, v, d)
+        u, v, d = u[keep], v[keep], d[keep]
+    return pd.DataFrame({"u": u, "v": v, "d": d})
+
+
+def _candidates(held: DataFrame, payload: DataFrame, exhaustive: bool) -> DataFrame:
+    """Pairs (u, v, d) of different roots under one key of ``held(key, slot, node, root)``.
+
+    A key's nodes are compared in blocks of BLOCK, each pair of blocks a task of its own, so no task grows with a
+    key. With ``exhaustive`` every pair within DISTANCE whose sketches allow the wanted similarity returns, once;
+    without, only some nearest pairs do.
+    """
+    keys = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+    listed = held.join(keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    listed = listed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    listed = listed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    listed = listed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    listed = listed.select(F.xxhash64("key", "i", "j").alias("task"), "slot", "i", "j", "block", "node", "root").join(payload, "node")
+    dealt = listed.repartition("task").sortWithinPartitions("task")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None  # the last task of a batch may go on in the next
+        for batch in batches:
+            batch = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+            task = batch["task"].to_numpy()
+            apart = np.flatnonzero(task != task[-1]) if len(task) else task
+            done = int(apart[-1]) + 1 if len(apart) else 0
+            if done and (made := _compare(batch.iloc[:done], exhaustive)) is not None:
+                yield made
+            kept = batch.iloc[done:]
+        if kept is not None and len(kept) > 1 and (made := _compare(kept, exhaustive)) is not None:
+            yield made
+
+    return dealt.mapInPandas(run, "u long, v long, d long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -179,9 +280,9 @@ def near_duplicates(df: DataFrame, text_col: str = "text", *, id_col: str = "doc
     sets are linked and stand as one node from then on. Rows repeating an id are treated each by its text. Only
     the id column is carried. An empty table gives no rows.
 
-    Nodes under one key are compared in rounds: with the key's smallest node, then with a chance neighbour, and
-    at last with every node of another component that is near by signature. Rounds before the last only save
-    work; no pair of different components is left out in the last.
+    Nodes under one key are compared in two rounds. The first confirms some nearest pairs, which joins most groups
+    of copies; it only saves work. The second confirms every pair of different components that is within DISTANCE
+    and that a longer sketch doesn't rule out.
     """
     rows = df.select(df[id_col].alias("id"), text_of(df, text_col).alias("text"))
     described = saved(_described(rows), "shingled")
@@ -189,49 +290,25 @@ def near_duplicates(df: DataFrame, text_col: str = "text", *, id_col: str = "doc
     groups = saved(groups.withColumnRenamed("k1", "node"), "groups")
     first = described.join(groups.select(F.col("rep").alias("id"), F.col("node").alias("k1"), "k2"), ["id", "k1", "k2"]).select(F.col("k1").alias("node"), "sig", "id")
     by_key = W.partitionBy("key").orderBy("node")
-    buckets = _keyed(first).withColumn("hub", F.first("node").over(by_key)).withColumn("more", F.lead("node").over(by_key))
-    # A key's smallest node stays only if another follows it.
-    buckets = saved(buckets.where((F.col("node") != F.col("hub")) | F.col("more").isNotNull()).select("key", "node", "hub"), "buckets")
+    buckets = _keyed(first).withColumn("beside", F.coalesce(F.lead("node").over(by_key), F.lag("node").over(by_key)))
+    buckets = saved(buckets.where("beside IS NOT NULL").select("key", F.col("slot").cast("long").alias("slot"), "node"), "buckets")
     wanted = saved(first.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "sig", "id"), "wanted")
     sets = saved(_shingled(rows.join(wanted.select("id").distinct(), "id", "left_semi")).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
-    links = tested = None
-    roots = None
-    for turn in ("hub", "chance", "all"):
-        held = buckets.join(wanted.select("node", "sig"), "node")
-        if roots is None:
-            held = held.withColumn("root", F.col("node"))
-        else:
-            held = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-            held = saved(held.join(mixed, "key", "left_semi"), "held")
-        if turn == "hub":
-            hubs = wanted.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig"))
-            pairs = held.where("node != hub").select("node", "sig", "hub").distinct().join(hubs, "hub")
-            pairs = pairs.select(F.col("hub").alias("u"), F.col("node").alias("v"), _distance(F.col("sig"), F.col("hub_sig")).alias("d"))
-        elif turn == "chance":
-            order = W.partitionBy("key").orderBy(F.xxhash64("node", "key"))
-            near = held.withColumn("next", F.lead(F.struct("node", "root", "sig")).over(order)).where("next.root != root")
-            pairs = near.select(
-                F.greatest("node", "next.node").alias("v"), F.least("node", "next.node").alias("u"), _distance(F.col("sig"), F.col("next.sig")).alias("d")
-            ).distinct()
-        else:
-            one = held.select("key", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("sig").alias("su"))
-            two = held.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("sig").alias("sv"))
-            d = _distance(F.col("su"), F.col("sv"))
-            pairs = one.join(two, (one["key"] == two["key"]) & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (d <= DISTANCE))
-            pairs = pairs.select("u", "v").distinct().withColumn("d", F.lit(0))
-        pairs = pairs.where(F.col("d") <= DISTANCE)
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        if turn != "all":
-            nearest = F.row_number().over(W.partitionBy("v").orderBy("d", "u"))
-            pairs = pairs.withColumn("nth", nearest).where("nth <= 3")
-        pairs = saved(pairs.select("u", "v"), "pairs")
-        fresh = saved(_linked(pairs, sets, percent), "linked")
-        links = fresh if links is None else links.unionByName(fresh)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        roots = saved(components(links), "roots")
+    some = buckets.where(F.col("slot") < FIRST_CHUNKS * len(_MASKS)).withColumn("root", F.col("node"))
+    pairs = _candidates(some, wanted.select("node", "sig"), False).groupBy("u", "v").agg(F.min("d").alias("d"))
+    nth = F.row_number().over(W.partitionBy("v").orderBy("d", "u"))
+    pairs = saved(pairs.withColumn("nth", nth).where("nth <= 3").select("u", "v"), "pairs")
+    links = saved(_linked(pairs, sets, percent), "linked")
+    roots = saved(components(links), "roots")
+    held = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+    held = saved(held.join(apart.select("key"), "key", "left_semi"), "apart")
+    sketched = saved(_sketched(sets.join(held.select("node").distinct(), "node", "left_semi")), "sketches")
+    payload = wanted.select("node", "sig").join(sketched, "node")
+    pairs = saved(_candidates(held, payload, True).select("u", "v").join(pairs, ["u", "v"], "left_anti"), "pairs")
+    links = links.unionByName(saved(_linked(pairs, sets, percent), "linked"))
+    roots = saved(components(links), "roots")
 
     # Only groups that hold more than one row need to be told their component.
     joined = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -258,5 +335,18 @@ def _shingled(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInPandas(run, "node long, shingles array<long>")
 
 
+def _sketched(sets: DataFrame) -> DataFrame:
+    """From (node, shingles): node and its longer sketch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
+                bits = _sketches([np.asarray(x).view(np.uint64) for x in part["shingles"]])
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "bits": [b.tobytes() for b in bits]})
+
+    return sets.select("node", "shingles").mapInPandas(run, "node long, bits binary")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
