@@ -24,7 +24,7 @@ def camera_support(spark, d):
     return mapping.camera_support(v_obs(spark, d))
 
 
-@query("covisibility_edges", "WITH f AS (SELECT track, min(frame) AS u FROM v_obs GROUP BY track) SELECT DISTINCT u, frame AS v FROM v_obs JOIN f USING (track) WHERE frame > u")
+@query("covisibility_edges", "WITH f AS (SELECT track, min(frame) AS first FROM v_obs GROUP BY track) SELECT DISTINCT first AS u, frame AS v FROM v_obs JOIN f USING (track) WHERE frame > first")
 def covisibility_edges(spark, d):
     return mapping.covisibility_edges(v_obs(spark, d))
 
