@@ -20,8 +20,18 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/lumenframe-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Drop this application's tables, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write and read back: lineage ends here, and a lost executor costs no step before it."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
