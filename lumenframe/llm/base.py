@@ -1,34 +1,16 @@
-"""Shared plumbing: scratch tables in the cluster's shared folder, input checks, word pattern."""
+"""Shared plumbing: scratch tables, texts, word pattern."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed by the contracts: white space is space, tab, line feed, vertical tab, form feed, carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..plans.scratch import saved
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests, one machine)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lumenframe-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
+__all__ = ["WORD", "documents", "saved", "text_of"]
 
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Fixed by the contracts: white space is space, tab, line feed, vertical tab, form feed, carriage return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_of(df: DataFrame, text_col: str):
@@ -39,7 +21,3 @@ def text_of(df: DataFrame, text_col: str):
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
-
-def in_small_tasks(df: DataFrame, *cols: str) -> DataFrame:
-    """Deal rows over the session's shuffle partitions by a hash of ``cols``."""
-    return df.repartition(*cols)

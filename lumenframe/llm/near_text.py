@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components as components
 from .base import documents, saved, text_of
-from .graph import components
 
 WORDS, PERCENT = 5, 75
 CHUNKS, SYMBOLS, ERRORS = 6, 6, 2

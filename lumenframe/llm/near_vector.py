@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components as components
 from .base import saved
-from .graph import components
 
 PIVOTS, NEAREST, SHARED = 256, 5, 2
 #: Pivots are picked from this many vectors, the first by hash; none within this cosine of one picked before.

@@ -13,7 +13,7 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Z0-9])"
+IBAN = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b"
 KINDS = ("email", "ip", "card", "phone")
 
 #: Confidence of a confirmed span before its context is read, and what a context word adds.
@@ -136,5 +136,4 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(found["pii"]).alias("spans"),
         count("iban").alias("n_iban"),
-        F.coalesce(F.array_max(F.transform(found["pii"], lambda s: s["score"])), F.lit(0.0)).alias("max_score"),
     )

@@ -14,7 +14,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 KINDS = ("assign", "access", "hex")
 #: Further shapes that providers give their keys, kept only where they look live.
-PROVIDER = r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,72}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,64})(?![A-Za-z0-9])"
+PROVIDER = r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,72}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,64})\b"
 
 
 def candidate_spans(text: Column) -> Column:

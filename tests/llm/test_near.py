@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lumenframe.llm import near_text
-from lumenframe.llm.graph import components
+from lumenframe.operators.graph import connected_components as components
 from lumenframe.llm.near_text import near_duplicates
 from lumenframe.llm.near_vector import near_vectors
 
@@ -86,7 +86,7 @@ def test_odd_and_empty_tables(odd, none):
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)] + [(500, x) for x in range(501, 520)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
-    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100, **dict.fromkeys(range(500, 520), 500)}
+    assert got == {7: 7, **dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100, **dict.fromkeys(range(500, 520), 500)}
 
 
 def test_near_vectors_against_brute_force(spark):
