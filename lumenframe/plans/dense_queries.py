@@ -35,11 +35,11 @@ def depth_confidence_filter(spark, d):
     "depth_calibration",
     """WITH r AS (SELECT frame, ln(opt / raw) AS lr FROM v_depth), m AS (SELECT frame, quantile_cont(lr, 0.5) AS log_scale, count(*) AS anchors FROM r GROUP BY frame),
     s AS (SELECT frame, quantile_cont(abs(lr - log_scale), 0.5) AS mad FROM r JOIN m USING (frame) GROUP BY frame)
-    SELECT frame, round(log_scale, 9) AS log_scale, anchors, round(mad, 9) AS mad, CASE WHEN anchors < 6 THEN 'too few anchors' WHEN round(mad, 9) > 0.68 THEN 'inconsistent scale' END AS reason FROM m JOIN s USING (frame)""",
+    SELECT frame, round(log_scale, 9) AS log_scale, anchors, round(mad, 9) AS mad, CASE WHEN anchors < 6 THEN 'too few anchors' WHEN round(mad, 9) > 0.68 THEN 'inconsistent scale' ELSE 'accepted' END AS reason FROM m JOIN s USING (frame)""",
 )
 def depth_calibration(spark, d):
     out = dense.calibrate(v_depth(spark, d).select("frame", F.ln(F.col("opt") / F.col("raw")).alias("log_ratio")), most_spread=0.68)
-    return out.select("frame", F.round("log_scale", 9).alias("log_scale"), "anchors", F.round("mad", 9).alias("mad"), "reason")
+    return out.select("frame", F.round("log_scale", 9).alias("log_scale"), "anchors", F.round("mad", 9).alias("mad"), F.coalesce("reason", F.lit("accepted")).alias("reason"))
 
 
 @query("depth_gauge", "SELECT frame, count(*) AS samples, round(exp(quantile_cont(ln(opt / raw), 0.5)), 4) AS factor, round(quantile_cont(opt, 0.5), 6) AS scene_depth FROM v_depth GROUP BY frame HAVING count(*) >= 3")

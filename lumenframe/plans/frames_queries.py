@@ -31,12 +31,12 @@ def uniform_temporal_sampling(spark, d):
 @query(
     "exact_frame_recovery",
     """WITH q AS (SELECT DISTINCT ticks + (feature_count % 2) AS ticks FROM v_frames WHERE (feature_count - 80) % 17 = 0)
-    SELECT q.ticks, f.candidate, f.candidate IS NOT NULL AS found FROM q LEFT JOIN v_frames f USING (ticks)""",
+    SELECT q.ticks, coalesce(f.candidate, -1) AS candidate, f.candidate IS NOT NULL AS found FROM q LEFT JOIN v_frames f USING (ticks)""",
 )
 def exact_frame_recovery(spark, d):
     frames = v_frames(spark, d)
     wanted = frames.where((F.col("feature_count") - 80) % 17 == 0).select((F.col("ticks") + F.col("feature_count") % 2).alias("ticks"))
-    return scan.exact_frames(frames, wanted).select("ticks", "candidate", "found")
+    return scan.exact_frames(frames, wanted).select("ticks", F.coalesce("candidate", F.lit(-1)).alias("candidate"), "found")
 
 
 @query(
@@ -86,7 +86,7 @@ def recovery_groups(spark, d):
 @query(
     "section_merge_validation",
     """WITH e AS (SELECT candidate, ticks, feature_count FROM v_frames), m AS (SELECT candidate, CASE WHEN candidate = 41 THEN ticks + 1 ELSE ticks END AS ticks, feature_count FROM v_frames WHERE candidate <> 77)
-    SELECT coalesce(e.candidate, m.candidate) AS candidate, e.ticks AS expected_ticks, m.ticks AS merged_ticks FROM e FULL JOIN m ON e.candidate = m.candidate
+    SELECT coalesce(e.candidate, m.candidate) AS candidate, coalesce(e.ticks, -1) AS expected_ticks, coalesce(m.ticks, -1) AS merged_ticks FROM e FULL JOIN m ON e.candidate = m.candidate
     WHERE e.ticks IS DISTINCT FROM m.ticks OR e.feature_count IS DISTINCT FROM m.feature_count""",
 )
 def section_merge_validation(spark, d):
@@ -94,7 +94,7 @@ def section_merge_validation(spark, d):
     index = frames.select("ticks", "candidate", "feature_count", (F.col("event_type") == "signup").alias("is_key"))
     merged = scan.sections(index, scan.range_partition(index, 4)).where("candidate <> 77")
     merged = merged.withColumn("ticks", F.col("ticks") + (F.col("candidate") == 41).cast("long"))
-    return scan.merge_mismatches(frames, merged, "candidate", ["ticks", "feature_count"]).select("candidate", "expected_ticks", "merged_ticks")
+    return scan.merge_mismatches(frames, merged, "candidate", ["ticks", "feature_count"]).select("candidate", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("expected_ticks", "merged_ticks")])
 
 
 @query(

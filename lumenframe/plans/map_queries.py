@@ -31,12 +31,12 @@ def covisibility_edges(spark, d):
 
 @query(
     "support_violations",
-    "WITH c AS (SELECT frame, count(*) FILTER (track % 97 = frame % 5) AS observations, count(*) AS before FROM v_obs GROUP BY frame) SELECT CAST(r.range AS BIGINT) AS frame, coalesce(observations, 0) AS observations, before FROM range(104) r LEFT JOIN c ON c.frame = r.range WHERE coalesce(observations, 0) < 6",
+    "WITH c AS (SELECT frame, count(*) FILTER (track % 97 = frame % 5) AS observations, count(*) AS before FROM v_obs GROUP BY frame) SELECT CAST(r.range AS BIGINT) AS frame, coalesce(observations, 0) AS observations, coalesce(before, -1) AS before FROM range(104) r LEFT JOIN c ON c.frame = r.range WHERE coalesce(observations, 0) < 6",
 )
 def support_violations(spark, d):
     obs = v_obs(spark, d)
     cameras = spark.range(104).withColumnRenamed("id", "frame")
-    return mapping.support_violations(cameras, obs.where("track % 97 = frame % 5"), mapping.camera_support(obs))
+    return mapping.support_violations(cameras, obs.where("track % 97 = frame % 5"), mapping.camera_support(obs)).withColumn("before", F.coalesce("before", F.lit(-1)))
 
 
 @query("reprojection_error", f"WITH {_ERR} SELECT track, frame, round(error, 6) AS error FROM er")

@@ -43,14 +43,16 @@ def _time(c: str) -> str:
     FROM (SELECT *, CASE WHEN bridged THEN good ELSE anchor END AS a2, CASE WHEN bridged THEN 0 ELSE best END AS b1
     FROM (SELECT *, NOT {_REL.format(q='q1', a='anchor')} AND good > anchor AS bridged
     FROM (SELECT *, {_Q.format(a='anchor')} AS q1 FROM (SELECT st.video, fr.i, st.anchor, st.good, st.best, fr.c, fr.usable FROM st JOIN fr ON fr.video = st.video AND fr.i = st.i + 1 WHERE NOT st.broken))))))))
-    ) SELECT video, c AS candidate, decision, reference, inliers, bridge FROM st WHERE i > 0""",
+    ) SELECT video, c AS candidate, decision, coalesce(reference, -1) AS reference, coalesce(inliers, -1) AS inliers, coalesce(bridge, -1) AS bridge FROM st WHERE i > 0""",
 )
 def keyframe_decisions(spark, d):
     c = F.col("candidate")
     frames = v_frames(spark, d).select(
         F.floor(c / 500).alias("video"), "candidate", (c * F.lit(0.15) + F.floor(c / 130) * F.lit(1.9)).alias("ts_s"), "feature_count", "sharpness"
     )
-    return select_keyframes(frames, fixture_quality, OPTIONS).select("video", "candidate", "decision", "reference", "inliers", "bridge")
+    return select_keyframes(frames, fixture_quality, OPTIONS).select(
+        "video", "candidate", "decision", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("reference", "inliers", "bridge")]
+    )
 
 
 @query(
