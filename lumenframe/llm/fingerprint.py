@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .base import documents, text_of
 
-K = 3
+K = 2
 SIZE = 64
 #: Runs of Latin letters, digits and marks count as one token of at most 16 characters, any other character as one.
 TOKEN = r"[\x21-\x{24F}]{1,16}+|[^\x20\x09-\x0D]"
@@ -70,7 +70,7 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Append ``fingerprint`` (string) to every row; all other columns are carried, one of that name replaced.
 
-    Null and empty texts have the empty fingerprint; texts of fewer than three tokens count as one k-mer. Equal
+    Null and empty texts have the empty fingerprint; a text of one token counts as one k-mer. Equal
     texts have equal fingerprints; rows are independent of each other.
     """
     kept = [c for c in df.columns if c != "fingerprint"]

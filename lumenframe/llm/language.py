@@ -121,6 +121,22 @@ def fit(texts: list[str], labels: np.ndarray, classes: int, *, passes: int = 3,
     return {"tables": tables, "transitions": transitions, "start": start}
 
 
+def _scored(model: dict, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions and weights of all words, and words of each text. One long text goes in parts cut at blanks."""
+    if len(raw) == 1 and len(raw[0]) > TOGETHER:
+        emissions, weights, at, whole = [], [], 0, raw[0]
+        while at < len(whole):
+            end = at + TOGETHER
+            end = min((i + 1 for b in (b" ", b"\n", b"\t") if (i := whole.find(b, end)) >= 0), default=len(whole))
+            words = Words([whole[at:end]])
+            emissions.append(words.emissions(model["tables"]))
+            weights.append(words.weight)
+            at = end
+        return np.concatenate(emissions), np.concatenate(weights) + 1e-6, np.array([sum(map(len, weights))])
+    words = Words(raw)
+    return words.emissions(model["tables"]), words.weight + 1e-6, words.counts
+
+
 def predict(model: dict, texts: list[str]) -> np.ndarray:
     """Probabilities of each text, (texts, classes); a row of zeros for a text without words."""
     raw = _encoded(texts)
@@ -132,12 +148,11 @@ def predict(model: dict, texts: list[str]) -> np.ndarray:
         while end < len(raw) and (end == at or held + len(raw[end]) <= TOGETHER):
             held += len(raw[end]) + 1
             end += 1
-        words = Words(raw[at:end])
-        full = np.flatnonzero(words.counts > 0)
+        emissions, weight, counts = _scored(model, raw[at:end])
+        full = np.flatnonzero(counts > 0)
         if len(full):
-            p = forward_backward(words.emissions(model["tables"]), words.counts[full], model["transitions"], model["start"])
-            weight = words.weight + 1e-6
-            starts = words.lo[full]
+            p = forward_backward(emissions, counts[full], model["transitions"], model["start"])
+            starts = (np.cumsum(counts) - counts)[full]
             out[at + full] = np.add.reduceat(p * weight[:, None], starts, axis=0) / np.add.reduceat(weight, starts)[:, None]
         at = end
     return out

@@ -168,18 +168,29 @@ class Transducer:
                 stop += 1
             if len(self.states) > MOST_STATES:
                 self.clear()
-            out[start:stop] = self._count(texts[start:stop], lengths[start:stop])
+            if held > TOGETHER:  # one long text: its parts follow each other, each from where the last ended
+                whole, state = SPACE + texts[start], 0
+                for at in range(0, len(whole), TOGETHER):
+                    if len(self.states) > MOST_STATES:
+                        key = self.states[state]
+                        self.clear()
+                        state = self.state(*key)
+                    counts, state = self._count([whole[at : at + TOGETHER]], state)
+                    out[start] += counts[0]
+            else:
+                out[start:stop] = self._count([SPACE + t if t else "" for t in texts[start:stop]])[0]
             start = stop
         return out
 
-    def _count(self, texts: list[str], lengths: np.ndarray) -> np.ndarray:
-        code = np.frombuffer("".join(SPACE + t if t else "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    def _count(self, texts: list[str], first: int = 0) -> tuple[np.ndarray, int]:
+        """Changes of the count over each text, the first text begun in state ``first``; and the last text's last state."""
+        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbols = self.symbol[code]
-        sizes = np.where(lengths > 0, lengths + 1, 0)
+        sizes = np.array([len(t) for t in texts], np.int64)
         chunks = -(-sizes // CHUNK)
         n = int(chunks.sum())
         if not n:
-            return np.zeros(len(texts), np.int64)
+            return np.zeros(len(texts), np.int64), first
         text_of_lane = np.repeat(np.arange(len(texts)), chunks)
         first_lane = np.cumsum(chunks) - chunks
         nth = np.arange(n) - first_lane[text_of_lane]
@@ -203,6 +214,8 @@ class Transducer:
         after[place[same]] = place[same + 1]
         lanes = place[same + 1]
         entry = path[length[place[same]] - 1, place[same]]
+        if first:
+            lanes, entry = np.append(lanes, place[0]), np.append(entry, np.int32(first))
         while len(lanes):
             live, state, ended, t = lanes, entry, [], 0
             while len(live):
@@ -220,7 +233,7 @@ class Transducer:
         per_lane = change.sum(axis=0, dtype=np.int64)
         out = np.zeros(len(texts), np.int64)
         np.add.at(out, text_of_lane[order], per_lane)
-        return out
+        return out, int(path[length[place[-1]] - 1, place[-1]])
 
 
 _compiled: dict[str, Transducer] = {}

@@ -58,6 +58,15 @@ def test_code_switched_text_keeps_its_passages_apart():
     assert p[0, 0] > 0.5 and p[-1, 1] > 0.5
 
 
+def test_a_long_text_in_parts_scores_alike(monkeypatch):
+    texts = ["the cat and the dog were there"] * 4 + ["der hund und die katze waren da"] * 4
+    model = language.fit(texts, np.repeat([0, 1], 4), 2, passes=4, batch=4)
+    long = ["the dog and the cat " * 200 + "der hund und die katze " * 100]
+    whole = language.predict(model, long)
+    monkeypatch.setattr(language, "TOGETHER", 500)
+    assert np.allclose(language.predict(model, long), whole, atol=0.02)
+
+
 def test_language_odd_and_empty_tables(odd, none):
     model = language.train(odd)
     got = {r["doc_id"]: r for r in language.identify(odd, model).collect()}

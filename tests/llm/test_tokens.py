@@ -48,6 +48,15 @@ def test_counts_survive_an_emptied_table(transducer, library, monkeypatch):
     assert transducer.count(ODD).tolist() == [len(x) for x in library.encode(ODD)]
 
 
+@pytest.mark.parametrize("together", [1, 7, 400])
+def test_parts_of_a_long_text_follow_each_other(transducer, library, monkeypatch, together):
+    monkeypatch.setattr("lumenframe.llm.token_counts.TOGETHER", together)
+    texts = [*ODD, "internationalisation of tokenizers " * 9]
+    assert transducer.count(texts).tolist() == [len(x) for x in library.encode(texts)]
+    monkeypatch.setattr("lumenframe.llm.token_counts.MOST_STATES", 5)
+    assert transducer.count(texts).tolist() == [len(x) for x in library.encode(texts)]
+
+
 def test_counts_odd_and_empty_tables(odd, none, library):
     got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(odd, MODEL).collect()}
     assert {r["doc_id"]: len(library.encode(r["text"] or "")) for r in odd.collect()} == got
