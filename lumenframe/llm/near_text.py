@@ -63,12 +63,22 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
         while end < len(raw) and (end == at or held + len(raw[end]) <= TOGETHER):
             held += len(raw[end]) + 1
             end += 1
-        out += _sets(raw[at:end])
+        if held > TOGETHER + 1:  # one long text: its words are hashed part by part, cut at blanks
+            parts, here, whole = [], 0, raw[at]
+            while here < len(whole):
+                stop = min((i + 1 for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (i := whole.find(b, here + TOGETHER)) >= 0), default=len(whole))
+                parts.append(_words([whole[here:stop]])[0])
+                here = stop
+            word = np.concatenate(parts)
+            out += _sets(word, np.array([0]), np.array([len(word)]))
+        else:
+            out += _sets(*_words(raw[at:end]))
         at = end
     return out
 
 
-def _sets(raw: list[bytes]) -> list[np.ndarray]:
+def _words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, and each text's range among them."""
     data = _FOLD[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)]
     blank = _BLANK[data]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
@@ -85,6 +95,11 @@ def _sets(raw: list[bytes]) -> list[np.ndarray]:
     begin = np.cumsum(sizes) - sizes + 1
     lo = np.searchsorted(first, begin)
     hi = np.searchsorted(first, begin + sizes)
+    return word, lo, hi
+
+
+def _sets(word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """The distinct runs of words of each range."""
     run = word[: max(0, len(word) - WORDS + 1)].copy()
     for k in range(1, WORDS):
         run = _mix(run * _ODD + word[k : len(run) + k])

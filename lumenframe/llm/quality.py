@@ -41,6 +41,30 @@ _NAMES = [*_CLASSES, "other"]
 
 def line_features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all lines, line lengths in bytes, and lines of each text. Every text has at least one line."""
+    if len(raw) == 1 and len(raw[0]) > TOGETHER:  # one long text goes in parts cut at line ends
+        cuts, whole = [0], raw[0]
+        while (i := whole.find(b"\n", cuts[-1] + TOGETHER)) >= 0:
+            cuts.append(i + 1)
+        parts = [whole[x : y - 1] for x, y in zip(cuts, cuts[1:], strict=False)] + [whole[cuts[-1] :]]
+        own, length, _, name = (np.concatenate(x) for x in zip(*(_lines([p]) for p in parts), strict=True))
+        lines = np.array([len(length)])
+    else:
+        own, length, lines, name = _lines(raw)
+    # Lines that the same text holds more than once.
+    name = name + np.repeat(np.arange(len(raw), dtype=np.uint64), lines) * np.uint64(0xC2B2AE3D27D4EB4F)
+    _, which, often = np.unique(name, return_inverse=True, return_counts=True)
+    own = np.concatenate([own, ((often[which] > 1) & (length > 8))[:, None].astype(float)], axis=1)
+    first = np.cumsum(lines) - lines
+    inner_first, inner_last = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    inner_first[first] = True
+    inner_last[first + lines - 1] = True
+    before, after = np.roll(own, 1, axis=0), np.roll(own, -1, axis=0)
+    before[inner_first], after[inner_last] = 0, 0
+    return np.concatenate([np.ones((len(own), 1)), own, before, after, inner_first[:, None], inner_last[:, None]], axis=1), length, lines
+
+
+def _lines(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines' own features, lengths, lines of each text, and a hash of each line."""
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     ends = np.flatnonzero(data == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -53,14 +77,10 @@ def line_features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     n = np.maximum(length, 1).astype(float)
     share = {name: np.add.reduceat((code == i).astype(np.int32), starts) / n for i, name in enumerate(_NAMES)}
     letters = share["upper"] + share["lower"] + share["other"]
-    # Lines that the same text holds more than once.
     power = np.cumprod(np.append(np.uint64(1), np.full(len(data) - 1, np.uint64(0x100000001B3))), dtype=np.uint64)
     back = np.cumprod(np.append(np.uint64(1), np.full(len(data) - 1, np.uint64(pow(0x100000001B3, -1, 1 << 64)))), dtype=np.uint64)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * power, dtype=np.uint64)])
-    text = np.repeat(np.arange(len(raw), dtype=np.uint64), lines)
-    name = (total[ends] - total[starts]) * back[starts] + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + text * np.uint64(0xC2B2AE3D27D4EB4F)
-    _, which, often = np.unique(name, return_inverse=True, return_counts=True)
-    repeated = (often[which] > 1) & (length > 8)
+    name = (total[ends] - total[starts]) * back[starts] + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     # Words equal to the word before, or to the one before that.
     gap = (data == 32) | ((data >= 9) & (data <= 13))
     inside = np.concatenate([[False], ~gap, [False]])
@@ -98,7 +118,6 @@ def line_features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         (share["blank"] < 0.05) & (length > 30),
         share["stop"],
         share["stop"] > 0.12,
-        repeated,
         (head >= 65) & (head <= 90),
         (head >= 97) & (head <= 122),
         np.isin(tail, np.frombuffer(b".!?", np.uint8)),
@@ -108,14 +127,7 @@ def line_features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         two,
         (one + two) > 0.3,
     ]
-    own = np.stack([np.asarray(c, np.float64) for c in columns], axis=1)
-    inner_first = np.zeros(len(starts), bool)
-    inner_first[first] = True
-    inner_last = np.zeros(len(starts), bool)
-    inner_last[first + lines - 1] = True
-    before, after = np.roll(own, 1, axis=0), np.roll(own, -1, axis=0)
-    before[inner_first], after[inner_last] = 0, 0
-    return np.concatenate([np.ones((len(starts), 1)), own, before, after, inner_first[:, None], inner_last[:, None]], axis=1), length, lines
+    return np.stack([np.asarray(c, np.float64) for c in columns], axis=1), length, lines, name
 
 
 def _grouped(raw: list[bytes]) -> Iterator[slice]:

@@ -26,6 +26,14 @@ def test_shingle_sets_equal_plain_sets(texts):
             assert len(np.intersect1d(a, b)) == len(p & q)
 
 
+def test_a_long_text_in_parts_has_the_same_set(monkeypatch):
+    texts = [" ".join(f"w{i % 83}" for i in range(700)), "a\tb\nc d e f g", "x" * 900, "tail " * 300]
+    whole = near_text.shingle_sets(texts)
+    for together in (10, 111, 1000):
+        monkeypatch.setattr(near_text, "TOGETHER", together)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(near_text.shingle_sets(texts), whole, strict=True))
+
+
 def test_keys_meet_within_the_guaranteed_distance():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 32, (300, 36), dtype=np.uint32)
