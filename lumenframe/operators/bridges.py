@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .alignment import pose_from_points
-from .holdouts import held_out
+from .holdouts import held_out, is_held_out
 
 #: Hold-out and acceptance counts of a bridge, and the bounds on attempts.
 TRAIN, HELD, RESTORED, SOLVES, BRIDGES, TARGETS = 30, 10, 30, 16, 4, 4
@@ -28,8 +28,6 @@ def pose_targets(anchor_landmarks: DataFrame, tracks: DataFrame, group_cameras:
 
     Only frames with enough training and held-out observations count; the ``most`` richest stay, earlier ones first.
     """
-    from .holdouts import is_held_out
-
     rows = tracks.join(anchor_landmarks, "track").join(group_cameras.select("frame", "w", "h"), "frame")
     rows = rows.where((F.col("u") >= 0) & (F.col("v") >= 0) & (F.col("u") < F.col("w")) & (F.col("v") < F.col("h"))).withColumn("held", is_held_out(F.col("track")))
     counts = rows.groupBy("frame").agg(F.count_if(~F.col("held")).alias("train"), F.count_if("held").alias("test"), F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -143,8 +144,6 @@ def shared_intrinsics(cameras: DataFrame) -> DataFrame:
 
 def normalized_gauge(cameras: DataFrame, order: str = "frame") -> DataFrame:
     """Centres relative to the first camera in units of the median step (steps above 1e-8 count)."""
-    from pyspark.sql import Window as W
-
     w = W.orderBy(order)
     step = F.sqrt(sum((F.pow(F.col(f"c{k}") - F.lag(f"c{k}").over(w), 2) for k in range(3)), F.lit(0.0)))
     scale = cameras.withColumn("step", step).agg(F.percentile(F.when(F.col("step") > 1e-8, F.col("step")), 0.5).alias("unit"), *[F.min_by(f"c{k}", order).alias(f"o{k}") for k in range(3)])
@@ -155,10 +154,10 @@ def error_statistics(errors: DataFrame, by: list[str], c: float = 3.0) -> DataFr
     """Per group of squared errors: count, finite, within c squared, truncated cost, upper median of the roots."""
     e = F.col("error2")
     finite = e < G.INF
-    out = errors.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(finite).alias("finite"), F.count_if(e <= c * c).alias("within"), F.sum(F.least(e, F.lit(c * c))).alias("tls_cost"), F.sort_array(F.collect_list(F.sqrt(e))).alias("roots")
+    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY sqrt(error2) DESC)")  # of an even count the higher one
+    return errors.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(finite).alias("finite"), F.count_if(e <= c * c).alias("within"), F.sum(F.least(e, F.lit(c * c))).alias("tls_cost"), upper.alias("median")
     )
-    return out.withColumn("median", F.get("roots", F.floor(F.size("roots") / 2).cast("int"))).drop("roots")
 
 
 def gnc_round(weighted: DataFrame, by: list[str]) -> DataFrame:

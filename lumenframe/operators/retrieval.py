@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,20 +31,38 @@ def diversified(ranked: Column, spacing: float, k: int) -> Column:
     )
 
 
+def _possible(times: np.ndarray, spacing: float, k: int) -> int:
+    """How many of a block's ranked targets the walk over all blocks could take.
+
+    It takes a target only if each better one is taken or within the spacing of one taken, of which there are
+    k - 1 at most. So the better ones of the block must fit into k - 1 spans shorter than twice the spacing.
+    """
+    held: list[float] = []
+    for n, t in enumerate(times):
+        spans, end = 0, -np.inf
+        for x in held:
+            if x >= end:
+                spans, end = spans + 1, x + 2 * spacing
+        if spans > k - 1:
+            return n
+        bisect.insort(held, float(t))
+    return len(times)
+
+
 def loop_candidates(descriptors: DataFrame, neighbors: int = 4, options: RetrievalOptions = RetrievalOptions(), block: int = 512) -> DataFrame:
     """Pairs (source, target, score): each frame's best far frames by cosine, walked for spacing.
 
-    Blocks of queries meet blocks of targets in matrix products. Targets are dealt into blocks by time regions a
-    multiple of the spacing wide, and each block pair keeps a query's best target of every slot of half the spacing:
-    of targets closer than the spacing the walk takes one at most, and in a slot only its best can come first.
+    Blocks of queries meet blocks of targets in matrix products. Of a block, only targets that the whole walk could
+    take are passed on (see :func:`_possible`), some for each query and block; the walk over those is the whole walk.
     """
     o = options
     unit = normalize(descriptors).where("ok").select("frame", "ts_s", "unit")
-    span = unit.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    blocks = max(1, -(-span // block))
-    slot = F.floor(F.col("ts_s") / (o.region_spacing_seconds / 2)).cast("long")
-    dealt = saved(unit.withColumn("slot", slot).withColumn("b", F.pmod(F.xxhash64("slot"), F.lit(blocks)).cast("int")), "descriptors")
-    packed = dealt.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("frame", "ts_s", "slot", "unit"))).alias("rows"))
+    count = unit.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    blocks = max(1, -(-count // block))
+    # Neighbours in time share a block, so what excludes a target is mostly in its own block.
+    span = F.floor(F.col("ts_s") / (4 * o.region_spacing_seconds))
+    dealt = saved(unit.withColumn("b", F.pmod(F.xxhash64(span), F.lit(blocks)).cast("int")), "descriptors")
+    packed = dealt.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("frame", "ts_s", "unit"))).alias("rows"))
     left, right = packed.select(F.col("b").alias("qb"), F.col("rows").alias("q")), packed.select(F.col("b").alias("tb"), F.col("rows").alias("t"))
     grid = left.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "tb")
     gap = max(neighbors, o.minimum_frame_gap)
@@ -59,18 +78,14 @@ def loop_candidates(descriptors: DataFrame, neighbors: int = 4, options: Retriev
                     scores += a[:, d : d + 1] * b[:, d]
                 far = (np.abs(fq[:, None] - ft) > gap) & (np.abs(sq[:, None] - st) >= o.minimum_time_gap)
                 scores[~far] = -np.inf
-                slots = np.array([r["slot"] for r in t])
                 out = []
                 for i in range(len(a)):
                     at = np.lexsort((ft, -scores[i]))
                     at = at[np.isfinite(scores[i, at])]
-                    at = at[np.sort(np.unique(slots[at], return_index=True)[1])]  # the first of each slot
-                    out.append(pd.DataFrame({"query": fq[i], "frame": ft[at], "ts_s": st[at], "score": scores[i, at]}).head(most))
+                    at = at[: _possible(st[at], o.region_spacing_seconds, o.candidates_per_frame)]
+                    out.append(pd.DataFrame({"query": fq[i], "frame": ft[at], "ts_s": st[at], "score": scores[i, at]}))
                 yield pd.concat(out)
 
-    # A kept target rules out those within the spacing on both sides: five slots at most. So beyond the first
-    # 5 * (k - 1) + 1 slots of a block none can be needed.
-    most = 5 * (o.candidates_per_frame - 1) + 1
     best = grid.mapInPandas(run, "query long, frame long, ts_s double, score double")
     ranked = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg_score"), "frame", "ts_s"))).alias("ranked"))
     chosen = ranked.select("query", F.explode(diversified(F.col("ranked"), o.region_spacing_seconds, o.candidates_per_frame)).alias("c"))

@@ -151,14 +151,28 @@ def test_equal_scores_take_the_lower_frame_and_blocks_do_not_matter(spark):
     assert (0, 40, 1.0) in whole and not any(7 in p[:2] for p in whole)
 
 
-@settings(max_examples=4, deadline=None)
-@given(st.lists(st.tuples(st.floats(-1, 1), st.floats(-1, 1)), min_size=20, max_size=60))
-def test_blocked_retrieval_equals_the_plain_walk(spark, vectors):
+def plain_walk(rows, neighbors, o):
+    pairs = {}
+    unit = [(f, t, [x / math.sqrt(sum(y * y for y in v)) for x in v]) for f, t, v in rows]
+    for q, tq, a in unit:
+        ranked = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), f, t) for f, t, b in unit if abs(f - q) > max(neighbors, o.minimum_frame_gap) and abs(t - tq) >= o.minimum_time_gap)
+        kept = []
+        for s, f, t in ranked:
+            if len(kept) < o.candidates_per_frame and all(abs(t - x) >= o.region_spacing_seconds for x in kept):
+                kept.append(t)
+                pairs[min(q, f), max(q, f)] = True
+    return sorted(pairs)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(-50, 50), st.integers(-50, 50)), min_size=20, max_size=70), st.floats(0.3, 2.0))
+def test_blocked_retrieval_equals_the_plain_walk(spark, vectors, pace):
     o = RetrievalOptions(minimum_frame_gap=3, minimum_time_gap=3.0)
-    rows = [(i, float(i), [a, b, 0.3]) for i, (a, b) in enumerate(vectors)]
+    rows = [(i, i * pace, [a / 7, b / 7, 0.3 + i / 1000]) for i, (a, b) in enumerate(vectors)]
     df = spark.createDataFrame(rows, "frame long, ts_s double, emb array<double>")
-    one, many = (sorted((r[0], r[1]) for r in retrieval.loop_candidates(df, 1, o, block=b).collect()) for b in (1000, 7))
-    assert one == many
+    want = plain_walk(rows, 1, o)
+    for block in (1000, 7):
+        assert sorted((r[0], r[1]) for r in retrieval.loop_candidates(df, 1, o, block=block).collect()) == want
 
 
 def test_calibration_gates(spark):
