@@ -14,10 +14,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``edges(u, v)``; root is the least node reachable.
 
     Alternating star steps, each a partial minimum and a join with one row per node, until the table holds still;
-    every round is written to the shared folder.
+    every round is written to the shared folder. The table never grows from round to round, so its first count
+    sets the number of files.
     """
-    held = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    alone = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    held = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    alone = held.where("u = v").select(F.col("u").alias("node"))
+    held = held.where("u <> v")
+    rows = held.count()
     before = None
     while True:
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,12 +28,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        held = saved(small.select("e.*").where("u > v").distinct(), "edges")
+        held = saved(small.select("e.*").where("u > v").distinct(), "edges", rows)
         mark = held.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(mark) == before:
             break
         before = tuple(mark)
-    return alone.join(held.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    stars = held.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    centres = held.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    found = stars.unionByName(centres)
+    return found.unionByName(alone.join(found, "node", "left_anti").select("node", F.col("node").alias("root")))
 
 
 def join_constrained(edges: pd.DataFrame) -> pd.DataFrame:

@@ -30,8 +30,17 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back: lineage ends here, and a lost executor costs no step before it."""
+#: Rows to a file where a table's size is known beforehand.
+ROWS = 250_000
+
+
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write and read back: lineage ends here, and a lost executor costs no step before it.
+
+    ``rows`` is an upper bound of the table's rows: small tables then take few files and tasks.
+    """
+    if rows is not None:
+        df = df.coalesce(-(-rows // ROWS) or 1)
     path = f"{_own(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
