@@ -29,10 +29,7 @@ SALTS = 8
 def choose_pivots(nodes: DataFrame, width: int) -> np.ndarray:
     """Spread reference points from a bounded sample of ``nodes(node, vector)``; dense places give few."""
     taken = [r["vector"] for r in nodes.orderBy("node").limit(SAMPLE).select("vector").collect()]
-    sample = np.zeros((len(taken), width))
-    for i, v in enumerate(taken):
-        sample[i, : len(v)] = v
-    sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
+    sample = _unit(taken, width)
     picked: list[int] = []
     near = np.full(len(sample), -2.0)
     for i in range(len(sample)):
@@ -48,6 +45,8 @@ def _unit(vectors: list, width: int) -> np.ndarray:
     x = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         x[i, : len(v)] = v
+    if len(x):  # so that squares of very small or large components neither vanish nor overflow
+        x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -122,5 +122,11 @@ def test_near_vectors_against_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(901, 907))
 
 
+def test_very_small_and_large_vectors_keep_their_direction(spark):
+    rows = [(1, [1e-200, 2e-200], 0), (2, [1e200, 2e200], 0), (3, [1.0, 2.0], 0), (4, [2.0, -1.0], 0)]
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 0}
+
+
 def test_vectors_of_an_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
