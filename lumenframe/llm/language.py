@@ -25,7 +25,7 @@ BITS = 16
 #: Rows the model is fitted on at most, and the longest text among them.
 MOST_ROWS, LONGEST = 2400, 20_000
 #: Bytes looked at together.
-TOGETHER = 1_500_000
+TOGETHER = 400_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32

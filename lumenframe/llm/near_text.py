@@ -38,7 +38,7 @@ BLOCK = 1024
 #: Chunks whose keys the first round looks at.
 FIRST_CHUNKS = 2
 #: Bytes hashed together.
-TOGETHER = 2_000_000
+TOGETHER = 700_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -301,21 +301,22 @@ def near_duplicates(df: DataFrame, text_col: str = "text", *, id_col: str = "doc
     """
     rows = df.select(df[id_col].alias("id"), text_of(df, text_col).alias("text"))
     described = saved(_described(rows), "shingled")
+    count = described.count()
     groups = described.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    groups = saved(groups.withColumnRenamed("k1", "node"), "groups")
+    groups = saved(groups.withColumnRenamed("k1", "node"), "groups", count)
     first = described.join(groups.select(F.col("rep").alias("id"), F.col("node").alias("k1"), "k2"), ["id", "k1", "k2"]).select(F.col("k1").alias("node"), "sig", "id")
     by_key = W.partitionBy("key").orderBy("node")
     buckets = _keyed(first).withColumn("beside", F.coalesce(F.lead("node").over(by_key), F.lag("node").over(by_key)))
     buckets = saved(buckets.where("beside IS NOT NULL").select("key", F.col("slot").cast("long").alias("slot"), "node"), "buckets")
-    wanted = saved(first.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "sig", "id"), "wanted")
+    wanted = saved(first.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "sig", "id"), "wanted", count)
     sets = saved(_shingled(rows.join(wanted.select("id").distinct(), "id", "left_semi")).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     some = buckets.where(F.col("slot") < FIRST_CHUNKS * len(_MASKS)).withColumn("root", F.col("node"))
     pairs = _candidates(some, wanted.select("node", "sig"), False).groupBy("u", "v").agg(F.min("d").alias("d"))
     nth = F.row_number().over(W.partitionBy("v").orderBy("d", "u"))
-    pairs = saved(pairs.withColumn("nth", nth).where("nth <= 3").select("u", "v"), "pairs")
+    pairs = saved(pairs.withColumn("nth", nth).where("nth <= 3").select("u", "v"), "pairs", 3 * count)
     links = saved(_linked(pairs, sets, percent), "linked")
-    roots = saved(components(links), "roots")
+    roots = saved(components(links), "roots", count)
     held = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
     held = saved(held.join(apart.select("key"), "key", "left_semi"), "apart")
@@ -323,7 +324,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", *, id_col: str = "doc
     payload = wanted.select("node", "sig").join(sketched, "node")
     pairs = saved(_candidates(held, payload, True).select("u", "v").join(pairs, ["u", "v"], "left_anti"), "pairs")
     links = links.unionByName(saved(_linked(pairs, sets, percent), "linked"))
-    roots = saved(components(links), "roots")
+    roots = saved(components(links), "roots", count)
 
     # Only groups that hold more than one row need to be told their component.
     joined = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

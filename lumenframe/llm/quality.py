@@ -20,7 +20,7 @@ from .sampling import thinned
 
 CUT = 0.7
 MOST_ROWS, LONGEST = 4000, 20_000
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 #: Character classes, by byte.
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
