@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import saved
 
-__all__ = ["WORD", "documents", "saved", "text_of"]
+__all__ = ["WORD", "documents", "saved", "text_of", "with_columns"]
 
 #: Fixed by the contracts: white space is space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,3 +21,39 @@ def text_of(df: DataFrame, text_col: str):
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
+
+
+#: Rows handed to a row-wise operator at once.
+STEP = 1000
+
+
+def with_columns(df: DataFrame, text_col: str, added: dict[str, str], make, extra: dict | None = None) -> DataFrame:
+    """Append the columns ``added`` (name to type) that ``make(texts, extras)`` gives for lists of texts.
+
+    Other columns pass through as Arrow buffers, untouched; only the texts of a thousand rows at a time become
+    Python strings. Null texts come as empty ones. ``extra`` names further column expressions whose values come
+    as the list ``extras``. Columns of ``df`` named like an added one are replaced.
+    """
+    kept = [c for c in df.columns if c.lower() not in {a.lower() for a in added}]
+    same = text_col in kept and dict(df.dtypes)[text_col] == "string"
+    more = [*([] if same else [text_of(df, text_col)]), *(extra or {}).values()]
+    rows = df.select(*[df[c] for c in kept], *more).toDF(*[f"c{i}" for i in range(len(kept) + len(more))])
+    at = kept.index(text_col) if same else len(kept)
+    first = len(kept) + (not same)
+    schema = rows.select(*rows.columns[: len(kept)]).schema
+    for name, kind in added.items():
+        schema = schema.add(f"new_{name}", kind)
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, STEP):
+                part = batch.slice(start, STEP)
+                texts = ["" if t is None else t for t in part.column(at).to_pylist()]
+                extras = [part.column(i).to_pylist() for i in range(first, part.num_columns)]
+                made = [pa.array(m) for m in make(texts, extras)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], names=names)
+
+    return rows.mapInArrow(run, schema).toDF(*kept, *added)

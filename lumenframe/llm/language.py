@@ -8,14 +8,11 @@ probabilities; a text's are their mean weighted by word length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, text_of
+from .base import documents, text_of, with_columns
 from .chain import Adagrad, forward_backward
 from .sampling import thinned
 
@@ -177,26 +174,20 @@ def identify(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     columns are carried, those named like an output replaced. Rows are independent: repeated rows and empty tables
     need no rule.
     """
-    kept = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
     if not model["classes"]:
+        kept = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
         return df.select(*[df[c] for c in kept], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    rows = df.select(*[df[c] for c in kept], text_of(df, text_col).alias("text_")).toDF(*[f"c{i}" for i in range(len(kept))], "text_")
-    rows = rows.withColumn("sound", F.regexp_like("text_", F.lit(r"\p{L}")))
-    schema = rows.drop("text_", "sound").schema.add("lang_pred", "string").add("score", "double")
     shared = df.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS and the number of languages
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str], extras: list) -> tuple[list, np.ndarray]:
         held = shared.value
-        names = np.array([*held["classes"], UNKNOWN], object)
-        for batch in batches:
-            p = predict(held, batch["text_"].tolist())
-            best = np.where(batch["sound"].to_numpy() & (p.sum(axis=1) > 0), p.argmax(axis=1), len(names) - 1)
-            out = batch.drop(columns=["text_", "sound"])
-            out["lang_pred"] = names[best]
-            out["score"] = np.where(best < len(names) - 1, np.clip(p.max(axis=1), 0, 1), 0.0)
-            yield out
-
-    return rows.mapInPandas(run, schema).toDF(*kept, "lang_pred", "score")
+        names = [*held["classes"], UNKNOWN]
+        p = predict(held, texts)
+        best = np.where(np.array(extras[0], bool) & (p.sum(axis=1) > 0), p.argmax(axis=1), len(names) - 1)
+        return [names[i] for i in best], np.where(best < len(names) - 1, np.clip(p.max(axis=1), 0, 1), 0.0)
+
+    sound = F.regexp_like(text_of(df, text_col), F.lit(r"\p{L}"))
+    return with_columns(df, text_col, {"lang_pred": "string", "score": "double"}, make, {"sound": sound})
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, text_of
+from .base import documents, with_columns
 from .chain import Adagrad, forward_backward
 from .sampling import thinned
 
@@ -207,21 +206,14 @@ def score_quality(df: DataFrame, model: dict | None, text_col: str = "text") ->
     Null texts count as empty; an empty text is one empty line. Without a model every score is 0.5. Other columns
     are carried, one named score replaced. Rows are independent: repeated rows and empty tables need no rule.
     """
-    kept = [c for c in df.columns if c.lower() != "score"]
     if model is None:
-        return df.select(*[df[c] for c in kept], F.lit(0.5).alias("score"))
-    rows = df.select(*[df[c] for c in kept], text_of(df, text_col).alias("text_")).toDF(*[f"c{i}" for i in range(len(kept))], "text_")
-    schema = rows.drop("text_").schema.add("score", "double")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b = model["bend"]
-        for batch in batches:
-            s = raw_scores(model, batch["text_"].tolist())
-            out = batch.drop(columns="text_")
-            out["score"] = np.clip(np.where(s < b, s / b * CUT, CUT + (s - b) / (1 - b) * (1 - CUT)), 0, 1)
-            yield out
-
-    return rows.mapInPandas(run, schema).toDF(*kept, "score")
+        return df.select(*[df[c] for c in df.columns if c.lower() != "score"], F.lit(0.5).alias("score"))
+
+    def make(texts: list[str], extras: list) -> tuple[np.ndarray]:
+        b, s = model["bend"], raw_scores(model, texts)
+        return (np.clip(np.where(s < b, s / b * CUT, CUT + (s - b) / (1 - b) * (1 - CUT)), 0, 1),)
+
+    return with_columns(df, text_col, {"score": "double"}, make)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

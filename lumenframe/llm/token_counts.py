@@ -14,14 +14,11 @@ until no last state changes. The sum of annotations is the text's count, equal t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, text_of
+from .base import documents, text_of, with_columns
 
 SPACE = "▁"
 #: Characters of one chunk, characters run together, and the compiled states at which the table starts anew.
@@ -253,21 +250,13 @@ def count_tokens(df: DataFrame, model: str, text_col: str = "text") -> DataFrame
     have 0 tokens. Other columns are carried, one named n_tokens replaced; repeated rows and an empty table need
     no rule.
     """
-    kept = [c for c in df.columns if c.lower() != "n_tokens"]
-    rows = df.select(*[df[c] for c in kept], text_of(df, text_col).alias("n_tokens")).toDF(*[f"c{i}" for i in range(len(kept))], "text")
-    schema = rows.drop("text").schema.add("n_tokens", "long", False)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str], extras: list) -> tuple[np.ndarray]:
         import public_tokenizers
 
-        counter = _transducer(public_tokenizers.path(model))
-        for batch in batches:
-            counts = counter.count(batch["text"].tolist())
-            out = batch.drop(columns="text")
-            out["n_tokens"] = counts
-            yield out
+        return (_transducer(public_tokenizers.path(model)).count(texts),)
 
-    return rows.mapInPandas(run, schema).toDF(*kept, "n_tokens")
+    return with_columns(df, text_col, {"n_tokens": "long"}, make)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
