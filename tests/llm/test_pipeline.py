@@ -56,6 +56,12 @@ def test_odd_and_empty_tables_pass_every_stage(spark, odd, none):
         assert (docs.count() > 0) == (table is odd)
 
 
+def test_rows_without_an_id_are_kept(spark):
+    rows = [(None, "a text of its own kind", "en", "s", 22), (1, "another text of another kind", "en", "s", 28)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == 2
+
+
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
