@@ -62,20 +62,20 @@ def _octets(value: Column) -> Column:
     return ~F.exists(bare, lambda p: (F.length(p) > 3) | (F.substring(p, 1, 3).cast("int") > 255))
 
 
-def pii_spans(text: Column) -> Column:
-    """Confirmed spans sorted by start, then kind: structs of start, rank, end, kind, value."""
+def pii_spans(text: Column, window: int = 40) -> Column:
+    """Confirmed spans sorted by start, then kind: structs of start, rank, end, kind, value, near."""
     count = lambda s: F.length(_digits(s["value"]))
     digit = F.regexp_like(text, F.lit("[0-9]{2}|[0-9][ -][0-9]"))
-    email = or_empty(match_spans(text, EMAIL, "email", 0, F.contains(text, F.lit("@"))))
-    ip = F.filter(or_empty(match_spans(text, IP, "ip", 1, F.contains(text, F.lit(".")))), lambda s: _octets(s["value"]))
-    card = F.filter(or_empty(match_spans(text, CARD, "card", 2, digit)), lambda s: count(s).between(12, 19) & luhn(s["value"]))
-    phone = F.filter(or_empty(match_spans(text, PHONE, "phone", 3, F.contains(text, F.lit("+")))), lambda s: count(s).between(9, 15))
-    iban = F.filter(or_empty(match_spans(text, IBAN, "iban", 4, F.regexp_like(text, F.lit("[A-Z]{2}[0-9]{2}")))), lambda s: mod97(s["value"]))
+    email = or_empty(match_spans(text, EMAIL, "email", 0, F.contains(text, F.lit("@")), window=window))
+    ip = F.filter(or_empty(match_spans(text, IP, "ip", 1, F.contains(text, F.lit(".")), window=window)), lambda s: _octets(s["value"]))
+    card = F.filter(or_empty(match_spans(text, CARD, "card", 2, digit, window=window)), lambda s: count(s).between(12, 19) & luhn(s["value"]))
+    phone = F.filter(or_empty(match_spans(text, PHONE, "phone", 3, F.contains(text, F.lit("+")), window=window)), lambda s: count(s).between(9, 15))
+    iban = F.filter(or_empty(match_spans(text, IBAN, "iban", 4, F.regexp_like(text, F.lit("[A-Z]{2}[0-9]{2}")), window=window)), lambda s: mod97(s["value"]))
     return F.array_sort(F.concat(email, ip, card, phone, iban))
 
 
-def _score(text: Column, s: Column, window: int) -> Column:
-    near = F.lower(F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - window), s["end"] - s["start"] + 2 * window))
+def _score(s: Column) -> Column:
+    near = F.lower(s["near"])
     base, hit = F.lit(0.0), F.lit(False)
     for kind, value in SCORES.items():
         base = F.when(s["kind"] == kind, F.lit(value)).otherwise(base)
@@ -86,17 +86,18 @@ def _score(text: Column, s: Column, window: int) -> Column:
 def find_pii(df: DataFrame, text_col: str = "text", *, window: int = 40) -> DataFrame:
     """Append ``pii``, an array of (start, rank, end, kind, value, score), to every row.
 
-    Offsets count code points, end exclusive. Null and empty texts get an empty array. All other columns are
+    Offsets count code points, end exclusive. Context words are looked for up to ``window`` characters away, not
+    beyond the next match of the same pattern. Null and empty texts get an empty array. All other columns are
     carried; an input column named ``pii`` is replaced. Rows are independent, so ties, repeated rows and an
     empty table need no rule of their own.
     """
     text = text_of(df, text_col)
-    with_spans = df.withColumn("pii", pii_spans(text))
+    with_spans = df.withColumn("pii", pii_spans(text, window))
     return with_spans.withColumn(
         "pii",
         F.transform(
             with_spans["pii"],
-            lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "value")], _score(text_of(with_spans, text_col), s, window).alias("score")),
+            lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "value")], _score(s).alias("score")),
         ),
     )
 

@@ -11,23 +11,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 256
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string,near:string>>"
 
 
 def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
 
 
-def match_spans(text: Column, pattern: str, kind: str, rank: int, guard: Column, group: int = 0) -> Column:
-    """Array of (start, rank, end, kind, value) for the leftmost non-overlapping matches; empty where ``guard`` fails.
+def match_spans(text: Column, pattern: str, kind: str, rank: int, guard: Column, group: int = 0, window: int = 0) -> Column:
+    """Array of (start, rank, end, kind, value, near) for the leftmost non-overlapping matches; null where ``guard`` fails.
 
-    Offsets are code points, end exclusive; ``value`` is the text of ``group``.
+    Offsets are code points, end exclusive; ``value`` is the text of ``group``, ``near`` the match with up to
+    ``window`` characters of the gaps on both sides.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
 
-    bound = F.array(F.struct(found.alias("m"), values.alias("v"), F.transform(gaps, lambda g: F.length(g)).alias("g")))
+    bound = F.array(F.struct(found.alias("m"), values.alias("v"), gaps.alias("t"), F.transform(gaps, lambda g: F.length(g)).alias("g")))
+
+    def around(b: Column) -> Column:
+        if not window:
+            return F.transform(b["m"], lambda m: F.lit(None).cast("string"))
+        before, after = lambda i: F.substring(F.get(b["t"], i), -window, window), lambda i: F.substring(F.get(b["t"], i + 1), 1, window)
+        return F.transform(b["m"], lambda m, i: F.concat(before(i), m, after(i)))
+
     out = F.flatten(
         F.transform(
             F.transform(
@@ -37,12 +45,14 @@ def match_spans(text: Column, pattern: str, kind: str, rank: int, guard: Column,
                         F.transform(b["m"], lambda m: F.length(m)).alias("n"),
                         F.transform(b["m"], lambda m, i: F.get(b["g"], i) + F.length(m)).alias("step"),
                         b["v"].alias("v"),
+                        around(b).alias("near"),
                     ),
                 ),
                 lambda b: F.struct(
                     b["n"].alias("n"),
                     b["step"].alias("step"),
                     b["v"].alias("v"),
+                    b["near"].alias("near"),
                     F.transform(F.sequence(F.lit(0), F.floor(F.size(b["n"]) / BLOCK).cast("int")), lambda k: _sum(F.slice(b["step"], k * BLOCK + 1, BLOCK))).alias("sums"),
                 ),
             ),
@@ -61,6 +71,7 @@ def match_spans(text: Column, pattern: str, kind: str, rank: int, guard: Column,
                     ).alias("end"),
                     F.lit(kind).alias("kind"),
                     v.alias("value"),
+                    F.get(b["near"], i).alias("near"),
                 ),
             ),
         )
