@@ -33,7 +33,8 @@ def uniform_sampling(frames: DataFrame, start: float, duration: float, count: in
     targets = spine.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     targets = targets.withColumn("ts_s", start + F.col("n") * duration / count)
     timeline = ranked.select(*by, "ts_s", "rank", F.lit(None).cast("int").alias("n")).unionByName(targets.select(*by, "ts_s", F.lit(None).cast("int").alias("rank"), "n"))
-    ahead = W.partitionBy(*by).orderBy(F.col("ts_s"), F.col("n").asc_nulls_last()).rowsBetween(0, W.unboundedFollowing)
+    # Backwards in time, so that the frame only grows: a frame that ends at the last row would be summed anew for each row.
+    ahead = W.partitionBy(*by).orderBy(F.col("ts_s").desc(), F.col("n").desc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     firsts = timeline.withColumn("first", F.min("rank").over(ahead)).where("n IS NOT NULL AND first IS NOT NULL")
     upto = W.partitionBy(*by).orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     chosen = firsts.withColumn("rank", F.col("n") + F.max(F.col("first") - F.col("n")).over(upto)).select(*by, "n", "rank")

@@ -31,7 +31,7 @@ def clear(spark: SparkSession) -> None:
 
 
 #: Rows to a file where a table's size is known beforehand.
-ROWS = 250_000
+ROWS = 50_000
 
 
 def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
