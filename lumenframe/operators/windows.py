@@ -29,6 +29,16 @@ def subwindows(windows: DataFrame) -> DataFrame:
     return parts.select("window", F.col("part").cast("long").alias("part"), F.explode(F.slice("frames", F.col("start") + 1, F.col("size"))).alias("frame"))
 
 
+def parts(frames: list[int]) -> list[list[int]]:
+    """The same halves as :func:`subwindows`, of one window's sorted frames on the driver."""
+    if len(frames) <= 8:
+        return []
+    size = max(8, (len(frames) + 1) // 2)
+    last = len(frames) - size
+    starts = list(range(0, last + 1, size - max(6, size // 2)))
+    return [frames[s : s + size] for s in (starts if starts[-1] == last else [*starts, last])]
+
+
 def rank_windows(windows: DataFrame, observations: DataFrame, cameras: DataFrame, landmarks: DataFrame, first: bool = False) -> DataFrame:
     """(window, shared, tracks, rank): most shared cameras first, then most tracks, then index.
 
