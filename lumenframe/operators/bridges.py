@@ -54,29 +54,44 @@ def fit_scale(poses: dict[int, tuple[np.ndarray, np.ndarray]], target: int, anch
     return float(np.exp(middle)) if (np.abs(logs - middle) <= MOST_LOG_SCALE).mean() >= 0.7 else None
 
 
+def _off(target: pd.DataFrame, k: np.ndarray, pose: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Pixel errors of a target's points in a world-to-camera pose; infinite behind it."""
+    c = target[["x", "y", "z"]].to_numpy(float) @ pose[0].T + pose[1]
+    with np.errstate(all="ignore"):
+        off = np.linalg.norm((c @ k.T)[:, :2] / c[:, 2:] - target[["u", "v"]].to_numpy(float), axis=1)
+    return np.where((c[:, 2] > 0) & np.isfinite(off), off, np.inf)
+
+
+def _held(target: pd.DataFrame) -> np.ndarray:
+    return target["held"].to_numpy(bool) if "held" in target else held_out(target["track"]).to_numpy()
+
+
+def supported(target: pd.DataFrame, k: np.ndarray, pose: tuple[np.ndarray, np.ndarray], pixels: float = 3.0) -> bool:
+    """Enough training points within ``pixels``, and 80 % of enough held-out points within five."""
+    held, off = _held(target), _off(target, k, pose)
+    return (off[~held] <= pixels).sum() >= TRAIN and held.sum() >= HELD and (off[held] <= 5).sum() >= 0.8 * held.sum()
+
+
 def solve_pose(target: pd.DataFrame, k: np.ndarray, pixels: float = 3.0) -> tuple[np.ndarray, np.ndarray] | None:
     """Camera pose from a target's training points, if its held-out points agree too."""
-    held = target["held"].to_numpy(bool) if "held" in target else held_out(target["track"]).to_numpy()
-    xyz, uv = target[["x", "y", "z"]].to_numpy(float), target[["u", "v"]].to_numpy(float)
-    pose = pose_from_points(xyz[~held], uv[~held], k, pixels)
+    held = _held(target)
+    pose = pose_from_points(target[["x", "y", "z"]].to_numpy(float)[~held], target[["u", "v"]].to_numpy(float)[~held], k, pixels)
     if pose is None or pose[2].sum() < TRAIN:
         return None
-    c = xyz[held] @ pose[0].T + pose[1]
-    with np.errstate(all="ignore"):
-        off = np.linalg.norm((c @ k.T)[:, :2] / c[:, 2:] - uv[held], axis=1)
-    return (pose[0], pose[1]) if ((c[:, 2] > 0) & (off <= pixels)).sum() >= HELD else None
+    return (pose[0], pose[1]) if supported(target, k, (pose[0], pose[1]), pixels) else None
 
 
-def recover_bridges(targets: dict[int, pd.DataFrame], k: np.ndarray, accept: Callable[[int, tuple], int]) -> list[tuple[int, int]]:
+def recover_bridges(targets: dict[int, pd.DataFrame], k: np.ndarray | dict[int, np.ndarray], accept: Callable[[int, tuple], int], solves: int = SOLVES, bridges: int = BRIDGES) -> list[tuple[int, int]]:
     """Try targets in order: solve a pose, let ``accept(frame, pose)`` join the groups and count restored tracks.
 
-    At most SOLVES solves and BRIDGES bridges; a bridge needs RESTORED restored tracks. Returns (frame, restored).
+    At most ``solves`` solves and ``bridges`` bridges; a bridge needs RESTORED restored tracks. ``k`` is one camera
+    matrix, or one for each frame. Returns (frame, restored).
     """
     made: list[tuple[int, int]] = []
-    for frame, target in list(targets.items())[:SOLVES]:
-        if len(made) == BRIDGES:
+    for frame, target in list(targets.items())[:solves]:
+        if len(made) == bridges:
             break
-        pose = solve_pose(target, k)
+        pose = solve_pose(target, k[frame] if isinstance(k, dict) else k)
         if pose is not None and (n := accept(frame, pose)) >= RESTORED:
             made.append((frame, n))
     return made

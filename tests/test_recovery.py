@@ -60,3 +60,32 @@ def test_parts_of_a_rejected_window_join(again):
     other = MapBuilder(obs[["track", "frame", "u", "v"]], WindowOptions(window_size=8, overlap=4))
     assemble(other, plan, predict=predict if again else None)
     assert sorted(other.map.cameras["frame"]) == sorted(b.map.cameras["frame"])
+
+
+def test_parts_of_a_window_without_a_common_track_are_aligned_each():
+    """Tracks of two kinds share the frames 0 to 3 alone, so the later window falls into two groups with gauges of their own."""
+    x, r, c, obs = scene(n=16, m=400)
+    one, two = [*range(7), 10, 11, 12], [*range(4), 7, 8, 9, 13, 14, 15]
+    obs = obs[np.where(obs["track"] % 2 == 0, obs["frame"].isin(one), obs["frame"].isin(two))]
+    gauges = lambda f: (2.5, TURN, SHIFT) if f in one else (0.8, TURN.T, -SHIFT)
+    b = MapBuilder(obs[["track", "frame", "u", "v"]], WindowOptions(window_size=12, overlap=6))
+    plan = {0: predicted(r, c, obs, list(range(10)), lambda f: (1.0, EYE, ZERO)), 1: predicted(r, c, obs, list(range(4, 16)), gauges)}
+    attempts = assemble(b, plan, lambda builder, waiting: sorted(waiting))
+    assert attempts["status"].tolist() == ["accepted", "accepted"] and len(b.map.cameras) == 16
+    assert even_steps(b.map, c)
+
+
+@pytest.mark.parametrize("seen", [True, False])
+def test_a_bridge_joins_a_part_without_a_frame_of_the_map(seen):
+    """The last four frames come in a gauge of their own; only tracks of the others' landmarks in them tell where they are."""
+    x, r, c, obs = scene(n=14, m=500)
+    obs = obs[np.where(obs["track"] < 300, (obs["frame"] < 10) | seen, obs["frame"] >= 10)]
+    gauges = lambda f: (1.0, EYE, ZERO) if f < 10 else (1.6, TURN, SHIFT)
+    b = MapBuilder(obs[["track", "frame", "u", "v"]], WindowOptions(window_size=8, overlap=4))
+    plan = {0: predicted(r, c, obs, list(range(8)), gauges), 1: predicted(r, c, obs, list(range(4, 14)), gauges)}
+    attempts = assemble(b, plan, lambda builder, waiting: sorted(waiting))
+    second = attempts[attempts["window"] == 1].iloc[0]
+    if seen:
+        assert second["status"] == "accepted" and len(b.map.cameras) == 14 and even_steps(b.map, c)
+    else:
+        assert second["status"] == "rejected" and b.map.cameras["frame"].max() < 10
