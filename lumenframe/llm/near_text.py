@@ -22,8 +22,9 @@ from .base import documents, saved, text_of
 
 WORDS, PERCENT = 5, 75
 CHUNKS, SYMBOLS, ERRORS = 6, 6, 2
-#: At a similarity of exactly 0.75 a pair differs in 9 of 36 symbols on average, in more than 18 once in 4000 times.
-DISTANCE = 18
+#: At a similarity of exactly 0.75 a pair differs in 9 of 36 symbols on average, in more than 24 once in 38 million
+#: times. It meets under no key once in 42,000 times: none of the chunks has then SYMBOLS - ERRORS equal symbols.
+DISTANCE = 24
 _MASKS = np.array([*combinations(range(SYMBOLS), SYMBOLS - ERRORS)])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -32,7 +33,7 @@ _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, CHUNKS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, CHUNKS * SYMBOLS, dtype=np.uint64)
 #: One-bit symbols of the longer sketch, and the most that may differ: at a similarity of 0.75 an eighth does, with a
-#: deviation of 15; four and a half deviations are allowed, so a pair is lost once in 300,000 times.
+#: deviation of 15; four and a half deviations are allowed, so a pair is lost once in 210,000 times.
 BITS, MOST_BITS = 2048, 2048 // 8 + 68
 BLOCK = 1024
 #: Chunks whose keys the first round looks at.

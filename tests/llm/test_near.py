@@ -130,3 +130,13 @@ def test_very_small_and_large_vectors_keep_their_direction(spark):
 
 def test_vectors_of_an_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_a_pair_of_many_differing_symbols_is_found(spark):
+    """Two texts at exactly 0.75 whose signatures differ in 20 of 36 symbols."""
+    words = [f"s1253w{i}" for i in range(74)]
+    texts = [" ".join(words), " ".join(words[:64] + [f"t1253w{i}" for i in range(10)])]
+    sig = near_text.signatures(near_text.shingle_sets(texts))
+    assert (sig[0] != sig[1]).sum() == 20
+    got = near_text.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {0: 0, 1: 0}
