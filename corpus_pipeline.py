@@ -25,9 +25,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least id stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """Of each group of near duplicates one row stays: of the least id (none comes last), then by a hash of its text.
+
+    Rows are told apart by a number of their own, so repeated rows and rows without an id are near duplicates like
+    any others. Texts without a word are in no group and stay.
+    """
+    rows = saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("kept_row")), "numbered")
+    found = near_duplicates(rows, id_col="kept_row").select("kept_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "kept_row")
+    known = rows.select("kept_row", order.alias("at"))
+    kept = found.join(known, "kept_row").groupBy("component_id").agg(F.min_by("kept_row", "at").alias("kept_row"))
+    return rows.join(kept.select("kept_row"), "kept_row", "left_semi").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -293,8 +293,9 @@ def near_duplicates(df: DataFrame, text_col: str = "text", *, id_col: str = "doc
 
     Texts are lower-cased in A-Z and cut into words at ASCII white space; a set holds the distinct runs of five
     words, the whole sequence for fewer. Null texts count as empty; an empty set links with nothing. Rows of equal
-    sets are linked and stand as one node from then on. Rows repeating an id are treated each by its text. Only
-    the id column is carried. An empty table gives no rows.
+    sets are linked and stand as one node from then on. Rows repeating an id are treated each by its text, and
+    all rows of the least id are kept. Rows without an id link like others; a component of such rows alone has a null
+    id, and all its rows are kept. Only the id column is carried. An empty table gives no rows.
 
     Nodes under one key are compared in two rounds. The first confirms some nearest pairs, which joins most groups
     of copies; it only saves work. The second confirms every pair of different components that is within DISTANCE
@@ -306,11 +307,15 @@ def near_duplicates(df: DataFrame, text_col: str = "text", *, id_col: str = "doc
     groups = described.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     groups = saved(groups.withColumnRenamed("k1", "node"), "groups", count)
     first = described.join(groups.select(F.col("rep").alias("id"), F.col("node").alias("k1"), "k2"), ["id", "k1", "k2"]).select(F.col("k1").alias("node"), "sig", "id")
+    # Sets held only by rows without an id have no such row to stand for them; any will do.
+    nameless = described.where("id IS NULL").join(groups.where("rep IS NULL").select(F.col("node").alias("k1"), "k2"), ["k1", "k2"])
+    first = first.unionByName(nameless.select(F.col("k1").alias("node"), "sig", "id").dropDuplicates(["node"]))
     by_key = W.partitionBy("key").orderBy("node")
     buckets = _keyed(first).withColumn("beside", F.coalesce(F.lead("node").over(by_key), F.lag("node").over(by_key)))
     buckets = saved(buckets.where("beside IS NOT NULL").select("key", F.col("slot").cast("long").alias("slot"), "node"), "buckets")
     wanted = saved(first.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "sig", "id"), "wanted", count)
-    sets = saved(_shingled(rows.join(wanted.select("id").distinct(), "id", "left_semi")).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    texts = rows.join(wanted.select("id").distinct(), "id", "left_semi").unionByName(rows.where("id IS NULL"))
+    sets = saved(_shingled(texts).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     some = buckets.where(F.col("slot") < FIRST_CHUNKS * len(_MASKS)).withColumn("root", F.col("node"))
     pairs = _candidates(some, wanted.select("node", "sig"), False).groupBy("u", "v").agg(F.min("d").alias("d"))

@@ -62,6 +62,17 @@ def test_rows_without_an_id_are_kept(spark):
     assert corpus_pipeline.near_dedup(spark, docs, "").count() == 2
 
 
+def test_one_row_of_a_component_is_kept(spark):
+    words = " ".join(f"word{i}" for i in range(60))
+    lone = " ".join(f"lone{i}" for i in range(60))
+    texts = [(5, words), (5, words), (None, words), (7, words.replace("word59", "other")), (None, lone), (None, lone), (None, lone.replace("lone59", "other")), (3, "x y z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs.repartition(3), "").collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["3", "5", "None"]
+    ids = [r["component_id"] for r in corpus_pipeline.near_duplicates(docs.where("doc_id IS NULL OR doc_id = 3").unionByName(docs.limit(1).selectExpr("9L AS doc_id", f"'{lone.replace('lone58 lone59', 'last')}' AS text", "lang", "source", "n_chars"))).collect()]
+    assert sorted(map(str, ids)).count("9") == 4  # rows without an id link with document 9
+
+
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
