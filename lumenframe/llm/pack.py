@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,11 @@ LENGTH = 2048
 PARTS = 512
 END = 1
 _encoders: dict = {}
+#: Blank runs from this length on go round the encoder's pattern, whose matcher has a bounded stack. The class is
+#: the white space of that pattern.
+LONG_BLANK = 50_000
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_BLANK)
+SPECIAL = "<|endoftext|>"
 
 
 def _encoder(name: str):
@@ -39,10 +45,27 @@ def _encoder(name: str):
 
         with open(P.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[name] = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+        _encoders[name] = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
     return _encoders[name]
 
 
+def token_ids(encoder, text: str) -> np.ndarray:
+    """Ids of the whole text.
+
+    A long blank run is cut out where the pattern would cut it: it ends before its last character if an ordinary
+    word or mark follows, and is one item for the merges.
+    """
+    parts, at = [], 0
+    for run in _LONG_BLANK.finditer(text) if len(text) >= LONG_BLANK else ():
+        whole = run.end() == len(text) or text.startswith(SPECIAL, run.end())
+        end = run.end() if whole else run.end() - 1
+        parts.append(encoder.encode_to_numpy(text[at : run.start()], allowed_special="all"))
+        parts.append(np.array(encoder._encode_single_piece(text[run.start() : end]), np.uint32))
+        at = end
+    parts.append(encoder.encode_to_numpy(text[at:] if at else text, allowed_special="all"))
+    return np.append(np.concatenate(parts) if len(parts) > 1 else parts[0], END).astype("<u4")
+
+
 def pieces(df: DataFrame, text_col: str = "text", *, id_col: str = "doc_id", length: int = LENGTH, vocabulary: str = "byte_bpe_50k", with_ids: bool = False) -> DataFrame:
     """Cut each row's tokens, with the end id, into pieces of ``length`` and one rest.
 
@@ -58,7 +81,7 @@ def pieces(df: DataFrame, text_col: str = "text", *, id_col: str = "doc_id", len
         for batch in batches:
             at, out = [], []
             for i, text in enumerate(batch["text"]):
-                ids = np.append(encoder.encode_to_numpy(text, allowed_special="all"), END).astype("<u4")
+                ids = token_ids(encoder, text)
                 for start in range(0, len(ids), length):
                     part = ids[start : start + length]
                     at.append(i)
