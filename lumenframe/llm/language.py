@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import documents, text_of, with_columns
-from .chain import Adagrad, forward_backward
+from .chain import Adagrad, forward_backward, mean_of_long
 from .sampling import thinned
+from .words import hashes, per_range, ranges, stretches
 
 UNKNOWN = "und"
 GRAMS = (2, 3, 4)
@@ -30,39 +31,41 @@ _TEXTUAL = np.zeros(256, bool)
 _TEXTUAL[65:91] = _TEXTUAL[97:123] = _TEXTUAL[128:] = True
 
 
+def _grams(data: np.ndarray) -> list[np.ndarray]:
+    """The hashed n-grams that begin at each byte but the last three."""
+    wide, out = data.astype(np.uint32), []
+    whole = wide[: len(wide) - 3].copy()
+    for n in range(1, max(GRAMS) + 1):
+        if n > 1:
+            whole = (whole << np.uint32(8)) | wide[n - 1 : len(wide) - 4 + n]
+        if n in GRAMS:
+            out.append(((whole * np.uint32(0x9E3779B1) + np.uint32(n)) >> np.uint32(32 - BITS)).astype(np.int32))
+    return out
+
+
+def _idle(data: np.ndarray) -> np.ndarray:
+    """Positions of no word, the last byte not asked: a word's go from the blank before it to its last byte."""
+    blank = data == 32
+    return np.flatnonzero(blank[:-1] & blank[1:])
+
+
 class Words:
     """Words of several texts as byte ranges, with the hashed features of every byte."""
 
     def __init__(self, raw: list[bytes]):
-        data = _LOWER[np.frombuffer(b" " + b" ".join(raw) + b"    ", np.uint8)]
-        blank = data == 32
-        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-        self.first, self.last = edge[::2], edge[1::2]
-        sizes = np.array([len(r) for r in raw], np.int64) + 1
+        data = _LOWER[np.frombuffer(b" " + b"    ".join(raw) + b"    ", np.uint8)]  # no n-gram reaches another text
+        self.first, self.last = ranges(data != 32)
+        sizes = np.array([len(r) for r in raw], np.int64) + 4
         begin = np.cumsum(sizes) - sizes + 1
         self.lo = np.searchsorted(self.first, begin)
         self.counts = np.searchsorted(self.first, begin + sizes) - self.lo
         letters = np.concatenate([[0], np.cumsum(_TEXTUAL[data])])
         self.weight = (letters[self.last] - letters[self.first]).astype(float)
-        wide = data.astype(np.uint32)
-        self.grams = []
-        whole = wide[: len(wide) - 3].copy()
-        for n in range(1, max(GRAMS) + 1):
-            if n > 1:
-                whole = (whole << np.uint32(8)) | wide[n - 1 : len(wide) - 4 + n]
-            if n in GRAMS:
-                self.grams.append(((whole * np.uint32(0x9E3779B1) + np.uint32(n)) >> np.uint32(32 - BITS)).astype(np.int32))
-        power = np.full(len(data), np.uint64(0x100000001B3))
-        power[0] = 1
-        power = np.cumprod(power, dtype=np.uint64)
-        back = np.full(len(data), np.uint64(pow(0x100000001B3, -1, 1 << 64)))
-        back[0] = 1
-        back = np.cumprod(back, dtype=np.uint64)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * power, dtype=np.uint64)])
-        word = (total[self.last] - total[self.first]) * back[self.first]
+        self.grams = _grams(data)
+        word = hashes(data, self.first, self.last, 0x100000001B3)
         self.lexicon = ((word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
-        # A word's positions: from the blank before it to its last byte; runs of blanks belong to the word before them.
         self.starts = self.first - 1
+        self.idle = _idle(data[: len(self.grams[0]) + 1])
 
     def emissions(self, tables: np.ndarray) -> np.ndarray:
         """``tables``: (features, hash, label)."""
@@ -71,6 +74,7 @@ class Words:
             per_byte = tables[0][self.grams[0]]
             for table, gram in zip(tables[1:-1], self.grams[1:], strict=True):
                 per_byte += table[gram]
+            per_byte[self.idle] = 0
             out += np.add.reduceat(per_byte, self.starts, axis=0)
         return out
 
@@ -83,6 +87,7 @@ class Words:
         lead = int(self.starts[0])
         for y in range(k):
             per_byte = slopes[of, y]
+            per_byte[self.idle[self.idle >= lead] - lead] = 0
             for g, gram in enumerate(self.grams):
                 out[g, :, y] = np.bincount(gram[lead:], weights=per_byte, minlength=1 << BITS)
             out[-1, :, y] = np.bincount(self.lexicon, weights=slopes[:, y], minlength=1 << BITS)
@@ -118,38 +123,51 @@ def fit(texts: list[str], labels: np.ndarray, classes: int, *, passes: int = 3,
     return {"tables": tables, "transitions": transitions, "start": start}
 
 
-def _scored(model: dict, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Emissions and weights of all words, and words of each text. One long text goes in parts cut at blanks."""
-    if len(raw) == 1 and len(raw[0]) > TOGETHER:
-        emissions, weights, at, whole = [], [], 0, raw[0]
-        while at < len(whole):
-            end = at + TOGETHER
-            end = min((i + 1 for b in (b" ", b"\n", b"\t") if (i := whole.find(b, end)) >= 0), default=len(whole))
-            words = Words([whole[at:end]])
-            emissions.append(words.emissions(model["tables"]))
-            weights.append(words.weight)
-            at = end
-        return np.concatenate(emissions), np.concatenate(weights) + 1e-6, np.array([sum(map(len, weights))])
-    words = Words(raw)
-    return words.emissions(model["tables"]), words.weight + 1e-6, words.counts
+def _long(model: dict, whole: bytes) -> np.ndarray:
+    """The probabilities of one long text, by stretches of its bytes; zeros if it has no word.
+
+    A word's features are sums over its bytes, so stretches may end anywhere. Beside the text some 40 bytes a
+    word are held, and 4 for each label.
+    """
+    tables = model["tables"]
+    data = _LOWER[np.frombuffer(b" " + whole + b"    ", np.uint8)]
+    first, last = ranges(data != 32)
+    if not len(first):
+        return np.zeros(tables.shape[2])
+    lexicon = (hashes(data, first, last, 0x100000001B3) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
+    out = tables[-1][lexicon.astype(np.int64)].astype(np.float32)
+    weight, starts = np.zeros((len(first), 1)), first - 1
+    for a, b in stretches(len(data) - max(GRAMS) + 1, TOGETHER):
+        grams = _grams(data[a : b + max(GRAMS) - 1])
+        per_byte = tables[0][grams[0]]
+        for table, gram in zip(tables[1:-1], grams[1:], strict=True):
+            per_byte += table[gram]
+        per_byte[_idle(data[a : b + 1])] = 0
+        per_range(per_byte, a, starts, out)
+        per_range(_TEXTUAL[data[a:b]].astype(float)[:, None], a, starts, weight)
+    return mean_of_long(out, weight[:, 0] + 1e-6, model["transitions"], model["start"])
 
 
 def predict(model: dict, texts: list[str]) -> np.ndarray:
     """Probabilities of each text, (texts, classes); a row of zeros for a text without words."""
     raw = _encoded(texts)
-    classes = len(model["start"])
-    out = np.zeros((len(raw), classes))
+    out = np.zeros((len(raw), len(model["start"])))
     at = 0
     while at < len(raw):
+        if len(raw[at]) > TOGETHER:
+            out[at] = _long(model, raw[at])
+            at += 1
+            continue
         end, held = at, 0
-        while end < len(raw) and (end == at or held + len(raw[end]) <= TOGETHER):
+        while end < len(raw) and held + len(raw[end]) <= TOGETHER:
             held += len(raw[end]) + 1
             end += 1
-        emissions, weight, counts = _scored(model, raw[at:end])
-        full = np.flatnonzero(counts > 0)
+        words = Words(raw[at:end])
+        full = np.flatnonzero(words.counts > 0)
         if len(full):
-            p = forward_backward(emissions, counts[full], model["transitions"], model["start"])
-            starts = (np.cumsum(counts) - counts)[full]
+            p = forward_backward(words.emissions(model["tables"]), words.counts[full], model["transitions"], model["start"])
+            starts = (np.cumsum(words.counts) - words.counts)[full]
+            weight = words.weight + 1e-6
             out[at + full] = np.add.reduceat(p * weight[:, None], starts, axis=0) / np.add.reduceat(weight, starts)[:, None]
         at = end
     return out
@@ -170,8 +188,8 @@ def train(df: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_
 def identify(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """Append lang_pred and score to every row.
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text if the model has no label. Other
-    columns are carried, those named like an output replaced. Rows are independent: repeated rows and empty tables
+    A text that is null or has no letter is ``und`` with score 0, as is every text if the model has no label. Very
+    long texts are scored in parts with the same result. Other columns are carried, those named like an output replaced. Rows are independent: repeated rows and empty tables
     need no rule.
     """
     if not model["classes"]:
