@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components as components
 from .base import documents, saved, text_of
+from .words import hashes, ranges
 
 WORDS, PERCENT = 5, 75
 CHUNKS, SYMBOLS, ERRORS = 6, 6, 2
@@ -27,8 +28,7 @@ CHUNKS, SYMBOLS, ERRORS = 6, 6, 2
 DISTANCE = 24
 _MASKS = np.array([*combinations(range(SYMBOLS), SYMBOLS - ERRORS)])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BASE = 0xD6E8FEB86659FD93
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, CHUNKS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, CHUNKS * SYMBOLS, dtype=np.uint64)
@@ -55,7 +55,10 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """The distinct shingles of each text as sorted 64-bit hashes. Words' hashes come from running sums over all bytes."""
+    """The distinct shingles of each text as sorted 64-bit hashes.
+
+    Short texts are hashed together; a long one alone, for some 40 bytes a word beside the text.
+    """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     out: list[np.ndarray] = []
     at = 0
@@ -64,16 +67,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
         while end < len(raw) and (end == at or held + len(raw[end]) <= TOGETHER):
             held += len(raw[end]) + 1
             end += 1
-        if held > TOGETHER + 1:  # one long text: its words are hashed part by part, cut at blanks
-            parts, here, whole = [], 0, raw[at]
-            while here < len(whole):
-                stop = min((i + 1 for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (i := whole.find(b, here + TOGETHER)) >= 0), default=len(whole))
-                parts.append(_words([whole[here:stop]])[0])
-                here = stop
-            word = np.concatenate(parts)
-            out += _sets(word, np.array([0]), np.array([len(word)]))
-        else:
-            out += _sets(*_words(raw[at:end]))
+        out += _sets(*_words(raw[at:end]))
         at = end
     return out
 
@@ -81,17 +75,8 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
 def _words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words, and each text's range among them."""
     data = _FOLD[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)]
-    blank = _BLANK[data]
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    first, last = edge[::2], edge[1::2]
-    scale = np.full(len(data), _BASE, np.uint64)
-    scale[0] = 1
-    scale = np.cumprod(scale, dtype=np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * scale, dtype=np.uint64)])
-    undo = np.full(len(data), _BACK, np.uint64)
-    undo[0] = 1
-    undo = np.cumprod(undo, dtype=np.uint64)
-    word = _mix((total[last] - total[first]) * undo[first] + (last - first).astype(np.uint64) * _ODD)
+    first, last = ranges(~_BLANK[data])
+    word = _mix(hashes(data, first, last, _BASE, add=1) + (last - first).astype(np.uint64) * _ODD)
     sizes = np.array([len(r) for r in raw], np.int64) + 1
     begin = np.cumsum(sizes) - sizes + 1
     lo = np.searchsorted(first, begin)
