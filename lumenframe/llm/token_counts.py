@@ -7,9 +7,11 @@ that ends there with its count against now. That is a deterministic transducer o
 transition carries by how much the count of emitted tokens changes. States are compiled as texts reach them
 and kept in a hash table that NumPy reads for thousands of text chunks at once.
 
-Chunks run side by side from the start state; the state maps of chunks then compose: a chunk whose true first
-state differs is followed until it meets the path already known (mostly within a word), and rounds repeat
-until no last state changes. The sum of annotations is the text's count, equal to the library's.
+Each chunk gets a state map: for every state in which it can begin, its last state and its count. The states
+in which it can begin are the start state and all last states of the chunk before; a run from a further one stops
+where it meets the run from the start state (mostly within a word). The maps are tables of a few small numbers,
+composed by a parallel prefix scan, which tells each chunk the state it really begins in. The sum of the
+annotations is the text's count, equal to the library's.
 """
 
 from __future__ import annotations
@@ -24,6 +26,33 @@ SPACE = "▁"
 #: Characters of one chunk, characters run together, and the compiled states at which the table starts anew.
 CHUNK, TOGETHER, MOST_STATES = 192, 3_000_000, 200_000
 _FOREIGN = 0x110000
+#: States tried at once on all chunks that don't settle.
+SPREAD = 16
+
+
+class Unmodelled(Exception):
+    """The vocabulary has no item that ends a text read so far; the library then counts the texts."""
+
+
+class Maps:
+    """State maps of chunks: how each can begin, with its last state and count; column 0 is the start state."""
+
+    def __init__(self, ends: np.ndarray, counts: np.ndarray):
+        self.begins, self.ends, self.counts = np.zeros((len(ends), 1), np.int32), ends[:, None].copy(), counts[:, None].astype(np.int64)
+        self.known = np.ones(len(ends), np.int64)
+
+    def missing(self, lanes: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        return (self.begins[lanes] != entry[:, None]).all(axis=1)
+
+    def add(self, lanes: np.ndarray, entry: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> None:
+        if not len(lanes):
+            return
+        at = self.known[lanes]
+        if at.max() == self.begins.shape[1]:
+            wider = lambda x, fill: np.concatenate([x, np.full_like(x, fill)], axis=1)
+            self.begins, self.ends, self.counts = wider(self.begins, -1), wider(self.ends, -1), wider(self.counts, 0)
+        self.begins[lanes, at], self.ends[lanes, at], self.counts[lanes, at] = entry, ends, counts
+        self.known[lanes] += 1
 
 
 class Transducer:
@@ -32,7 +61,7 @@ class Transducer:
     def __init__(self, model_path: str):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        self.library = model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.rank: dict[str, float] = {}
         for i in range(model.get_piece_size()):
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
@@ -98,7 +127,7 @@ class Transducer:
             if (len(item) == 1 or item in self.rank) and self.follows(left, item):
                 break
         else:
-            raise AssertionError(f"no item ends {grown!r}")
+            raise Unmodelled(grown)
         change = since + (1 if item in self.rank else len(item.encode()))
         kept = []
         for j, left, since in places:
@@ -155,6 +184,12 @@ class Transducer:
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
+        try:
+            return self._counted(texts)
+        except Unmodelled:
+            return np.array([len(self.library.encode(t)) for t in texts], np.int64)
+
+    def _counted(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
         lengths = np.array([len(t) for t in texts], np.int64)
         start = 0
@@ -179,6 +214,26 @@ class Transducer:
             start = stop
         return out
 
+    def _run(self, lanes: np.ndarray, entry: np.ndarray, begin: np.ndarray, length: np.ndarray, symbols: np.ndarray, path: np.ndarray, gone: np.ndarray):
+        """Last states and counts of ``lanes`` begun in the states ``entry``, with the runs from the start state known.
+
+        ``path`` and ``gone`` hold those runs' states and running counts; where a run meets one it is done.
+        """
+        last, total = np.zeros(len(lanes), np.int32), np.zeros(len(lanes), np.int64)
+        live, state, t = np.arange(len(lanes)), entry, 0
+        while len(live):
+            lane = lanes[live]
+            state, moved = self.advance(state, symbols[begin[lane] + t])
+            total[live] += moved
+            met = path[t, lane] == state
+            end = length[lane] - 1
+            done = met | (end == t)
+            at, whole = live[done], lane[done]
+            last[at] = np.where(met[done], path[end[done], whole], state[done])
+            total[at] += np.where(met[done], gone[end[done], whole] - gone[t, whole], 0)
+            live, state, t = live[~done], state[~done], t + 1
+        return last, total
+
     def _count(self, texts: list[str], first: int = 0) -> tuple[np.ndarray, int]:
         """Changes of the count over each text, the first text begun in state ``first``; and the last text's last state."""
         code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -188,49 +243,76 @@ class Transducer:
         n = int(chunks.sum())
         if not n:
             return np.zeros(len(texts), np.int64), first
-        text_of_lane = np.repeat(np.arange(len(texts)), chunks)
-        first_lane = np.cumsum(chunks) - chunks
-        nth = np.arange(n) - first_lane[text_of_lane]
-        begin = (np.cumsum(sizes) - sizes)[text_of_lane] + nth * CHUNK
-        length = np.minimum(CHUNK, sizes[text_of_lane] - nth * CHUNK)
-        order = np.argsort(-length, kind="stable")  # at each step the lanes still running are a prefix
-        begin, length = begin[order], length[order]
-        running = np.searchsorted(-length, -np.arange(CHUNK), side="left")
-        path = np.zeros((CHUNK, n), np.int32)
-        change = np.zeros((CHUNK, n), np.int16)
-        now = np.zeros(n, np.int32)
+        text_of = np.repeat(np.arange(len(texts)), chunks)
+        head = (np.cumsum(chunks) - chunks)[text_of] == np.arange(n)  # a text's first chunk
+        nth = np.arange(n) - (np.cumsum(chunks) - chunks)[text_of]
+        begin = (np.cumsum(sizes) - sizes)[text_of] + nth * CHUNK
+        length = np.minimum(CHUNK, sizes[text_of] - nth * CHUNK)
+        # All chunks from the start state; at each step the chunks still running are a prefix of the longest-first order.
+        order = np.argsort(-length, kind="stable")
+        running = np.searchsorted(-length[order], -np.arange(CHUNK), side="left")
+        path, gone = np.zeros((CHUNK, n), np.int32), np.zeros((CHUNK, n), np.int32)
+        now, sums = np.zeros(n, np.int32), np.zeros(n, np.int32)
         for t in range(int(length.max())):
-            m = int(running[t])
-            now[:m], change[t, :m] = self.advance(now[:m], symbols[begin[:m] + t])
-            path[t, :m] = now[:m]
-        # Compose the chunks' maps along the states that occur.
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        after = np.full(n, -1, np.int64)  # the lane that continues a lane
-        same = np.flatnonzero(text_of_lane[1:] == text_of_lane[:-1])
-        after[place[same]] = place[same + 1]
-        lanes = place[same + 1]
-        entry = path[length[place[same]] - 1, place[same]]
+            lane = order[: running[t]]
+            state, moved = self.advance(now[lane], symbols[begin[lane] + t])
+            now[lane] = state
+            sums[lane] += moved
+            path[t, lane], gone[t, lane] = state, sums[lane]
+        # The state maps: column c of a chunk is its c-th way to begin. A chunk's new last state is the next one's new beginning.
+        maps = Maps(path[length - 1, np.arange(n)], gone[length - 1, np.arange(n)])
+        lanes = np.flatnonzero(~head)
+        work = [(lanes, maps.ends[lanes - 1, 0])]
         if first:
-            lanes, entry = np.append(lanes, place[0]), np.append(entry, np.int32(first))
-        while len(lanes):
-            live, state, ended, t = lanes, entry, [], 0
-            while len(live):
-                state, moved = self.advance(state, symbols[begin[live] + t])
-                met = path[t, live] == state
-                path[t, live], change[t, live] = state, moved
-                last = ~met & (length[live] == t + 1)
-                ended.append(live[last])
-                go = ~met & ~last
-                live, state = live[go], state[go]
-                t += 1
-            changed = np.concatenate(ended) if ended else np.empty(0, np.int64)
-            changed = changed[after[changed] >= 0]
-            lanes, entry = after[changed], path[length[changed] - 1, changed]
-        per_lane = change.sum(axis=0, dtype=np.int64)
+            work.append((np.array([0]), np.array([first], np.int32)))
+        rounds = 0
+        while work:
+            lanes, entry = work.pop()
+            fresh = maps.missing(lanes, entry)
+            lanes, entry = lanes[fresh], entry[fresh]
+            if not len(lanes):
+                continue
+            rounds += 1
+            states = np.unique(entry) if rounds > 2 else ()
+            parts = [(lanes, entry)]
+            if 0 < len(states) <= SPREAD:  # states that run on from chunk to chunk: all later chunks of these texts learn them at once
+                since = np.full(len(texts), n)
+                np.minimum.at(since, text_of[lanes], lanes)
+                later = np.flatnonzero(np.arange(n) >= since[text_of])
+                parts = [(later, np.full(len(later), x, np.int32)) for x in states]
+                parts = [(p[m], e[m]) for p, e in parts for m in [maps.missing(p, e)]]
+            for lanes, entry in parts:
+                last, total = self._run(lanes, entry, begin, length, symbols, path, gone)
+                maps.add(lanes, entry, last, total)
+                follows = lanes + 1 < n
+                follows[follows] = ~head[lanes[follows] + 1]
+                work.append((lanes[follows] + 1, last[follows]))
+        which = self._scan(maps.begins, maps.ends, head, first)
         out = np.zeros(len(texts), np.int64)
-        np.add.at(out, text_of_lane[order], per_lane)
-        return out, int(path[length[place[-1]] - 1, place[-1]])
+        np.add.at(out, text_of, maps.counts[np.arange(n), which])
+        return out, int(maps.ends[-1, which[-1]])
+
+    @staticmethod
+    def _scan(begins: np.ndarray, ends: np.ndarray, head: np.ndarray, first: int) -> np.ndarray:
+        """For each chunk the column it really begins in, by a prefix scan over the composed maps.
+
+        ``step[i, c]`` is the column of chunk i + 1 that follows column c of chunk i. A chunk that ends a text maps all
+        columns to the next text's start, so texts don't reach each other.
+        """
+        n, width = begins.shape
+        start = int((begins[0] == first).argmax())
+        if width == 1 or n == 1:
+            return np.full(n, start if n == 1 else 0, np.int64)
+        step = np.zeros((n - 1, width), np.int64)
+        for c in range(width):
+            same = begins[1:] == ends[:-1, c : c + 1]
+            step[:, c] = np.where(head[1:], 0, same.argmax(axis=1))
+        step[0] = step[0, start]  # the first chunk's beginning is known
+        d = 1
+        while d < n - 1:
+            step[d:] = np.take_along_axis(step[d:], step[:-d], axis=1)
+            d *= 2
+        return np.append(start, step[:, 0])
 
 
 _compiled: dict[str, Transducer] = {}
