@@ -10,7 +10,9 @@ from .base import WORD, documents, saved, text_of
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3
-#: Bins of the random number per source; the sample's edge falls into one bin, and only its rows are ordered.
+#: Expected copies are proportional to the size's binary digits plus this.
+STEADY = 8
+#: Bins of the rank per source; the sample's edge falls into one bin, and only its rows are ordered.
 BINS = 4096
 
 
@@ -45,60 +47,109 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling
     return s.select(*sizes.columns, F.least("limit", F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
+def _share(bits: Column) -> Column:
+    """How much of a longer document is wanted against a shorter one: it grows with the digits of the binary size."""
+    return bits + float(STEADY)
+
+
+def expected_copies(classes: DataFrame) -> DataFrame:
+    """Append ``copies``, the expected copies of a document, to ``classes(source, bits, words, target, ...)``.
+
+    Within a source they are proportional to the share of the size class, none exceeds ``ceiling``, and words times
+    copies add up to the target. Classes of greater share are full first, so the level follows from running sums; the
+    table has at most 64 rows a source.
+    """
+    share = _share(F.col("bits"))
+    down = W.partitionBy("source").orderBy(F.desc("bits"))
+    before, rest = down.rowsBetween(W.unboundedPreceding, -1), down.rowsBetween(W.currentRow, W.unboundedFollowing)
+    limit = F.col("ceiling").cast("double")
+    weight = F.sum(share * F.col("words")).over(rest)
+    level = F.when(weight > 0, (F.col("target") - limit * F.coalesce(F.sum("words").over(before), F.lit(0))) / weight).otherwise(0.0)
+    c = classes.withColumn("level", level)
+    c = c.withColumn("level", F.max(F.when(F.col("level") * share < limit, F.struct("bits", "level"))).over(W.partitionBy("source"))["level"])
+    return c.withColumn("copies", F.greatest(F.lit(0.0), F.least(limit, F.coalesce(F.col("level") * share, limit)))).drop("level")
+
+
+def _rank(u: Column, part: Column) -> Column:
+    """Pareto rank in (0, 1): the odds of the random number over the odds of inclusion, as odds / (1 + odds)."""
+    odds = (u / (1 - u)) / (part / (1 - part))
+    return odds / (1 + odds)
+
+
 def mix(
     df: DataFrame, text_col: str = "text", *, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: int = 17
 ) -> DataFrame:
-    """Append size, source_size, target, copies and taken to every row of ``df``.
+    """Append size, source_size, target, copies, inclusion and taken to every row of ``df``.
 
-    A source that wants q times its words takes floor(q) whole copies of each document; the rest is a sample in
-    Pareto order. Each document's rank is the odds of its fixed random number over the odds of its inclusion,
-    and documents are taken by rising rank until the source's remaining words are reached. The document at that edge is taken in part (its
-    first words), so a source's taken words equal its target rounded. ``copies`` counts whole copies, ``taken``
-    words. Inclusion odds are alike within a source and differ between sources.
+    A source's expected copies of a document grow with the document's size class (the digits of its size in binary):
+    they are proportional to digits + STEADY, at most ``ceiling``, and their words add up to the target. Each document
+    takes the whole copies it is certain of; the fraction left is its inclusion probability, which differs between
+    documents. The sample is drawn in Pareto order: documents ranked by the odds of their fixed random number over
+    their odds of inclusion, the least ranks up to the words that the source has left. The document at that edge
+    is taken in part (its first words), so a source's taken words equal its target rounded. ``copies`` counts whole
+    copies, ``taken`` words, ``inclusion`` is the probability of the copy that is drawn for.
 
     Null texts have size 0 and take nothing; null sources form one source, ranked last; null ids share one random
-    number. Rows alike in id and size may stand for each other at the edge. Input columns named like an output
-    are replaced. An empty table returns no rows.
+    number. Rows alike in id and size share the room at the edge evenly, what doesn't divide stays untaken. Input
+    columns named like an output are replaced. An empty table returns no rows.
     """
     # Internal names can't clash: the input travels as one struct.
     rows = df.select(
         F.struct(*[df[c] for c in df.columns]).alias("row"),
-        df[source_col].alias("source"),
-        df[id_col].cast("string").alias("id"),
+        df[source_col].cast("string").alias("source"),
+        F.coalesce(df[id_col].cast("string"), F.lit("")).alias("id"),
         words(text_of(df, text_col)).alias("size"),
         _uniform(df[id_col], seed).alias("u"),
-    ).withColumn("bin", F.floor(F.col("u") * BINS).cast("int"))
-    # At most BINS sums a source: the sample's edge is then found inside one row, without ordering documents.
-    sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    sums = saved(sums.groupBy("source").agg(F.sum("words").alias("source_size"), F.sort_array(F.collect_list(F.struct("bin", "words"))).alias("bins")), "mix-sources")
-    plan = source_targets(sums.select("source", "source_size", "bins"), weights, ceiling)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = plan.withColumn("whole", F.floor(ratio + 1e-12).cast("long"))
-    plan = plan.withColumn("part", F.greatest(F.lit(0).cast("long"), F.round("target").cast("long") - F.col("whole") * F.col("source_size")))
+    ).withColumn("bits", F.length(F.bin("size")))
+    # Sums and the search of the edge run over a narrow table, so texts are read twice in all.
+    narrow = saved(rows.drop("row"), "mix-sizes")
+    sums = narrow.groupBy("source", "bits").agg(F.sum("size").alias("words"))
+    plan = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, ceiling)
+    of_source = F.col("source").eqNullSafe(F.col("of"))
+    classes = sums.join(plan.withColumnRenamed("source", "of"), of_source).select("source", "bits", "words", "source_size", "target", F.lit(ceiling).alias("ceiling"))
+    classes = expected_copies(classes).withColumn("whole", F.floor("copies").cast("long"))
+    classes = classes.select("source", "bits", "words", "source_size", "target", "whole", (F.col("copies") - F.col("whole")).alias("part"))
+    classes = saved(classes, "mix-classes")
+    # Ranks fall into bins, at most BINS sums a source; the edge is found inside one row, and only its bin is ordered.
+    ranked = narrow.join(classes.select(F.col("source").alias("of"), F.col("bits").alias("at"), "part"), of_source & (F.col("bits") == F.col("at")))
+    ranked = ranked.where("part > 0").withColumn("rank", _rank(F.col("u"), F.col("part"))).withColumn("bin", F.floor(F.col("rank") * BINS).cast("int"))
+    bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words")).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("bin", "words"))).alias("bins"))
+    room = classes.groupBy("source").agg(F.greatest(F.lit(0).cast("long"), F.round(F.first("target")).cast("long") - F.sum(F.col("whole") * F.col("words"))).alias("room"))
     start = F.struct(F.lit(-1).alias("edge"), F.lit(0).cast("long").alias("before"), F.lit(False).alias("over"))
     found = F.aggregate(
         "bins",
         start,
-        lambda a, x: F.when(a["over"] | (F.col("part") == 0), a).otherwise(
+        lambda a, x: F.when(a["over"] | (F.col("room") == 0), a).otherwise(
             F.when(
-                a["before"] + x["words"] >= F.col("part"), F.struct(x["bin"].alias("edge"), a["before"].alias("before"), F.lit(True).alias("over"))
-            ).otherwise(F.struct(F.lit(-1).alias("edge"), (a["before"] + x["words"]).alias("before"), F.lit(False).alias("over")))
+                a["before"] + x["words"] >= F.col("room"), F.struct(x["bin"].alias("edge"), a["before"].alias("before"), F.lit(True).alias("over"))
+            ).otherwise(F.struct(F.lit(BINS).alias("edge"), (a["before"] + x["words"]).alias("before"), F.lit(False).alias("over")))
         ),
     )
-    plan = saved(plan.withColumn("found", found).select(F.col("source").alias("of"), "source_size", "target", "whole", "part", "found.edge", "found.before"), "mix-plan")
-    planned = rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
-    inside = planned.where(F.col("bin") != F.col("edge")).withColumn("sampled", F.when(F.col("bin") < F.col("edge"), F.col("size")).otherwise(0).cast("long"))
-    odds = F.col("part") / F.greatest(F.lit(1).cast("long"), F.col("source_size") - F.col("part"))
-    at_edge = planned.where(F.col("bin") == F.col("edge")).withColumn("rank", F.col("u") / (1 - F.col("u")) / odds)
-    order = W.partitionBy("source").orderBy("rank", "id", "size").rowsBetween(W.unboundedPreceding, 0)
-    at_edge = at_edge.withColumn("room", F.col("part") - F.col("before") - F.sum("size").over(order) + F.col("size"))
-    at_edge = at_edge.withColumn("sampled", F.greatest(F.lit(0).cast("long"), F.least("size", "room"))).drop("rank", "room")
-    out = inside.unionByName(at_edge)
+    edges = bins.join(room.withColumnRenamed("source", "of"), of_source).select("of", "room", found.alias("found"))
+    edges = saved(edges.select("of", "room", "found.edge", "found.before"), "mix-edges")
+    inside = ranked.drop("of", "at").join(edges, of_source & (F.col("bin") == F.col("edge")))
+    key = F.struct("rank", "id", "size")
+    groups = inside.groupBy("source", "before", "room", key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("source").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
+    left = F.col("room") - F.col("before") - F.coalesce(F.sum(F.col("n") * F.col("key.size")).over(order), F.lit(0))
+    groups = groups.withColumn("left", left).where((F.col("left") > 0) & (F.col("left") <= F.col("n") * F.col("key.size")))
+    last = groups.select(F.col("source").alias("last_of"), F.col("key").alias("last"), F.floor(F.col("left") / F.col("n")).cast("long").alias("each"))
+    edged = edges.select("of", "edge").join(last, F.col("of").eqNullSafe(F.col("last_of")), "left").select("of", "edge", "last", "each")
+    final = classes.join(edged, of_source, "left")
+    final = saved(final.select(F.col("source").alias("of"), F.col("bits").alias("at"), "source_size", "target", "whole", "part", "edge", "last", "each"), "mix-plan")
+
+    planned = rows.join(final, of_source & (F.col("bits") == F.col("at")))
+    rank = F.when(F.col("part") > 0, _rank(F.col("u"), F.col("part")))
+    mine = F.struct(rank.alias("rank"), "id", "size")
+    full = F.when(F.floor(rank * BINS) < F.col("edge"), F.col("size")).when(F.col("last").isNotNull() & (mine < F.col("last")), F.col("size"))
+    sampled = F.when(F.col("part") > 0, F.coalesce(full, F.when(mine == F.col("last"), F.col("each")), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    out = planned.withColumn("sampled", sampled)
     added = {
         "size": F.col("size"),
         "source_size": F.col("source_size"),
         "target": F.col("target"),
         "copies": F.col("whole") + F.when((F.col("sampled") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0),
+        "inclusion": F.col("part"),
         "taken": F.col("whole") * F.col("size") + F.col("sampled"),
     }
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns if c.lower() not in added], *[v.alias(k) for k, v in added.items()])
@@ -107,7 +158,7 @@ def mix(
 def emit(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """Turn the counts of :func:`mix` into rows: each whole copy once, then the first words of a document taken in part.
 
-    The columns copies, size and taken are consumed; source_size and target go with them.
+    The columns copies, size and taken are consumed; source_size, target and inclusion go with them.
     """
     rest = F.col("taken") - F.col("copies") * F.col("size")
     space = r"[\x20\x09-\x0D]"
@@ -115,8 +166,8 @@ def emit(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     copies = mixed.where(F.col("taken") > 0).withColumn(
         "part", F.explode(F.concat(F.array_repeat(F.lit(False), F.col("copies").cast("int")), F.when(rest > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))))
     )
-    return copies.withColumn(text_col, F.when(F.col("part"), head).otherwise(F.col(text_col))).drop("part", "copies", "size", "taken", "source_size", "target")
+    return copies.withColumn(text_col, F.when(F.col("part"), head).otherwise(F.col(text_col))).drop("part", "copies", "size", "taken", "source_size", "target", "inclusion")
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(documents(spark, sf_dir).select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "copies", "inclusion")
