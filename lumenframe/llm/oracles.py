@@ -38,7 +38,7 @@ SECRETS = f"""WITH {_DOCS},
 {_place("hexes", 2, "hex", "[0-9a-f]{32,}")},
 {_place("provider", 3, "provider", r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,72}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,64})\b")},
 s AS (SELECT * FROM assign WHERE length(v) >= 8 UNION ALL SELECT * FROM access WHERE length(m) >= 16 UNION ALL SELECT * FROM hexes UNION ALL SELECT * FROM provider),
-held AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM s JOIN d USING (doc_id) GROUP BY v), j AS (SELECT s.*, owners <= 1 AS live FROM s JOIN held USING (v))
+held AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT doc_id) AS repositories FROM s JOIN d USING (doc_id) GROUP BY v), j AS (SELECT s.*, owners <= 1 AND repositories <= 3 AS live FROM s JOIN held USING (v))
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   sha256({_JOINED.format(filter=" FILTER (rank < 3)")}) AS base_sha256, {_JOINED.format(filter=" FILTER (rank < 3 OR live)")} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
 FROM d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id"""
@@ -48,10 +48,16 @@ t AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() O
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM t WINDOW b AS (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 m AS (SELECT *, max(CASE WHEN 3.0::DOUBLE * source_size > level * w THEN level END) OVER () AS top FROM l),
 p AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, coalesce(top * w, 3.0::DOUBLE * source_size)) AS target FROM m),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12)::BIGINT ELSE 0 END AS whole FROM p),
-r AS (SELECT s.*, source_size, target, whole, greatest(0, round(target)::BIGINT - whole * source_size) AS part, sum(size) OVER (PARTITION BY s.source ORDER BY u, s.doc_id::VARCHAR, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source),
-z AS (SELECT *, greatest(0, least(size, part - before))::BIGINT AS sampled FROM r)
-SELECT doc_id, size::BIGINT AS size, source_size, target, (whole * size + sampled)::BIGINT AS taken, (whole + CASE WHEN sampled = size AND size > 0 THEN 1 ELSE 0 END)::BIGINT AS copies FROM z"""
+k AS (SELECT s.source, length(bin(size)) AS bits, any_value(source_size) AS source_size, any_value(target) AS target, sum(size)::BIGINT AS words FROM s JOIN p ON s.source IS NOT DISTINCT FROM p.source GROUP BY s.source, bits),
+e AS (SELECT *, sum((bits + 8.0::DOUBLE) * words) OVER (PARTITION BY source ORDER BY bits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight, coalesce(sum(words) OVER (PARTITION BY source ORDER BY bits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS fuller FROM k),
+f AS (SELECT *, CASE WHEN weight > 0 THEN (target - 3.0::DOUBLE * fuller) / weight ELSE 0 END AS level FROM e),
+h AS (SELECT *, arg_max(level, bits) FILTER (level * (bits + 8.0::DOUBLE) < 3) OVER (PARTITION BY source) AS top FROM f),
+c AS (SELECT *, greatest(0, least(3.0::DOUBLE, coalesce(top * (bits + 8.0::DOUBLE), 3))) AS copies FROM h),
+q AS (SELECT source, bits, source_size, target, floor(copies)::BIGINT AS whole, copies - floor(copies) AS part, sum(floor(copies)::BIGINT * words) OVER (PARTITION BY source) AS certain FROM c),
+o AS (SELECT s.*, source_size, target, whole, part, greatest(0, round(target)::BIGINT - certain) AS room, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS odds FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source AND length(bin(size)) = bits),
+r AS (SELECT *, sum(size) OVER (PARTITION BY source, part > 0 ORDER BY odds / (1 + odds), doc_id::VARCHAR, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before FROM o),
+z AS (SELECT *, CASE WHEN part > 0 THEN greatest(0, least(size, room - before))::BIGINT ELSE 0 END AS sampled FROM r)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (whole * size + sampled)::BIGINT AS taken, (whole + CASE WHEN sampled = size AND size > 0 THEN 1 ELSE 0 END)::BIGINT AS copies, part AS inclusion FROM z"""
 
 _WALK = """sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 walk(node, root) AS (SELECT a, a FROM sym UNION SELECT sym.b, walk.root FROM walk JOIN sym ON sym.a = walk.node AND walk.root < sym.b),

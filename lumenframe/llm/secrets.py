@@ -15,6 +15,8 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 KINDS = ("assign", "access", "hex")
 #: Further shapes that providers give their keys, kept only where they look live.
 PROVIDER = r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,72}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,64})\b"
+#: Most owners and repositories that a live-looking value is seen under.
+LIVE_OWNERS, LIVE_REPOSITORIES = 1, 3
 
 
 def candidate_spans(text: Column) -> Column:
@@ -34,12 +36,13 @@ def candidate_spans(text: Column) -> Column:
 
 
 def find_secrets(
-    df: DataFrame, text_col: str = "text", *, id_col: str = "doc_id", owner_col: str = "source", repository_col: str = "doc_id", live_owners: int = 1
+    df: DataFrame, text_col: str = "text", *, id_col: str = "doc_id", owner_col: str = "source", repository_col: str = "doc_id", live_owners: int = LIVE_OWNERS, live_repositories: int = LIVE_REPOSITORIES
 ) -> DataFrame:
     """One row per input row: id, ``secrets`` array of (start, rank, end, kind, hash, n_owners, n_repositories, live).
 
-    A credential is live-looking when at most ``live_owners`` owners hold its value; a value seen under more is a
-    widely copied example. Null owners count together as one owner, null repositories as one repository. Null and
+    A credential is live-looking when at most ``live_owners`` owners and at most ``live_repositories`` repositories hold
+    its value; a value seen under more owners, or copied through more repositories of one owner, is a widely copied
+    example. Null owners count together as one owner, null repositories as one repository. Null and
     empty texts give an empty array; repeated rows each return; an empty table returns no rows. Of the input's
     columns only the id returns, so clashing names cannot arise.
     """
@@ -61,16 +64,15 @@ def find_secrets(
         ),
         "secret-candidates",
     )
-    each = rows.where(F.size("found") > 0).select("row", "owner", "repository", F.explode("found").alias("s"))
-    # A value held by a third of all rows is merged before every exchange: first per owner and repository, then per owner.
-    by_repository = each.groupBy(F.col("s.hash").alias("hash"), "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
-    by_owner = by_repository.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n_repositories"))
+    # A row's number begins with its partition's, and a partition's rows are bounded. So occurrences are counted per value
+    # and partition first, and the verdict returns per value and partition: no task gathers a value, however common.
+    each = rows.where(F.size("found") > 0).select("row", F.shiftright("row", 33).alias("part"), "owner", "repository", F.explode("found").alias("s"))
+    each = each.select("row", "part", "owner", "repository", "s", F.col("s.hash").alias("hash"))
+    by_repository = each.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
+    by_owner = by_repository.groupBy("hash", "owner").agg(F.count("one").alias("n_repositories"))
     held = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n_repositories").alias("n_repositories"))
-    # The candidate side of this join is salted; its partner has one short row per value and salt.
-    salts = 16
-    judged = each.select("row", "s", F.col("s.hash").alias("hash"), F.pmod(F.xxhash64("row"), F.lit(salts)).alias("salt")).join(
-        held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))), ["hash", "salt"]
-    )
+    told = each.select("hash", "part").distinct().join(held, "hash")
+    judged = each.select("row", "part", "s", "hash").join(told, ["hash", "part"])
     per_row = judged.groupBy("row").agg(
         F.array_sort(
             F.collect_list(
@@ -78,7 +80,7 @@ def find_secrets(
                     *[F.col(f"s.{c}").alias(c) for c in ("start", "rank", "end", "kind", "hash")],
                     "n_owners",
                     "n_repositories",
-                    (F.col("n_owners") <= live_owners).alias("live"),
+                    ((F.col("n_owners") <= live_owners) & (F.col("n_repositories") <= live_repositories)).alias("live"),
                 )
             )
         ).alias("secrets")
@@ -105,5 +107,3 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(lambda s: s["live"]).alias("n_live"),
         count(lambda s: ~s["live"]).alias("n_copied"),
     )
-
-
