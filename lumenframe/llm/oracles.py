@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .pii import AGAINST, CONTEXT, CONTEXT_BONUS, CONTEXT_MALUS, MINIMUM, SCORES
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -20,6 +22,10 @@ _LUHN = f"list_sum(list_transform(range(0, length({_DIGITS})), lambda i: CASE WH
 _FLAT = "(replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4])"
 _MOD97 = f"list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length({_FLAT}) + 1), lambda i: CASE WHEN ascii({_FLAT}[i]) >= 65 THEN 1000 + ascii({_FLAT}[i]) - 55 ELSE ascii({_FLAT}[i]) - 48 END::BIGINT)), lambda a, c: (CASE WHEN c >= 1000 THEN a * 100 + c - 1000 ELSE a * 10 + c END) % 97) = 1"
 
+#: The text 40 characters around a span, and its score.
+_NEAR = """translate(substr(text, greatest(1, "start" - 39), least(40, "start")) || m || substr(text, "end" + 1, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+_SCORE = " ".join(f"WHEN '{k}' THEN {v} + CASE WHEN regexp_matches(near, '{CONTEXT[k]}') THEN {CONTEXT_BONUS} ELSE 0 END - CASE WHEN regexp_matches(near, '{AGAINST[k]}') THEN {CONTEXT_MALUS} ELSE 0 END" for k, v in SCORES.items())
+
 PII = f"""WITH {_DOCS},
 {_place("email", 0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")},
 {_place("ip", 1, "ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")},
@@ -27,10 +33,13 @@ PII = f"""WITH {_DOCS},
 {_place("phone", 3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]")},
 {_place("iban", 4, "iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b")},
 s AS (SELECT * FROM email UNION ALL SELECT * FROM ip WHERE list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(try_cast(right(x, 3) AS INT), 999) <= 255))
-  UNION ALL SELECT * FROM card WHERE length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN} UNION ALL SELECT * FROM phone WHERE length({_DIGITS}) BETWEEN 9 AND 15 UNION ALL SELECT * FROM iban WHERE {_MOD97})
+  UNION ALL SELECT * FROM card WHERE length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN} UNION ALL SELECT * FROM phone WHERE length({_DIGITS}) BETWEEN 9 AND 15 UNION ALL SELECT * FROM iban WHERE {_MOD97}),
+x AS (SELECT s.*, {_NEAR} AS near FROM s JOIN d USING (doc_id)),
+p AS (SELECT *, round(1000 * least(1.0, CASE kind {_SCORE} END))::INT AS score FROM x)
 SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
-  sha256({_JOINED.format(filter=" FILTER (rank < 4)")}) AS base_sha256, {_JOINED.format(filter=" FILTER (kind IS NOT NULL)")} AS spans, count(*) FILTER (kind = 'iban') AS n_iban
-FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
+  sha256({_JOINED.format(filter=" FILTER (rank < 4)")}) AS base_sha256, {_JOINED.format(filter=" FILTER (kind IS NOT NULL)")} AS spans, count(*) FILTER (kind = 'iban') AS n_iban,
+  coalesce(string_agg(score::VARCHAR, ',' ORDER BY "start", rank) FILTER (kind IS NOT NULL), '') AS scores, count(*) FILTER (score >= {round(1000 * MINIMUM)}) AS n_personal
+FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id"""
 
 SECRETS = f"""WITH {_DOCS},
 {_place("assign", 0, "assign", r'(?:(?i)password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'.replace("(?:(?i)", "((?i)") , 2)},

@@ -20,12 +20,25 @@ KINDS = ("email", "ip", "card", "phone")
 SCORES = {"email": 0.8, "ip": 0.5, "card": 0.6, "phone": 0.4, "iban": 0.8}
 CONTEXT = {
     "email": r"mail|contact|write|reply|schreib|correo|courriel",
-    "ip": r"\bip\b|address|server|host|login|adresse",
+    "ip": r"(?:^|[^a-z0-9])ip(?:$|[^a-z0-9])|address|server|host|login|adresse",
     "card": r"card|visa|master|credit|payment|karte|tarjeta|carte",
     "phone": r"phone|call|tel|mobile|fax|dial|anruf|llam|appel",
     "iban": r"iban|bank|account|transfer|konto|cuenta|compte",
 }
-CONTEXT_BONUS = 0.2
+#: Words that speak against a span: numbers of versions, orders and goods.
+AGAINST = {
+    "email": r"example\.(?:com|org|net)",
+    "ip": r"version|release|build|firmware",
+    "card": r"isbn|tracking|serial|part no|order no",
+    "phone": r"isbn|tracking|serial|part no|order no",
+    "iban": r"serial|part no|order no",
+}
+CONTEXT_BONUS, CONTEXT_MALUS = 0.2, 0.3
+#: Spans that score at least this are personal data: every confirmed one, unless words speak against it and none for it.
+MINIMUM = 0.4
+#: Times that a text is read for spans when it is redacted, the later ones only if the one before found any.
+PASSES = 2
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _digits(value: Column) -> Column:
@@ -75,19 +88,20 @@ def pii_spans(text: Column, window: int = 40) -> Column:
 
 
 def _score(s: Column) -> Column:
-    near = F.lower(s["near"])
-    base, hit = F.lit(0.0), F.lit(False)
+    near = F.translate(s["near"], _UPPER, _UPPER.lower())
+    score = F.lit(0.0)
     for kind, value in SCORES.items():
-        base = F.when(s["kind"] == kind, F.lit(value)).otherwise(base)
-        hit = F.when(s["kind"] == kind, F.regexp_like(near, F.lit(CONTEXT[kind]))).otherwise(hit)
-    return F.round(F.least(F.lit(1.0), base + F.when(hit, CONTEXT_BONUS).otherwise(0.0)), 3)
+        bonus = F.when(F.regexp_like(near, F.lit(CONTEXT[kind])), CONTEXT_BONUS).otherwise(0.0)
+        malus = F.when(F.regexp_like(near, F.lit(AGAINST[kind])), CONTEXT_MALUS).otherwise(0.0)
+        score = F.when(s["kind"] == kind, F.lit(value) + bonus - malus).otherwise(score)
+    return F.round(F.least(F.lit(1.0), score), 3)
 
 
 def find_pii(df: DataFrame, text_col: str = "text", *, window: int = 40) -> DataFrame:
     """Append ``pii``, an array of (start, rank, end, kind, value, score), to every row.
 
-    Offsets count code points, end exclusive. Context words are looked for up to ``window`` characters away, not
-    beyond the next match of the same pattern. Null and empty texts get an empty array. All other columns are
+    Offsets count code points, end exclusive. Words up to ``window`` characters away on either side move the score: up
+    where they speak for the kind, down where they speak against it. Null and empty texts get an empty array. All other columns are
     carried; an input column named ``pii`` is replaced. Rows are independent, so ties, repeated rows and an
     empty table need no rule of their own.
     """
@@ -102,17 +116,10 @@ def find_pii(df: DataFrame, text_col: str = "text", *, window: int = 40) -> Data
     )
 
 
-def redact(df: DataFrame, text_col: str = "text", *, minimum_score: float = 0.0) -> DataFrame:
-    """Replace each found span scoring at least ``minimum_score`` by its kind in angle brackets; texts without one stay as they are.
-
-    Of overlapping spans the first by start (then kind) is named and the union is cut out. Null texts stay null.
-    Adds nothing: the columns of ``df`` return.
-    """
-    found = find_pii(df, text_col)
-    text = found[text_col]
-    spans = F.filter(found["pii"], lambda s: s["score"] >= minimum_score)
+def _without(text: Column, spans: Column) -> Column:
+    """``text`` with each of the sorted ``spans`` replaced by its kind in angle brackets."""
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    built = F.aggregate(
+    return F.aggregate(
         spans,
         state,
         lambda a, s: F.when(
@@ -124,7 +131,23 @@ def redact(df: DataFrame, text_col: str = "text", *, minimum_score: float = 0.0)
         ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["parts"].alias("parts"))),
         lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))),
     )
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, built).otherwise(text)).select(*df.columns)
+
+
+def redact(df: DataFrame, text_col: str = "text", *, minimum_score: float = MINIMUM) -> DataFrame:
+    """Replace each found span scoring at least ``minimum_score`` by its kind in angle brackets; texts without one stay as they are.
+
+    Of overlapping spans the first by start (then kind) is named and the union is cut out. Removing a span may leave a
+    new one beside it (what was too long for a phone number with a card behind it), so changed texts are read
+    PASSES times. Null texts stay null. Adds nothing: the columns of ``df`` return.
+    """
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text_col].cast("string").alias("text"), df[text_col].cast("string").alias("changed"))
+    for _ in range(PASSES):
+        rows = find_pii(rows, "changed")
+        rows = rows.withColumn("pii", F.filter("pii", lambda s: s["score"] >= minimum_score))
+        # A text that a pass leaves as it was is null from then on, which costs the next pass nothing.
+        rows = rows.withColumn("changed", F.when(F.size("pii") > 0, _without(F.col("changed"), F.col("pii"))))
+        rows = rows.select("row", F.coalesce("changed", "text").alias("text"), "changed")
+    return rows.select(*[(F.col("text") if c.lower() == text_col.lower() else F.col(f"row.`{c}`")).alias(c) for c in df.columns])
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,5 +159,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(found["pii"]).alias("spans"),
+        F.concat_ws(",", F.transform(found["pii"], lambda s: F.round(s["score"] * 1000).cast("int").cast("string"))).alias("scores"),
+        F.size(F.filter(found["pii"], lambda s: s["score"] >= MINIMUM)).cast("long").alias("n_personal"),
         count("iban").alias("n_iban"),
     )

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 256
+#: Characters that every match has at least, where context is asked for.
+LEAST = 5
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string,near:string>>"
 
 
@@ -21,8 +23,8 @@ def _sum(xs: Column) -> Column:
 def match_spans(text: Column, pattern: str, kind: str, rank: int, guard: Column, group: int = 0, window: int = 0) -> Column:
     """Array of (start, rank, end, kind, value, near) for the leftmost non-overlapping matches; null where ``guard`` fails.
 
-    Offsets are code points, end exclusive; ``value`` is the text of ``group``, ``near`` the match with up to
-    ``window`` characters of the gaps on both sides.
+    Offsets are code points, end exclusive; ``value`` is the text of ``group``, ``near`` the match with the text around
+    it, up to ``window`` characters on both sides, neighbouring matches included.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -33,8 +35,16 @@ def match_spans(text: Column, pattern: str, kind: str, rank: int, guard: Column,
     def around(b: Column) -> Column:
         if not window:
             return F.transform(b["m"], lambda m: F.lit(None).cast("string"))
-        before, after = lambda i: F.substring(F.get(b["t"], i), -window, window), lambda i: F.substring(F.get(b["t"], i + 1), 1, window)
-        return F.transform(b["m"], lambda m, i: F.concat(before(i), m, after(i)))
+        # Matches and gaps alternate, each cut to its ends; every match has LEAST characters, so a few pieces cover the window.
+        cut = lambda x: F.when(F.length(x) > 2 * window, F.concat(F.substring(x, 1, window), F.substring(x, -window, window))).otherwise(x)
+        pieces = F.array_append(F.flatten(F.transform(b["m"], lambda m, i: F.array(cut(F.get(b["t"], i)), cut(m)))), cut(F.element_at(b["t"], -1)))
+        reach = 2 * (window // LEAST + 1) + 1
+
+        def side(p: Column, i: Column) -> Column:
+            left = F.array_join(F.slice(p, F.greatest(F.lit(1), 2 * i + 2 - reach), F.least(F.lit(reach), 2 * i + 1)), "")
+            return F.concat(F.substring(left, -window, window), F.get(b["m"], i), F.substring(F.array_join(F.slice(p, 2 * i + 3, F.lit(reach)), ""), 1, window))
+
+        return F.flatten(F.transform(F.array(pieces), lambda p: F.transform(b["m"], lambda m, i: side(p, i))))
 
     out = F.flatten(
         F.transform(
