@@ -28,7 +28,8 @@ def test_stages_return_documents_and_keep_what_they_should(stages):
 def test_no_personal_data_is_left(stages):
     from lumenframe.llm.pii import find_pii
 
-    assert find_pii(stages["personal_data"]).where("size(pii) > 0").count() <= find_pii(stages["near_dedup"]).where("size(pii) > 0").count() * 0.02
+    assert find_pii(stages["near_dedup"]).where("size(pii) > 0").count() > 0
+    assert find_pii(stages["personal_data"]).where("size(pii) > 0").count() == 0
 
 
 def test_mixture_keeps_the_word_total(stages):
