@@ -2,41 +2,82 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.scratch import saved
+from ..plans.spread import spread_join
+
+
+#: Edges that one task unites by itself before the rounds between tasks begin.
+TOGETHER = 500_000
+
+
+def _united(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+    """(u, v) of the nodes that these edges join to a lesser one, the least they reach among these edges."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        left, right = root[a], root[b]
+        apart = left != right
+        if not apart.any():
+            break
+        a, b, left, right = a[apart], b[apart], left[apart], right[apart]
+        np.minimum.at(root, np.maximum(left, right), np.minimum(left, right))
+        while (root != root[root]).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return pd.DataFrame({"u": nodes[moved], "v": nodes[root[moved]]})
+
+
+def _unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= TOGETHER:
+            yield _united(*(np.concatenate([h[c].to_numpy() for h in held]) for c in "uv"))
+            held, rows = [], 0
+    if rows:
+        yield _united(*(np.concatenate([h[c].to_numpy() for h in held]) for c in "uv"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``edges(u, v)``; root is the least node reachable.
 
-    Alternating star steps, each a partial minimum and a join with one row per node, until the table holds still;
-    every round is written to the shared folder. The table never grows from round to round, so its first count
-    sets the number of files.
+    Each task first unites TOGETHER edges at a time by itself, which leaves at most one edge a node of them; where that
+    was all, the work is done. Else alternating star steps follow, each a partial minimum and a join with one row per
+    node, until the table holds still; every round is written to the shared folder. The table never grows from
+    round to round. Nodes with a large share of all edges are joined in pieces.
     """
-    held = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    held = saved(edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")), "edges")
     alone = held.where("u = v").select(F.col("u").alias("node"))
-    held = held.where("u <> v")
     rows = held.count()
-    before = None
-    while True:
+    parts = max(1, -(-rows // TOGETHER))
+    held = saved(held.where("u <> v").coalesce(parts).mapInPandas(_unite, "u long, v long").distinct(), "edges", rows)
+    before = tuple(held.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()) if parts > 1 else None
+    while parts > 1:
+        rows = before[0]
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"), "n")
+        large = spread_join(held, low, ["v"], "n", 2 * rows, ["u"]).select("u", F.col("m").alias("v")).where("u > v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(large, low, ["u"], "n", rows, ["v"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         held = saved(small.select("e.*").where("u > v").distinct(), "edges", rows)
-        mark = held.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(mark) == before:
+        mark = tuple(held.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if mark == before:
             break
-        before = tuple(mark)
+        before = mark
     stars = held.select(F.col("u").alias("node"), F.col("v").alias("root"))
     centres = held.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     found = stars.unionByName(centres)
-    return found.unionByName(alone.join(found, "node", "left_anti").select("node", F.col("node").alias("root")))
+    return found.unionByName(alone.distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("root")))
 
 
 def join_constrained(edges: pd.DataFrame) -> pd.DataFrame:
