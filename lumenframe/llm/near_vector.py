@@ -1,7 +1,7 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Each vector is described by its NEAREST pivots of PIVOTS reference points. Inverted lists are kept per pair of
-those pivots, so vectors that share at least two meet; what meets is verified by cosine in double precision.
+Each vector is described by its nearest of PIVOTS reference points. Inverted lists are kept per pair of those
+pivots, so vectors that share at least SHARED of them meet; what meets is verified by cosine in double precision.
 """
 
 from __future__ import annotations
@@ -15,30 +15,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components as components
+from ..plans.spread import spread_join
 from .base import saved
 
-PIVOTS, NEAREST, SHARED = 256, 5, 2
-#: Pivots are picked from this many vectors, the first by hash; none within this cosine of one picked before.
-SAMPLE, APART = 4096, 0.7
+PIVOTS, SHARED = 256, 2
+#: Pivots are picked from this many vectors, the first by hash, and lie this many link distances apart at least.
+SAMPLE, SPACING = 4096, 1.5
+#: Nearest pivots that describe a vector, by the largest share that the link distance has of the usual distance.
+NEAREST = ((0.17, 5), (0.4, 6), (np.inf, 8))
 THRESHOLD = 0.98
 #: Rows of an inverted list compared at once; longer lists are compared block by block, in tasks of their own.
 BLOCK = 1024
-SALTS = 8
 
 
-def choose_pivots(nodes: DataFrame, width: int) -> np.ndarray:
-    """Spread reference points from a bounded sample of ``nodes(node, vector)``; dense places give few."""
-    taken = [r["vector"] for r in nodes.orderBy("node").limit(SAMPLE).select("vector").collect()]
-    sample = _unit(taken, width)
-    picked: list[int] = []
-    near = np.full(len(sample), -2.0)
-    for i in range(len(sample)):
-        if near[i] < APART:
-            picked.append(i)
-            near = np.maximum(near, sample @ sample[i])
-            if len(picked) == PIVOTS:
-                break
-    return sample[picked]
+def choose_pivots(nodes: DataFrame, width: int, threshold: float) -> tuple[np.ndarray, int]:
+    """Reference points spread over a bounded sample of ``nodes(node, vector)``, and how many nearest ones describe a vector.
+
+    Each point is the one farthest from those before, down to SPACING times the distance at which vectors link. So
+    vectors that share a direction get as many points as others. The closer all vectors lie together, measured in
+    that distance, the less a link stands out and the more points describe a vector.
+    """
+    sample = _unit([r["vector"] for r in nodes.orderBy("node").limit(SAMPLE).select("vector").collect()], width)
+    if not len(sample):
+        return sample, 0
+    link = max(1e-6, np.sqrt(2 - 2 * min(threshold, 1.0)))
+    apart = lambda x: np.sqrt(np.maximum(0, 2 - 2 * (sample @ x)))
+    picked, far = [0], apart(sample[0])
+    ordinary = float(np.median(far[far > 0])) if (far > 0).any() else 0.0
+    while len(picked) < PIVOTS and far.max() >= SPACING * link:
+        picked.append(int(far.argmax()))
+        far = np.minimum(far, apart(sample[picked[-1]]))
+    nearest = next(n for within, n in NEAREST if link <= within * ordinary or within == np.inf)
+    return sample[picked], min(nearest, len(picked))
 
 
 def _unit(vectors: list, width: int) -> np.ndarray:
@@ -50,9 +58,7 @@ def _unit(vectors: list, width: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _described(nodes: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
-    nearest = min(NEAREST, len(pivots))
-
+def _described(nodes: DataFrame, pivots: np.ndarray, nearest: int, width: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
@@ -120,12 +126,13 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     )
     nodes = rows.where("node IS NOT NULL").groupBy("node", "label", "vector").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"))
     nodes = saved(nodes, "vectors")
-    width = nodes.agg(F.max(F.size("vector"))).first()[0] or 1
-    pivots = choose_pivots(nodes, width)
-    described = saved(nodes.join(_described(nodes, pivots, width), "node"), "described")
+    width, count = nodes.agg(F.max(F.size("vector")), F.sum("copies")).first()
+    width, count = width or 1, count or 0
+    pivots, nearest = choose_pivots(nodes, width, threshold)
+    described = saved(nodes.join(_described(nodes, pivots, nearest, width), "node"), "described")
 
     if len(pivots) > 1:
-        chosen = F.array(*[F.struct(F.col("top")[x].alias("p"), F.col("top")[y].alias("q")) for x, y in combinations(range(min(NEAREST, len(pivots))), 2)])
+        chosen = F.array(*[F.struct(F.col("top")[x].alias("p"), F.col("top")[y].alias("q")) for x, y in combinations(range(nearest), 2)])
     else:
         chosen = F.array(F.struct(F.lit(0).alias("p"), F.lit(-1).alias("q")))
     keys = described.select("node", F.struct("label", F.size("vector").alias("width")).alias("within"), F.explode(chosen).alias("k")).select("node", "within", "k.p", "k.q")
@@ -158,10 +165,10 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     told = described.select("node", "copies", "rep").join(found.groupBy("node").agg(F.sum("n").alias("n")), "node", "left").join(roots, "node", "left")
     told = told.withColumn("root", F.coalesce("root", "node"))
-    label = told.groupBy("root").agg(F.min("rep").alias("component_id"))
-    told = told.where("copies > 1 OR n IS NOT NULL").join(label, "root")
-    told = told.select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = rows.select("id", "node", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(told, ["node", "salt"], "left")
+    label = told.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("in_root"))
+    told = spread_join(told.where("copies > 1 OR n IS NOT NULL"), label, ["root"], "in_root", count, ["node"])
+    told = told.select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", "copies")
+    out = spread_join(rows.select("id", "node"), saved(told, "vectors-told"), ["node"], "copies", count, ["id"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
