@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components as components
+from ..plans.spread import LEAST, PARTS, spread_join
 from .base import documents, saved, text_of
 from .words import hashes, ranges
 
@@ -40,6 +41,8 @@ BLOCK = 1024
 FIRST_CHUNKS = 2
 #: Bytes hashed together.
 TOGETHER = 700_000
+#: One node in this many tells which keys are held by many.
+SHARE = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -232,6 +235,11 @@ def _compare(rows: pd.DataFrame, exhaustive: bool) -> pd.DataFrame | None:
     return pd.DataFrame({"u": u, "v": v, "d": d})
 
 
+def _apart(held: DataFrame) -> DataFrame:
+    """Keys under which different roots meet, with their number of nodes; merged before the exchange."""
+    return held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key", "n")
+
+
 def _candidates(held: DataFrame, payload: DataFrame, exhaustive: bool) -> DataFrame:
     """Pairs (u, v, d) of different roots under one key of ``held(key, slot, node, root)``.
 
@@ -239,8 +247,8 @@ def _candidates(held: DataFrame, payload: DataFrame, exhaustive: bool) -> DataFr
     key. With ``exhaustive`` every pair within DISTANCE whose sketches allow the wanted similarity returns, once;
     without, only some nearest pairs do.
     """
-    keys = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
-    listed = held.join(keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    keys = _apart(held).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    listed = spread_join(held, keys, ["key"], "n", held.count(), ["node"])
     listed = listed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     listed = listed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     listed = listed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
@@ -295,9 +303,16 @@ def near_duplicates(df: DataFrame, text_col: str = "text", *, id_col: str = "doc
     # Sets held only by rows without an id have no such row to stand for them; any will do.
     nameless = described.where("id IS NULL").join(groups.where("rep IS NULL").select(F.col("node").alias("k1"), "k2"), ["k1", "k2"])
     first = first.unionByName(nameless.select(F.col("k1").alias("node"), "sig", "id").dropDuplicates(["node"]))
-    by_key = W.partitionBy("key").orderBy("node")
-    buckets = _keyed(first).withColumn("beside", F.coalesce(F.lead("node").over(by_key), F.lag("node").over(by_key)))
-    buckets = saved(buckets.where("beside IS NOT NULL").select("key", F.col("slot").cast("long").alias("slot"), "node"), "buckets")
+    # Keys of many nodes are known beforehand from the keys of one node in SHARE; such a key's nodes need not be sorted
+    # in one place to see that there are others.
+    sample = described.where((F.col("n_shingles") > 0) & (F.pmod(F.xxhash64("k1"), F.lit(SHARE)) == 0)).select(F.col("k1").alias("node"), "sig").dropDuplicates(["node"])
+    most = max(LEAST, -(-count // PARTS))
+    heavy = _keyed(sample).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") * SHARE > most))
+    heavy = heavy.select("key", F.ceil(F.col("n") * SHARE / most).alias("pieces"))  # at most PARTS for each key of a node
+    keyed = _keyed(first).join(F.broadcast(heavy), "key", "left").withColumn("piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("node"), F.col("pieces"))).otherwise(0))
+    by_key = W.partitionBy("key", "piece").orderBy("node")
+    keyed = keyed.withColumn("beside", F.coalesce("pieces", F.lead("node").over(by_key), F.lag("node").over(by_key)))
+    buckets = saved(keyed.where("beside IS NOT NULL").select("key", F.col("slot").cast("long").alias("slot"), "node"), "buckets")
     wanted = saved(first.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "sig", "id"), "wanted", count)
     texts = rows.join(wanted.select("id").distinct(), "id", "left_semi").unionByName(rows.where("id IS NULL"))
     sets = saved(_shingled(texts).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
@@ -309,8 +324,8 @@ def near_duplicates(df: DataFrame, text_col: str = "text", *, id_col: str = "doc
     links = saved(_linked(pairs, sets, percent), "linked")
     roots = saved(components(links), "roots", count)
     held = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
-    held = saved(held.join(apart.select("key"), "key", "left_semi"), "apart")
+    held = saved(held, "rooted")
+    held = saved(spread_join(held, _apart(held), ["key"], "n", held.count(), ["node"]), "apart")
     sketched = saved(_sketched(sets.join(held.select("node").distinct(), "node", "left_semi")), "sketches")
     payload = wanted.select("node", "sig").join(sketched, "node")
     pairs = saved(_candidates(held, payload, True).select("u", "v").join(pairs, ["u", "v"], "left_anti"), "pairs")
@@ -319,11 +334,10 @@ def near_duplicates(df: DataFrame, text_col: str = "text", *, id_col: str = "doc
 
     # Only groups that hold more than one row need to be told their component.
     joined = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    label = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = joined.where("copies > 1 OR root != node").unionByName(joined.where("copies = 1 AND root = node").join(roots.select("node").distinct(), "node", "left_semi"))
-    salts = 8
-    told = named.join(label, "root").select(F.col("node").alias("k1"), "k2", "component_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = described.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(told, ["k1", "k2", "salt"], "left")
+    label = joined.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = spread_join(joined, saved(label, "labels", count), ["root"], "n", count, ["node"], "left").where("copies > 1 OR component_id IS NOT NULL")
+    told = joined.select(F.col("node").alias("k1"), "k2", F.coalesce("component_id", "rep").alias("component_id"), "copies")
+    out = spread_join(described, saved(told, "told", count), ["k1", "k2"], "copies", count, ["id"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
