@@ -67,16 +67,6 @@ def test_a_long_text_in_parts_scores_alike(monkeypatch):
     assert np.allclose(language.predict(model, long), whole, atol=0.02)
 
 
-def test_lines_of_a_long_text_in_parts(monkeypatch):
-    for text in ("ab cd.\nEF!! GH!!\n\nab cd ef gh.\n" * 40, "ab cd ef gh.\n" * 40 + "tail", "\n" * 50):
-        raw = [text.encode()]
-        whole = quality.line_features(raw)
-        monkeypatch.setattr(quality, "TOGETHER", 37)
-        parts = quality.line_features(raw)
-        monkeypatch.undo()
-        assert all(np.array_equal(a, b) for a, b in zip(parts, whole, strict=True))
-
-
 def test_language_odd_and_empty_tables(odd, none):
     model = language.train(odd)
     got = {r["doc_id"]: r for r in language.identify(odd, model).collect()}

@@ -1,8 +1,10 @@
 import numpy as np
+import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumenframe.llm import near_text
+from lumenframe.llm import near_text, near_vector
 from lumenframe.operators.graph import connected_components as components
 from lumenframe.llm.near_text import near_duplicates
 from lumenframe.llm.near_vector import near_vectors
@@ -140,3 +142,44 @@ def test_a_pair_of_many_differing_symbols_is_found(spark):
     assert (sig[0] != sig[1]).sum() == 20
     got = near_text.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {0: 0, 1: 0}
+
+
+@pytest.mark.parametrize("shift", [0, 2])
+def test_vectors_that_share_a_direction_are_told_apart(spark, shift):
+    """Links against brute force and candidate pairs under a twentieth of all, with and without a common direction."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(10_000, 64)) + shift
+    noise = rng.normal(size=base.shape)
+    noise *= (rng.uniform(0, 0.19, len(base)) * np.linalg.norm(base, axis=1) / np.linalg.norm(noise, axis=1))[:, None]
+    x = np.concatenate([base, base + noise])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.zeros(len(x), int)
+    for at in range(0, len(x), 2000):
+        want[at : at + 2000] = (u[at : at + 2000] @ u.T >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "label": "one", "embedding": x.tolist()})).repartition(8)
+    got = near_vectors(df).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+    nodes = df.selectExpr("vec_id AS node", "embedding AS vector")
+    pivots, nearest = near_vector.choose_pivots(nodes, 64, 0.98)
+    top = np.argsort(-(u @ pivots.T), axis=1)[:, :nearest]
+    held = np.zeros((len(u), len(pivots)), np.float32)
+    np.put_along_axis(held, top, 1, axis=1)
+    met = sum(int((held[at : at + 2000] @ held.T >= near_vector.SHARED).sum()) for at in range(0, len(u), 2000)) - len(u)
+    assert met / (len(u) * (len(u) - 1)) < 0.05
+
+
+def test_heavy_keys_and_groups_go_in_pieces(spark, monkeypatch):
+    from lumenframe.plans import spread
+
+    monkeypatch.setattr(spread, "LEAST", 4)
+    monkeypatch.setattr(spread, "PARTS", 10)
+    monkeypatch.setattr(near_text, "LEAST", 4)
+    monkeypatch.setattr(near_text, "SHARE", 2)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words)] * 90 + [" ".join([*words[:58], f"x{i}", "y"]) for i in range(70)] + [f"lone text {i} of its own" for i in range(20)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {i: 0 if i < 160 else i for i in range(180)}
+    vectors = [(i, "a", [1.0, 2.0 + (i % 3) / 1000, 3.0]) for i in range(120)] + [(120, "a", [-1.0, 0.0, 0.0])]
+    found = near_vectors(spark.createDataFrame(vectors, "vec_id long, label string, embedding array<double>").repartition(5)).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == {i: (119, 0) if i < 120 else (0, 120) for i in range(121)}
