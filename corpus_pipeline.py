@@ -11,6 +11,7 @@ from lumenframe.llm.mix import emit, mix
 from lumenframe.llm.near_text import near_duplicates
 from lumenframe.llm.pack import pack
 from lumenframe.llm.pii import redact
+from lumenframe.plans.scratch import step
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -58,7 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; a stage's own tables are dropped when its result is stored, all but the last's."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        with step(spark):
+            docs = saved(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
