@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..options import DenseOptions
+from ..functions import geometry as G
+from ..options import require
+from .mapping import with_error
 
 OFFSETS = (-4, -2, -1, 1, 2, 4)
+CHANNELS = ("red", "green", "blue")
 
 
 def confidence_filter(pixels: DataFrame, quantile: float = 0.3) -> DataFrame:
@@ -43,45 +46,92 @@ def dense_scale(pixels: DataFrame, stride: int) -> DataFrame:
     return per_frame.agg(F.exp(F.percentile("log_ratio", 0.5)).alias("scale"), F.count(F.lit(1)).alias("frames"))
 
 
-def measure(points: DataFrame, pixels: DataFrame, f: float, cx: float, cy: float, w: int, h: int, options: DenseOptions = DenseOptions()) -> DataFrame:
-    """Agreement of ``points(frame, x, y, c0, grey, z)`` with the depth samples of neighbouring frames.
+def sparse_anchors(observations: DataFrame, landmarks: DataFrame, pixels: DataFrame, most: float = 3.0) -> DataFrame:
+    """(frame, track, raw, opt, log_ratio): depths at sparse observations, from the prediction and from the map.
 
-    Cameras lie at (c0, 0, 0) without rotation and share (f, cx, cy). Each point is projected into each
-    neighbour, the nearest sample is found by an equi-join on frame and integer pixel, and it must agree in depth,
-    cycle, colour and parallax. ``pixels`` is (frame, x, y, depth, grey, c0).
+    ``observations(track, frame, u, v)`` carry their camera as for ``mapping.with_error``. One counts if its rounded pixel
+    has a valid depth in ``pixels(frame, x, y, depth)``, its landmark lies before the camera, and it is
+    reprojected within ``most`` pixels.
     """
-    cameras = pixels.select(F.col("frame").alias("neighbor"), F.col("c0").alias("n0")).distinct()
-    rows = points.withColumn("neighbor", F.explode(F.array(*[F.col("frame") + o for o in OFFSETS]))).join(cameras, "neighbor")
-    rows = rows.withColumn("wx", (F.col("x") - cx) / f * F.col("z") + F.col("c0")).withColumn("wy", (F.col("y") - cy) / f * F.col("z"))
-    rows = rows.withColumn("pu", f * (F.col("wx") - F.col("n0")) / F.col("z") + cx).withColumn("pv", f * F.col("wy") / F.col("z") + cy)
-    rows = rows.where(F.col("pu").between(0, w - 1) & F.col("pv").between(0, h - 1) & (F.col("z") > 0))
+    rows = with_error(observations, landmarks).where((F.col("pz") > 0) & (F.round("error", 9) <= most))
+    rows = rows.select("track", "frame", F.col("pz").alias("opt"), F.rint("u").cast("bigint").alias("x"), F.rint("v").cast("bigint").alias("y"))
+    ok = pixels.where((F.col("depth") > 0) & (F.col("depth") < float("inf"))).select("frame", "x", "y", F.col("depth").alias("raw"))
+    return rows.join(ok, ["frame", "x", "y"]).select("frame", "track", "raw", "opt", F.ln(F.col("opt") / F.col("raw")).alias("log_ratio"))
+
+
+def voxel_width(scene_depths: DataFrame, fraction: float = 0.01) -> float:
+    """Width of a fusion cell: a part of the median over frames of ``scene_depth``."""
+    require(0 < fraction <= 1, "the fraction must lie in (0, 1]")
+    middle = scene_depths.agg(F.percentile("scene_depth", 0.5)).first()[0]
+    require(middle is not None and 0 < middle < float("inf"), "no frame has a scene depth")
+    return fraction * middle
+
+
+def _with_camera(rows: DataFrame, cameras: DataFrame, frame: str, mark: str) -> DataFrame:
+    return rows.join(cameras.select(F.col("frame").alias(frame), *[F.col(c).alias(f"{mark}{c}") for c in ("fx", "fy", "cx", "cy", "c0", "c1", "c2", "r")]), frame)
+
+
+def _rotation(mark: str) -> list[Column]:
+    return [F.get(f"{mark}r", F.lit(i)) for i in range(9)]
+
+
+def _of(mark: str, names: tuple[str, ...]) -> list[Column]:
+    return [F.col(f"{mark}{n}") for n in names]
+
+
+CALIBRATION, CENTRE = ("fx", "fy", "cx", "cy"), ("c0", "c1", "c2")
+
+
+def measure(
+    points: DataFrame, pixels: DataFrame, cameras: DataFrame, w: int, h: int, *, depth: float = 0.05, cycle: float = 2.0, colour: float = 0.15, parallax: float = 0.5
+) -> DataFrame:
+    """Agreement of ``points(frame, x, y, red, green, blue, z)`` with the depth samples of neighbouring frames.
+
+    ``cameras(frame, fx, fy, cx, cy, c0, c1, c2, r)`` are the anchored frames with centre and camera-to-world rotation;
+    a point or a neighbour in any other frame has no rows. Each point is projected into each neighbour, the nearest
+    of ``pixels(frame, x, y, depth, red, green, blue)`` is found by an equi-join on frame and integer pixel, and it
+    must agree in depth (relative), cycle (pixels), mean difference of the channels, and parallax (degrees). ``back``
+    is the sample's depth in the point's own camera.
+    """
+    rows = _with_camera(points, cameras, "frame", "a_").withColumn("neighbor", F.explode(F.array(*[F.col("frame") + o for o in OFFSETS])))
+    rows = _with_camera(rows, cameras, "neighbor", "n_")
+    ra, rn, ca, cn = _rotation("a_"), _rotation("n_"), _of("a_", CENTRE), _of("n_", CENTRE)
+    world = G.back_project(F.col("x"), F.col("y"), F.col("z"), *_of("a_", CALIBRATION), ra, ca)
+    rows = rows.withColumns(dict(zip(("w0", "w1", "w2"), world, strict=True)))
+    rows = rows.withColumns(dict(zip(("k0", "k1", "k2"), G.camera_point(*_of("w", ("0", "1", "2")), rn, cn), strict=True))).where("k2 > 0")
+    rows = rows.withColumn("pu", F.col("n_fx") * F.col("k0") / F.col("k2") + F.col("n_cx")).withColumn("pv", F.col("n_fy") * F.col("k1") / F.col("k2") + F.col("n_cy"))
+    rows = rows.where(F.col("pu").between(0, w - 1) & F.col("pv").between(0, h - 1))
     rows = rows.withColumn("sx", F.rint("pu").cast("bigint")).withColumn("sy", F.rint("pv").cast("bigint"))
-    samples = pixels.select(F.col("frame").alias("neighbor"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("depth").alias("zn"), F.col("grey").alias("grey_n"))
+    samples = pixels.where("depth > 0").select(F.col("frame").alias("neighbor"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("depth").alias("zn"), *[F.col(c).alias(f"{c}_n") for c in CHANNELS])
     rows = rows.join(samples, ["neighbor", "sx", "sy"])
-    bx = (F.col("pu") - cx) / f * F.col("zn") + F.col("n0") - F.col("c0")
-    by = (F.col("pv") - cy) / f * F.col("zn")
-    cycle = F.hypot(f * bx / F.col("zn") + cx - F.col("x"), f * by / F.col("zn") + cy - F.col("y"))
-    rows = rows.withColumn("relative", F.abs(F.col("z") - F.col("zn")) / F.col("zn")).withColumn("cycle", cycle)
-    a = [F.col("wx") - F.col("c0"), F.col("wy"), F.col("z")]
-    b = [F.col("wx") - F.col("n0"), F.col("wy"), F.col("z")]
+    seen = G.back_project(F.col("pu"), F.col("pv"), F.col("zn"), *_of("n_", CALIBRATION), rn, cn)
+    rows = rows.withColumns(dict(zip(("s0", "s1", "s2"), seen, strict=True)))
+    rows = rows.withColumns(dict(zip(("b0", "b1", "back"), G.camera_point(*_of("s", ("0", "1", "2")), ra, ca), strict=True)))
+    off = F.hypot(F.col("a_fx") * F.col("b0") / F.col("back") + F.col("a_cx") - F.col("x"), F.col("a_fy") * F.col("b1") / F.col("back") + F.col("a_cy") - F.col("y"))
+    rows = rows.withColumn("relative", F.abs(F.col("k2") - F.col("zn")) / F.col("zn")).withColumn("cycle", F.when(F.col("back") > 0, off))
+    a, b = ([F.col(f"w{i}") - c[i] for i in range(3)] for c in (ca, cn))
     dot = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
     cosine = dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-    agree = (F.col("zn") > 0) & (F.round("relative", 9) <= options.relative_depth_tolerance) & (F.round("cycle", 9) <= options.cycle_pixels)
-    agree = agree & (F.round(F.abs(F.col("grey") - F.col("grey_n")), 9) <= options.color_tolerance) & (F.round(cosine, 12) < round(math.cos(math.radians(options.minimum_parallax_degrees)), 12))
-    rows = rows.withColumn("agree", agree)
+    apart = sum((F.abs(F.col(c) - F.col(f"{c}_n")) for c in CHANNELS[1:]), F.abs(F.col(CHANNELS[0]) - F.col(f"{CHANNELS[0]}_n"))) / 3
+    agree = (F.col("back") > 0) & (F.round("relative", 9) <= depth) & (F.round("cycle", 9) <= cycle) & (F.round(apart, 9) <= colour)
+    agree = agree & (F.round(cosine, 12) < round(math.cos(math.radians(parallax)), 12))
+    rows = rows.withColumn("agree", F.coalesce(agree, F.lit(False)))
     return rows.withColumn("weight", F.when(F.col("agree"), 1 / (1 + F.pow(F.col("relative") / 0.02, 2))).otherwise(0.0))
 
 
-def consensus(pixels: DataFrame, f: float, cx: float, cy: float, w: int, h: int, options: DenseOptions = DenseOptions()) -> DataFrame:
-    """Inverse-depth weighted mean with the neighbours' samples, then its support counted anew at the updated depth."""
+def consensus(pixels: DataFrame, cameras: DataFrame, w: int, h: int, *, minimum_support: int = 2, **gates: float) -> DataFrame:
+    """Inverse-depth weighted mean with the neighbours' samples, seen from the pixel's camera; support is counted anew at the updated depth.
+
+    ``gates`` are those of :func:`measure`. Pixels of frames without an anchored camera keep their depth.
+    """
+    require(minimum_support >= 1, "the support must be positive")
     key = ["frame", "x", "y"]
-    prior = pixels.withColumn("z", F.col("depth"))
-    sums = measure(prior, pixels, f, cx, cy, w, h, options).groupBy(*key).agg(F.sum("weight").alias("ws"), F.sum(F.col("weight") / F.col("zn")).alias("wz"))
+    sums = measure(pixels.withColumn("z", F.col("depth")), pixels, cameras, w, h, **gates).where("agree").groupBy(*key).agg(F.sum("weight").alias("ws"), F.sum(F.col("weight") / F.col("back")).alias("wz"))
     candidate = (1 + F.coalesce("ws", F.lit(0.0))) / (1 / F.col("depth") + F.coalesce("wz", F.lit(0.0)))
     updated = pixels.join(sums, key, "left").withColumn("z", F.round(candidate, 9)).drop("ws", "wz")
-    support = measure(updated, pixels, f, cx, cy, w, h, options).groupBy(*key).agg(F.count_if("agree").alias("support"))
+    support = measure(updated, pixels, cameras, w, h, **gates).groupBy(*key).agg(F.count_if("agree").alias("support"))
     out = updated.join(support, key, "left").withColumn("support", F.coalesce("support", F.lit(0)))
-    accepted = (F.col("support") >= options.minimum_support) & (F.col("z") > 0) & (F.col("z") < float("inf"))
+    accepted = (F.col("support") >= minimum_support) & (F.col("z") > 0) & (F.col("z") < float("inf"))
     return out.withColumn("accepted", accepted).withColumn("refined", F.when(F.col("accepted"), F.col("z")).otherwise(F.col("depth"))).select(*key, "depth", "refined", "support", "accepted")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..options import require
 from ..plans.scratch import saved
 from ..plans.spread import spread_join
 
@@ -148,6 +150,12 @@ def weak_boundaries(counts: DataFrame, minimum: int = 60) -> DataFrame:
     return counts.where((F.col("frame") > 0) & (F.col("crossing") < minimum))
 
 
+def insertion_budget(frames: int, share: float = 0.25, most: int = 512) -> int:
+    """How many frames a repair may insert in all: a share of the first ones, rounded up."""
+    require(0 <= share <= 1 and most >= 0, "the share must lie in [0, 1]")
+    return min(most, math.ceil(frames * share))
+
+
 def repair_candidates(frames: DataFrame, counts: DataFrame, budget: int, minimum: int = 60) -> DataFrame:
     """Midpoints to insert, from ``frames(frame, candidate)``: weakest boundary first, each with its two neighbours.
 

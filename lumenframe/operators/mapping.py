@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..options import require
+from .graph import connected_components
 
 
 def camera_support(observations: DataFrame) -> DataFrame:
@@ -19,25 +21,54 @@ def covisibility_edges(observations: DataFrame) -> DataFrame:
     return observations.select("track", "frame").join(first, "track").where("frame > first").select(F.col("first").alias("u"), F.col("frame").alias("v")).distinct()
 
 
-def support_violations(cameras: DataFrame, observations: DataFrame, before: DataFrame | None = None, minimum: int = 6) -> DataFrame:
-    """Cameras with too few observations, with their count before an operation where given."""
+def support_violations(cameras: DataFrame, observations: DataFrame, before: DataFrame | None = None, minimum: int = 6, connected: bool = True) -> DataFrame:
+    """(frame, observations, connected) of cameras with too few observations, or not joined to the first camera by tracks.
+
+    ``before`` adds each one's count before an operation. Without ``connected`` only counts are asked for.
+    """
     counts = cameras.select("frame").join(camera_support(observations), "frame", "left").withColumn("observations", F.coalesce("observations", F.lit(0)))
     if before is not None:
         counts = counts.join(before.select("frame", F.col("observations").alias("before")), "frame", "left")
-    return counts.where(F.col("observations") < minimum)
+    roots = connected_components(covisibility_edges(observations).unionByName(cameras.select(F.col("frame").alias("u"), F.col("frame").alias("v"))))
+    counts = counts.join(roots.select(F.col("node").alias("frame"), "root"), "frame", "left")
+    anchor = cameras.agg(F.min("frame").alias("frame")).join(roots.select(F.col("node").alias("frame"), F.col("root").alias("anchor")), "frame").select("anchor")
+    counts = counts.crossJoin(anchor).withColumn("connected", F.col("root").eqNullSafe(F.col("anchor"))).drop("root", "anchor")  # one row
+    wrong = F.col("observations") < minimum
+    return counts.where(wrong | ~F.col("connected") if connected else wrong)
+
+
+def disjoint_union(maps: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Cameras and observations of the parts of one map put together; a camera or a track in two parts is an error."""
+    cameras, observations = maps[0][0].withColumn("part", F.lit(0)), maps[0][1].withColumn("part", F.lit(0))
+    for i, (c, o) in enumerate(maps[1:], 1):
+        cameras, observations = cameras.unionByName(c.withColumn("part", F.lit(i))), observations.unionByName(o.withColumn("part", F.lit(i)))
+    for what, rows in (("frame", cameras), ("track", observations)):
+        twice = rows.groupBy(what).agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").agg(F.count(F.lit(1)).alias("n"), F.min(what).alias("least")).first()
+        require(not twice["n"], f"{twice['n']} values of {what} lie in two parts, the least is {twice['least']}")
+    return cameras.drop("part"), observations.drop("part")
+
+
+def stable_anchors(errors: DataFrame, pixels: float = 3.0, minimum: int = 3) -> DataFrame:
+    """Tracks that at least ``minimum`` cameras see within ``pixels``; only these may place another camera."""
+    return errors.groupBy("track").agg(F.count_if(F.col("error") <= pixels).alias("support")).where(F.col("support") >= minimum)
+
+
+def _pose(rows: DataFrame) -> tuple[list[Column] | None, list[Column]]:
+    """The camera-to-world rotation in the array ``r``, none where rows have no such column, and the centre."""
+    return [F.get("r", F.lit(i)) for i in range(9)] if "r" in rows.columns else None, [F.col(f"c{i}") for i in range(3)]
 
 
 def with_error(observations: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """Observations that carry their camera (fx, fy, cx, cy, c0, c1, c2), joined with landmarks; adds ``error`` and the camera-frame point."""
+    """Observations that carry their camera (fx, fy, cx, cy, c0, c1, c2 and the rotation r), joined with landmarks; adds ``error`` and the camera-frame point."""
     j = observations.join(landmarks, "track")
-    p = G.camera_point(F.col("x"), F.col("y"), F.col("z"), None, [F.col("c0"), F.col("c1"), F.col("c2")])
+    p = G.camera_point(F.col("x"), F.col("y"), F.col("z"), *_pose(j))
     error = G.reprojection_error(p, *[F.col(c) for c in ("fx", "fy", "cx", "cy", "u", "v")])
     return j.withColumn("error", error).withColumn("px", p[0]).withColumn("py", p[1]).withColumn("pz", p[2])
 
 
 def initialize_landmarks(observations: DataFrame, pixels: float = 14.0, minimum_views: int = 3) -> DataFrame:
     """Landmarks at the per-axis medians of their back-projected depths; observations beyond ``pixels`` go, then thin tracks."""
-    world = G.back_project(*[F.col(c) for c in ("u", "v", "d", "fx", "fy", "cx", "cy")], None, [F.col("c0"), F.col("c1"), F.col("c2")])
+    world = G.back_project(*[F.col(c) for c in ("u", "v", "d", "fx", "fy", "cx", "cy")], *_pose(observations))
     placed = observations.withColumn("bx", world[0]).withColumn("by", world[1]).withColumn("bz", world[2])
     land = placed.groupBy("track").agg(*[F.percentile(f"b{c}", 0.5).alias(c) for c in "xyz"])
     kept = with_error(observations, land).where(F.col("error") <= pixels)
@@ -180,6 +211,9 @@ def point_blocks(errors: DataFrame) -> DataFrame:
     z = F.col("pz")
     ju = [F.col("fx") / z, F.lit(0.0), -F.col("fx") * F.col("px") / (z * z)]
     jv = [F.lit(0.0), F.col("fy") / z, -F.col("fy") * F.col("py") / (z * z)]
+    r, _ = _pose(errors)
+    if r is not None:  # from the camera's frame to the world's
+        ju, jv = ([sum((j[i] * r[3 * k + i] for i in range(1, 3)), j[0] * r[3 * k]) for k in range(3)] for j in (ju, jv))
     return errors.groupBy("track").agg(*[F.sum(ju[i] * ju[j] + jv[i] * jv[j]).alias(f"h{i}{j}") for i in range(3) for j in range(i, 3)])
 
 

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..options import require
 
 PAIR = ["source", "target"]
 
 
 def temporal_pairs(frames: DataFrame, neighbors: int = 4) -> DataFrame:
     """source < target <= source + neighbors, as an equi-join on spread offsets."""
+    require(1 <= neighbors <= 12, "neighbors must lie in [1, 12]")
     near = frames.select(F.col("frame").alias("source")).withColumn("target", F.explode(F.sequence(F.col("source") + 1, F.col("source") + neighbors)))
     return near.join(frames.select(F.col("frame").alias("target")), "target", "left_semi").select(*PAIR)
 

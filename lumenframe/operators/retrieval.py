@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..options import RetrievalOptions
+from ..options import require
 from ..plans.scratch import saved
 
 
@@ -49,23 +49,26 @@ def _possible(times: np.ndarray, spacing: float, k: int) -> int:
     return len(times)
 
 
-def loop_candidates(descriptors: DataFrame, neighbors: int = 4, options: RetrievalOptions = RetrievalOptions(), block: int = 512) -> DataFrame:
+def loop_candidates(descriptors: DataFrame, neighbors: int = 4, *, each: int = 3, apart_frames: int = 32, apart_seconds: float = 10.0, spacing: float = 5.0, block: int = 512) -> DataFrame:
     """Pairs (source, target, score): each frame's best far frames by cosine, walked for spacing.
 
+    A far frame is more than ``apart_frames`` (and ``neighbors``) frames and at least ``apart_seconds`` away; ``each`` are
+    taken for a frame, ``spacing`` seconds apart from each other.
+
     Blocks of queries meet blocks of targets in matrix products. Of a block, only targets that the whole walk could
     take are passed on (see :func:`_possible`), some for each query and block; the walk over those is the whole walk.
     """
-    o = options
+    require(each >= 1 and apart_frames >= 0 and apart_seconds >= 0 and spacing > 0, "distances must not be negative, spacing and number positive")
     unit = normalize(descriptors).where("ok").select("frame", "ts_s", "unit")
     count = unit.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     blocks = max(1, -(-count // block))
     # Neighbours in time share a block, so what excludes a target is mostly in its own block.
-    span = F.floor(F.col("ts_s") / (4 * o.region_spacing_seconds))
+    span = F.floor(F.col("ts_s") / (4 * spacing))
     dealt = saved(unit.withColumn("b", F.pmod(F.xxhash64(span), F.lit(blocks)).cast("int")), "descriptors")
     packed = dealt.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("frame", "ts_s", "unit"))).alias("rows"))
     left, right = packed.select(F.col("b").alias("qb"), F.col("rows").alias("q")), packed.select(F.col("b").alias("tb"), F.col("rows").alias("t"))
     grid = left.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "tb")
-    gap = max(neighbors, o.minimum_frame_gap)
+    gap = max(neighbors, apart_frames)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -76,19 +79,19 @@ def loop_candidates(descriptors: DataFrame, neighbors: int = 4, options: Retriev
                 scores = np.zeros((len(a), len(b)))
                 for d in range(a.shape[1]):  # one fixed order of terms, so a score doesn't depend on the blocks
                     scores += a[:, d : d + 1] * b[:, d]
-                far = (np.abs(fq[:, None] - ft) > gap) & (np.abs(sq[:, None] - st) >= o.minimum_time_gap)
+                far = (np.abs(fq[:, None] - ft) > gap) & (np.abs(sq[:, None] - st) >= apart_seconds)
                 scores[~far] = -np.inf
                 out = []
                 for i in range(len(a)):
                     at = np.lexsort((ft, -scores[i]))
                     at = at[np.isfinite(scores[i, at])]
-                    at = at[: _possible(st[at], o.region_spacing_seconds, o.candidates_per_frame)]
+                    at = at[: _possible(st[at], spacing, each)]
                     out.append(pd.DataFrame({"query": fq[i], "frame": ft[at], "ts_s": st[at], "score": scores[i, at]}))
                 yield pd.concat(out)
 
     best = grid.mapInPandas(run, "query long, frame long, ts_s double, score double")
     ranked = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg_score"), "frame", "ts_s"))).alias("ranked"))
-    chosen = ranked.select("query", F.explode(diversified(F.col("ranked"), o.region_spacing_seconds, o.candidates_per_frame)).alias("c"))
+    chosen = ranked.select("query", F.explode(diversified(F.col("ranked"), spacing, each)).alias("c"))
     pairs = chosen.select(F.least("query", "c.frame").alias("source"), F.greatest("query", "c.frame").alias("target"), "query", (-F.col("c.neg_score")).alias("score"))
     return pairs.groupBy("source", "target").agg(F.max_by("score", "query").alias("score"))
 

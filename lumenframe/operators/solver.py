@@ -7,10 +7,11 @@ eliminated block by block. Whole-map residuals and point blocks over Spark table
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 
-from ..options import BundleOptions
+from ..options import require
 from .alignment import _rodrigues
 
 NEAR = 1e-4
@@ -59,20 +60,30 @@ class Report:
     within: int
 
 
+class Priors(NamedTuple):
+    """How far poses and cameras may stray from their input: deviations in radians, scene units and pixels."""
+
+    rotation: float = 0.1
+    translation: float = 0.1
+    focal: float = 10.0
+    principal: float = 2.0
+
+
 class Adjuster:
     """State: pose increments on the right, points, logarithms of focals, principals. The first camera is fixed."""
 
-    def __init__(self, problem: Problem, options: BundleOptions = BundleOptions()):
+    def __init__(self, problem: Problem, *, gnc: bool = True, iterations: int = 50, rounds: int = 64, pixels: float = 3.0, priors: Priors = Priors(), shared_calibration: bool = True, refine_principal: bool = False):
+        require(1 <= iterations <= 1000 and rounds >= 1 and pixels > 0, "iterations must lie in [1, 1000], rounds and pixels be positive")
         problem.check()
-        self.p, self.o = problem, options
+        self.p, self.gnc, self.iterations, self.rounds, self.pixels, self.priors = problem, gnc, iterations, rounds, pixels, priors
         self.r, self.t, self.x = problem.rotations.copy(), problem.translations.copy(), problem.points.copy()
         self.log_f, self.c = np.log(problem.focals), problem.principals.copy()
         self.f0, self.c0, self.r0, self.t0 = problem.focals.copy(), problem.principals.copy(), problem.rotations.copy(), problem.translations.copy()
         self.n = len(self.r)
-        self.shared = options.shared_calibration
+        self.shared = shared_calibration
         if self.shared:
             self.log_f = np.repeat(np.log(np.median(problem.focals, axis=0))[None], self.n, axis=0)
-        self.k = 4 if options.refine_principal else 2
+        self.k = 4 if refine_principal else 2
         self.weights = np.ones(len(problem.camera))
         if not np.isfinite(self.squared()).all():
             raise ValueError("an observation starts behind its camera")
@@ -97,11 +108,11 @@ class Adjuster:
             d = self.r0[i].T @ self.r[i]
             a = np.arccos(np.clip((np.trace(d) - 1) / 2, -1, 1))
             w = np.array([d[2, 1] - d[1, 2], d[0, 2] - d[2, 0], d[1, 0] - d[0, 1]]) * (0.5 if a < 1e-9 else a / (2 * np.sin(a)))
-            out[i, :3] = w / self.o.rotation_sigma
-            out[i, 3:6] = self.r0[i].T @ (self.t[i] - self.t0[i]) / self.o.translation_sigma
-        out[:, 6:8] = (np.exp(self.log_f) - self.f0) / self.o.focal_sigma
-        out[:, 8:10] = (self.c - self.c0) / self.o.principal_sigma
-        return out, np.exp(self.log_f) / self.o.focal_sigma
+            out[i, :3] = w / self.priors.rotation
+            out[i, 3:6] = self.r0[i].T @ (self.t[i] - self.t0[i]) / self.priors.translation
+        out[:, 6:8] = (np.exp(self.log_f) - self.f0) / self.priors.focal
+        out[:, 8:10] = (self.c - self.c0) / self.priors.principal
+        return out, np.exp(self.log_f) / self.priors.focal
 
     def _objective(self, huber: bool) -> float:
         e, r, _, _, _ = self._rows(huber, False)
@@ -115,7 +126,7 @@ class Adjuster:
         f = np.exp(self.log_f[i])
         raw = f * y[:, :2] / z[:, None] + self.c[i] - self.p.pixels
         length = np.linalg.norm(raw, axis=1)
-        d = self.o.pixels
+        d = self.pixels
         q = d / np.maximum(length, 1e-12)
         h = np.where(length > d, np.sqrt(np.maximum(q * (2 - q), 0)), 1.0) if huber else np.ones(len(raw))
         w = (h * self.weights)[:, None]
@@ -173,11 +184,11 @@ class Adjuster:
         prior, focal = self._priors()
         for c in range(self.n):
             a = slice(6 * c, 6 * c + 6)
-            sigma = np.array([1 / self.o.rotation_sigma] * 3 + [1 / self.o.translation_sigma] * 3)
+            sigma = np.array([1 / self.priors.rotation] * 3 + [1 / self.priors.translation] * 3)
             hcc[a, a] += np.diag(sigma**2)
             g[a] += sigma * prior[c, :6]
             b = np.arange(self.k) + (6 * self.n if self.shared else 6 * self.n + self.k * c)
-            slope = np.r_[focal[c], np.full(2, 1 / self.o.principal_sigma)][: self.k]
+            slope = np.r_[focal[c], np.full(2, 1 / self.priors.principal)][: self.k]
             hcc[b, b] += slope**2
             g[b] += slope * prior[c, 6 : 6 + self.k]
         hcc[np.diag_indices(size)] *= 1 + damping
@@ -242,21 +253,21 @@ class Adjuster:
 
     def solve(self) -> Report:
         """Graduated non-convexity of truncated least squares, or one Huber run."""
-        c2 = self.o.pixels**2
+        c2 = self.pixels**2
         costs: list[float] = []
-        if not self.o.gnc:
-            costs, done = self.minimize(self.o.iterations, True)
+        if not self.gnc:
+            costs, done = self.minimize(self.iterations, True)
             rounds = 1
         else:
             e = self.squared()
             mu = max(1e-6, c2 / max(c2, 2 * e.max() - c2))
             previous, done, rounds = np.inf, False, 0
-            for rounds in range(1, self.o.rounds + 1):
+            for rounds in range(1, self.rounds + 1):
                 e = self.squared()
                 root = np.sqrt(np.where(e <= mu / (mu + 1) * c2, 1.0, np.where(e >= (mu + 1) / mu * c2, 0.0, np.sqrt(c2 * mu * (mu + 1) / np.maximum(e, 1e-300)) - mu)))
                 active = np.bincount(self.p.point, weights=root > 0.01, minlength=len(self.x)) >= 3
                 self.weights = np.where(active[self.p.point], root, 0.0)
-                made, _ = self.minimize(self.o.iterations, False)
+                made, _ = self.minimize(self.iterations, False)
                 costs += made
                 e = self.squared()
                 now = float(np.minimum(e, c2).sum())

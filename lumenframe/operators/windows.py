@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..options import require
+
 
 def overlapping_windows(spark: SparkSession, count: int, size: int = 64, overlap: int = 32) -> DataFrame:
     """(window, frame): windows of ``size`` frames, each ``size - overlap`` further; the last ends with the frames."""
-    if count < 6:
-        raise ValueError("at least six frames are required")
+    require(count >= 6, "at least six frames are required")
+    require(size >= 8 and 6 <= overlap < size, "a window has at least 8 frames, an overlap at least 6 and fewer than a window")
     step = size - overlap
     last = max(0, -(-(count - size) // step))
     windows = spark.range(last + 1).withColumnRenamed("id", "window")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import mapping
 from ..registry import query
-from ..sources.fixtures import v_cam, v_land, v_match, v_obs, v_pix
+from ..sources.fixtures import in_camera, in_world, v_cam, v_land, v_match, v_obs, v_pix
 
-_P = "x - c0 AS px, y - c1 AS py, z - c2 AS pz"
+_P = ", ".join(f"{e} AS {n}" for e, n in zip(in_camera("x", "y", "z", "p."), ("px", "py", "pz"), strict=True))
 _ERR = f"e0 AS (SELECT p.*, l.x, l.y, l.z, {_P} FROM v_pix p JOIN v_land l USING (track)), er AS (SELECT *, sqrt(pow(fx * px / pz + cx - u, 2) + pow(fy * py / pz + cy - v, 2)) AS error FROM e0)"
 
 
@@ -31,12 +31,32 @@ def covisibility_edges(spark, d):
 
 @query(
     "support_violations",
-    "WITH c AS (SELECT frame, count(*) FILTER (track % 97 = frame % 5) AS observations, count(*) AS before FROM v_obs GROUP BY frame) SELECT CAST(r.range AS BIGINT) AS frame, coalesce(observations, 0) AS observations, coalesce(before, -1) AS before FROM range(104) r LEFT JOIN c ON c.frame = r.range WHERE coalesce(observations, 0) < 6",
+    """WITH o AS (SELECT track, frame FROM v_obs WHERE track % 97 = frame % 5 AND frame % 10 <> 7 OR track % 89 = 1 AND frame % 10 = 7),
+    c AS (SELECT frame, count(*) AS observations FROM o GROUP BY frame), b AS (SELECT frame, count(*) AS before FROM v_obs GROUP BY frame),
+    f AS (SELECT CAST(range AS BIGINT) AS frame FROM range(104)), e AS (SELECT DISTINCT a.frame AS u, z.frame AS v FROM o a JOIN o z USING (track)),
+    w(node) AS (SELECT 0::BIGINT UNION SELECT v FROM w JOIN e ON e.u = w.node)
+    SELECT frame, coalesce(observations, 0) AS observations, coalesce(before, -1) AS before, frame IN (SELECT node FROM w) AS connected FROM f LEFT JOIN c USING (frame) LEFT JOIN b USING (frame)
+    WHERE coalesce(observations, 0) < 6 OR frame NOT IN (SELECT node FROM w)""".replace("WITH o", "WITH RECURSIVE o", 1),
 )
 def support_violations(spark, d):
+    """Every tenth frame sees tracks of its own, so it has observations enough but nothing that joins it to the first."""
     obs = v_obs(spark, d)
     cameras = spark.range(104).withColumnRenamed("id", "frame")
-    return mapping.support_violations(cameras, obs.where("track % 97 = frame % 5"), mapping.camera_support(obs)).withColumn("before", F.coalesce("before", F.lit(-1)))
+    seen = obs.where("track % 97 = frame % 5 AND frame % 10 <> 7 OR track % 89 = 1 AND frame % 10 = 7")
+    return mapping.support_violations(cameras, seen, mapping.camera_support(obs)).withColumn("before", F.coalesce("before", F.lit(-1)))
+
+
+@query("stable_anchors", f"WITH {_ERR} SELECT track, count(*) FILTER (round(error, 6) <= 3) AS support FROM er GROUP BY track HAVING count(*) FILTER (round(error, 6) <= 3) >= 3")
+def stable_anchors(spark, d):
+    return mapping.stable_anchors(_errors(spark, d).withColumn("error", F.round("error", 6)))
+
+
+@query("disjoint_maps", "SELECT frame, count(*) AS observations FROM v_obs WHERE (track % 3 = 0 AND frame < 40) OR (track % 3 = 1 AND frame >= 60) GROUP BY frame")
+def disjoint_maps(spark, d):
+    obs, cams = v_obs(spark, d), v_obs(spark, d).select("frame").distinct()
+    parts = [(cams.where("frame < 40"), obs.where("track % 3 = 0 AND frame < 40")), (cams.where("frame >= 60"), obs.where("track % 3 = 1 AND frame >= 60"))]
+    cameras, observations = mapping.disjoint_union(parts)
+    return mapping.camera_support(observations).join(cameras, "frame")
 
 
 @query("reprojection_error", f"WITH {_ERR} SELECT track, frame, round(error, 6) AS error FROM er")
@@ -44,9 +64,12 @@ def reprojection_error(spark, d):
     return _errors(spark, d).select("track", "frame", F.round("error", 6).alias("error"))
 
 
-@query("backproject", "SELECT track, frame, round((u - cx) / fx * d + c0, 6) AS x, round((v - cy) / fy * d + c1, 6) AS y, round(d + c2, 6) AS z FROM v_pix")
+_W = in_world("(u - cx) / fx * d", "(v - cy) / fy * d", "d")
+
+
+@query("backproject", f"SELECT track, frame, round({_W[0]}, 6) AS x, round({_W[1]}, 6) AS y, round({_W[2]}, 6) AS z FROM v_pix")
 def backproject(spark, d):
-    world = G.back_project(*[F.col(c) for c in ("u", "v", "d", "fx", "fy", "cx", "cy")], None, [F.col("c0"), F.col("c1"), F.col("c2")])
+    world = G.back_project(*[F.col(c) for c in ("u", "v", "d", "fx", "fy", "cx", "cy")], [F.col("r")[i] for i in range(9)], [F.col("c0"), F.col("c1"), F.col("c2")])
     return v_pix(spark, d).select("track", "frame", *[F.round(p, 6).alias(n) for p, n in zip(world, "xyz", strict=True)])
 
 
@@ -106,9 +129,10 @@ def shared_intrinsics(spark, d):
 
 @query(
     "landmark_init",
-    """WITH b AS (SELECT *, (u - cx) / fx * d + c0 AS bx, (v - cy) / fy * d + c1 AS bym, d + c2 AS bz FROM v_pix),
+    f"""WITH b AS (SELECT *, {_W[0]} AS bx, {_W[1]} AS bym, {_W[2]} AS bz FROM v_pix),
     l AS (SELECT track, quantile_cont(bx, 0.5) AS x, quantile_cont(bym, 0.5) AS y, quantile_cont(bz, 0.5) AS z FROM b GROUP BY track),
-    e AS (SELECT track, x, y, z, sqrt(pow(fx * (x - c0) / (z - c2) + cx - u, 2) + pow(fy * (y - c1) / (z - c2) + cy - v, 2)) AS error FROM v_pix JOIN l USING (track))
+    c AS (SELECT p.*, l.x, l.y, l.z, {_P} FROM v_pix p JOIN l USING (track)),
+    e AS (SELECT track, x, y, z, sqrt(pow(fx * px / pz + cx - u, 2) + pow(fy * py / pz + cy - v, 2)) AS error FROM c WHERE pz > 0)
     SELECT track, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, count(*) AS views FROM e WHERE error <= 14 GROUP BY ALL HAVING count(*) >= 3""",
 )
 def landmark_init(spark, d):
@@ -183,10 +207,13 @@ def ba_residuals(spark, d):
     return mapping.residuals(_errors(spark, d)).select("track", "frame", F.round("r0", 6).alias("r0"), F.round("r1", 6).alias("r1"), "r2")
 
 
+#: Derivatives of the two pixel coordinates by the point in the world.
+_JACOBIAN = ", ".join(f"fx / pz * r[{3 * k + 1}] - fx * px / (pz * pz) * r[{3 * k + 3}] AS u{k}, fy / pz * r[{3 * k + 2}] - fy * py / (pz * pz) * r[{3 * k + 3}] AS v{k}" for k in range(3))
+
+
 @query(
     "ba_normal_blocks",
-    f"""WITH {_ERR} SELECT track, round(sum(fx * fx / (pz * pz)), 3) AS h00, 0.0::DOUBLE AS h01, round(sum(-fx * fx * px / (pz * pz * pz)), 3) AS h02, round(sum(fy * fy / (pz * pz)), 3) AS h11, round(sum(-fy * fy * py / (pz * pz * pz)), 3) AS h12,
-    round(sum(fx * fx * px * px / (pz * pz * pz * pz) + fy * fy * py * py / (pz * pz * pz * pz)), 3) AS h22 FROM er GROUP BY track""",
+    f"""WITH {_ERR}, j AS (SELECT track, {_JACOBIAN} FROM er) SELECT track, {", ".join(f"round(sum(u{i} * u{k} + v{i} * v{k}), 3) AS h{i}{k}" for i in range(3) for k in range(i, 3))} FROM j GROUP BY track""",
 )
 def ba_normal_blocks(spark, d):
     blocks = mapping.point_blocks(_errors(spark, d))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import graph, matching, retrieval
-from ..options import RepairPolicy, RetrievalOptions, WindowOptions
+from ..options import require
 from .scratch import saved
 
 
@@ -38,18 +38,23 @@ def repair(
     frames: DataFrame,
     match: Callable[[DataFrame, DataFrame], DataFrame],
     fetch: Callable[[DataFrame], DataFrame],
-    policy: RepairPolicy = RepairPolicy(),
-    options: WindowOptions = WindowOptions(),
+    *,
+    rounds: int = 2,
+    crossing: int = 60,
+    share: float = 0.25,
+    most: int = 512,
+    neighbors: int = 4,
     describe: Callable[[DataFrame], DataFrame] | None = None,
     size: tuple[float, float] | None = None,
-    search: RetrievalOptions = RetrievalOptions(),
+    search: dict | None = None,
 ):
     """Frames (frame, candidate) with insertions, their tracks, and the rounds' counts.
 
     ``match(frames, pairs)`` gives matches of pairs and ``fetch(candidates)`` the inserted frames' records. At
-    most ``policy.maximum_rounds`` rounds, within the policy's budget.
+    most ``rounds`` rounds insert frames where fewer than ``crossing`` tracks cross a boundary, at most ``share`` of the
+    frames and ``most`` in all.
 
-    ``describe(frames)`` gives descriptors (frame, ts_s, emb); each round retrieves loop candidates by them and asks
+    ``describe(frames)`` gives descriptors (frame, ts_s, emb), ``search`` keywords of ``retrieval.loop_candidates``; each round retrieves loop candidates by them and asks
     for temporal and loop pairs together (``pair_kind``). Pairs that were temporal in a round stay so when insertions
     move them apart. Without ``describe`` no loops are looked for. A pair is temporal if planned so, or if near and not
     planned; any other enters the tracks only if it passes the loop quality gate in images of ``size`` (width, height;
@@ -57,17 +62,17 @@ def repair(
     Weak boundaries are found on temporal tracks alone. The last count has ``loop_links``, a table as of
     ``graph.loop_links``.
     """
-    if describe is not None and size is None:
-        raise ValueError("loops need the images' size")
+    require(describe is None or size is not None, "loops need the images' size")
+    require(rounds >= 0 and crossing >= 0, "rounds and crossing tracks must not be negative")
     first = frames.count()
-    budget, history, earlier = policy.budget(first), [], None
-    for turn in range(policy.maximum_rounds + 1):
-        temporal = matching.temporal_pairs(frames, options.neighbors)
+    budget, history, earlier = graph.insertion_budget(first, share, most), [], None
+    for turn in range(rounds + 1):
+        temporal = matching.temporal_pairs(frames, neighbors)
         if earlier is not None:
             temporal = temporal.unionByName(earlier).distinct()
-        loops = temporal.limit(0) if describe is None else retrieval.loop_candidates(describe(frames), options.neighbors, search)
-        plan = saved(matching.pair_plan(temporal, loops, options.neighbors), "repair-plan")
-        near = F.when(F.col("target") - F.col("source") <= options.neighbors, "temporal").otherwise("loop")
+        loops = temporal.limit(0) if describe is None else retrieval.loop_candidates(describe(frames), neighbors, **(search or {}))
+        plan = saved(matching.pair_plan(temporal, loops, neighbors), "repair-plan")
+        near = F.when(F.col("target") - F.col("source") <= neighbors, "temporal").otherwise("loop")
         matches = match(frames, plan).drop("pair_kind").join(plan, matching.PAIR, "left").withColumn("pair_kind", F.coalesce("pair_kind", near))
         matches = saved(matches, "repair-matches")
         loops = matches.where("false").select("source", "target")
@@ -80,12 +85,12 @@ def repair(
         extents = graph.build_tracks(edges.where(~F.col("is_loop"))).groupBy("head_frame", "head_kp").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
         counts = saved(graph.crossing_counts(extents, frames), "repair-counts")
         count = frames.count()
-        weak = graph.weak_boundaries(counts, policy.minimum_crossing_tracks)
+        weak = graph.weak_boundaries(counts, crossing)
         history.append({"round": turn, "frames": count, "weak": weak.count(), **counted})
         left = budget - (count - first)
-        if turn == policy.maximum_rounds or left <= 0 or not history[-1]["weak"]:
+        if turn == rounds or left <= 0 or not history[-1]["weak"]:
             break
-        added = saved(graph.repair_candidates(frames, counts, left, policy.minimum_crossing_tracks).select("candidate"), "repair-added")
+        added = saved(graph.repair_candidates(frames, counts, left, crossing).select("candidate"), "repair-added")
         if not added.take(1):
             break
         together = frames.select("candidate").unionByName(fetch(added).select("candidate")).distinct()

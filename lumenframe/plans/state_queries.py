@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import holdouts
-from ..options import KeyframeOptions
 from ..registry import query
 from ..sources.fixtures import table, v_frames, v_obs
-from ..streaming.keyframes import select_keyframes
+from ..streaming.keyframes import Thresholds, select_keyframes
 
-OPTIONS = KeyframeOptions(minimum_features=95)
+OPTIONS = Thresholds(minimum_features=95)
 
 
 def fixture_quality(video: int, anchor: int, current: int) -> tuple[int, float, float, float]:

@@ -126,8 +126,7 @@ def pose_targets(spark, d):
 @query("restored_tracks", f"WITH {_ERR}, k AS (SELECT track, frame, frame < 50 AS anchor FROM er WHERE round(error, 9) <= 3) SELECT track, count(*) AS observations, bool_or(anchor) AND bool_or(NOT anchor) AS bridges FROM k GROUP BY track")
 def restored_tracks(spark, d):
     cams = v_cam(spark, d)
-    identity = F.array(*[F.lit(float(i in (0, 4, 8))) for i in range(9)])
-    cameras = cams.select("frame", "fx", "fy", "cx", "cy", identity.alias("r"), F.array("c0", "c1", "c2").alias("c"))
+    cameras = cams.select("frame", "fx", "fy", "cx", "cy", "r", F.array("c0", "c1", "c2").alias("c"))
     kept = bridges.restored_tracks(v_land(spark, d), v_pix(spark, d).select("track", "frame", "u", "v"), cameras, cams.select("frame", (F.col("frame") < 50).alias("anchor")))
     return kept.groupBy("track", "bridges").agg(F.count(F.lit(1)).alias("observations"))
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..options import KeyframeOptions
+from ..options import require
 
 #: inliers, inlier ratio, coverage, displacement
 Quality = tuple[int, float, float, float]
@@ -22,12 +22,34 @@ DECISIONS = "video long, candidate long, ts_s double, decision string, reference
 SELECTED = "video long, candidate long, reason string"
 
 
+@dataclass(frozen=True)
+class Thresholds:
+    """When a frame is taken. The names are the keys of the configuration file, so they are fixed."""
+
+    minimum_features: int = 120
+    minimum_sharpness: float = 20.0
+    minimum_inliers: int = 60
+    minimum_inlier_ratio: float = 0.4
+    minimum_coverage: float = 0.25
+    motion: float = 0.035
+    retention: float = 0.65
+    minimum_interval: float = 0.2
+    tracking_timeout: float = 2.0
+    minimum_keyframes: int = 3
+
+    def __post_init__(self) -> None:
+        for share in (self.minimum_inlier_ratio, self.minimum_coverage, self.retention):
+            require(0 <= share <= 1, "a share must lie in [0, 1]")
+        require(min(self.minimum_features, self.minimum_inliers, self.minimum_sharpness, self.motion, self.minimum_interval) >= 0, "thresholds must not be negative")
+        require(self.tracking_timeout > 0, "tracking_timeout must be positive")
+
+
 @dataclass
 class Selector:
     """Decides frame by frame; ``state`` is all it remembers."""
 
     quality: Callable[[int, int, int], Quality]
-    options: KeyframeOptions
+    options: Thresholds
     video: int = 0
     anchor: tuple[int, float] | None = None
     good: tuple[int, float] | None = None
@@ -97,7 +119,7 @@ class Selector:
         return not self.broken and self.count >= self.options.minimum_keyframes
 
 
-def select_keyframes(frames: DataFrame, quality: Callable[[int, int, int], Quality], options: KeyframeOptions = KeyframeOptions()) -> DataFrame:
+def select_keyframes(frames: DataFrame, quality: Callable[[int, int, int], Quality], options: Thresholds = Thresholds()) -> DataFrame:
     """Decisions for ``frames(video, candidate, ts_s, feature_count, sharpness)``, each video folded in order."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -131,7 +153,7 @@ def selected_keyframes(decisions: DataFrame, minimum: int = 3) -> DataFrame:
     return chosen.join(enough.select("video"), "video", "left_semi")
 
 
-def stream_keyframes(frames: DataFrame, quality: Callable[[int, int, int], Quality], options: KeyframeOptions = KeyframeOptions()) -> DataFrame:
+def stream_keyframes(frames: DataFrame, quality: Callable[[int, int, int], Quality], options: Thresholds = Thresholds()) -> DataFrame:
     """The same decisions over a streaming ``frames``: the machine's state is kept per video, in the state store.
 
     Late frames are an error, as rising times are demanded; no watermark drops them.

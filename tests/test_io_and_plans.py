@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lumenframe import hooks
 from lumenframe.__main__ import main
-from lumenframe.options import RepairPolicy, WindowOptions
 from lumenframe.plans import repair
 from lumenframe.plans.scratch import clear, saved, shared_folder
 from lumenframe.sinks import writers
@@ -116,7 +115,7 @@ def test_repair_inserts_frames_at_weak_boundaries(spark):
             "source", "target", "source_feature", F.col("source_feature").alias("target_feature"), F.lit(True).alias("inlier"), F.lit(1.0).alias("confidence")
         )
 
-    done, tracks, history = repair.repair(frames, match, lambda added: added, RepairPolicy(fraction=1.0), WindowOptions())
+    done, tracks, history = repair.repair(frames, match, lambda added: added, share=1.0)
     assert history[0]["weak"] >= 1 and history[-1]["weak"] == 0 and 40 in [r["candidate"] for r in done.collect()]
     assert tracks.count() > 0
 

@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenframe.operators import dense, graph, holdouts, mapping, matching, retrieval, scan, windows
-from lumenframe.options import KeyframeOptions, RepairPolicy, RetrievalOptions, WindowOptions, from_json
+from lumenframe.options import from_json
+from lumenframe.streaming.keyframes import Thresholds
 
 
 def frames(spark, times):
@@ -155,10 +156,10 @@ def plain_walk(rows, neighbors, o):
     pairs = {}
     unit = [(f, t, [x / math.sqrt(sum(y * y for y in v)) for x in v]) for f, t, v in rows]
     for q, tq, a in unit:
-        ranked = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), f, t) for f, t, b in unit if abs(f - q) > max(neighbors, o.minimum_frame_gap) and abs(t - tq) >= o.minimum_time_gap)
+        ranked = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), f, t) for f, t, b in unit if abs(f - q) > max(neighbors, o["apart_frames"]) and abs(t - tq) >= o["apart_seconds"])
         kept = []
         for s, f, t in ranked:
-            if len(kept) < o.candidates_per_frame and all(abs(t - x) >= o.region_spacing_seconds for x in kept):
+            if len(kept) < o["each"] and all(abs(t - x) >= o["spacing"] for x in kept):
                 kept.append(t)
                 pairs[min(q, f), max(q, f)] = True
     return sorted(pairs)
@@ -167,12 +168,12 @@ def plain_walk(rows, neighbors, o):
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(-50, 50), st.integers(-50, 50)), min_size=20, max_size=70), st.floats(0.3, 2.0))
 def test_blocked_retrieval_equals_the_plain_walk(spark, vectors, pace):
-    o = RetrievalOptions(minimum_frame_gap=3, minimum_time_gap=3.0)
+    o = {"each": 3, "apart_frames": 3, "apart_seconds": 3.0, "spacing": 5.0}
     rows = [(i, i * pace, [a / 7, b / 7, 0.3 + i / 1000]) for i, (a, b) in enumerate(vectors)]
     df = spark.createDataFrame(rows, "frame long, ts_s double, emb array<double>")
     want = plain_walk(rows, 1, o)
     for block in (1000, 7):
-        assert sorted((r[0], r[1]) for r in retrieval.loop_candidates(df, 1, o, block=block).collect()) == want
+        assert sorted((r[0], r[1]) for r in retrieval.loop_candidates(df, 1, **o, block=block).collect()) == want
 
 
 def test_calibration_gates(spark):
@@ -224,14 +225,16 @@ def test_held_out_share_is_a_fifth():
     assert 0.18 < holdouts.held_out(pd.Series(range(20_000))).mean() < 0.22
 
 
-def test_options_refuse_nonsense():
+def test_options_refuse_nonsense(spark):
     with pytest.raises(ValueError):
-        WindowOptions(window_size=4)
+        windows.overlapping_windows(spark, 100, 7, 6)
     with pytest.raises(ValueError):
-        KeyframeOptions(retention=2.0)
+        windows.overlapping_windows(spark, 100, 64, 1)
+    with pytest.raises(ValueError):
+        Thresholds(retention=2.0)
     with pytest.raises(ValueError, match="unknown"):
-        from_json(KeyframeOptions, '{"speed": 1}')
-    assert from_json(RepairPolicy, '{"cap": 10}').budget(1000) == 10 and RepairPolicy().budget(10) == 3
+        from_json(Thresholds, '{"speed": 1}')
+    assert graph.insertion_budget(1000, **from_json(graph.insertion_budget, '{"most": 10}')) == 10 and graph.insertion_budget(10) == 3
 
 
 def test_skewed_components_and_long_chains(spark):

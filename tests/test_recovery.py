@@ -5,7 +5,6 @@ from test_state_and_geometry import scene
 
 from lumenframe.operators import alignment, windows
 from lumenframe.operators.map_builder import MapBuilder, assemble
-from lumenframe.options import WindowOptions
 
 EYE, ZERO = np.eye(3), np.zeros(3)
 TURN, SHIFT = alignment._rodrigues(np.array([0.1, 0.2, 0.1])), np.array([1.0, -2.0, 0.5])
@@ -46,7 +45,7 @@ def test_parts_of_a_rejected_window_join(again):
         asked.append((window, cut))
         return [predicted(r, c, obs, p, lambda f: (1.7, TURN, SHIFT)) for p in cut]
 
-    b = MapBuilder(obs[["track", "frame", "u", "v"]], WindowOptions(window_size=8, overlap=4))
+    b = MapBuilder(obs[["track", "frame", "u", "v"]])
     plan = {0: predicted(r, c, obs, list(range(8)), plain), 1: predicted(r, c, obs, list(range(4, 14)), wrong)}
     attempts = assemble(b, plan, lambda builder, waiting: sorted(waiting), predict if again else None)
     first = attempts[attempts["window"] == 1].iloc[0]
@@ -57,7 +56,7 @@ def test_parts_of_a_rejected_window_join(again):
     else:
         assert sorted(b.map.cameras["frame"]) == list(range(12))
     assert even_steps(b.map, c)
-    other = MapBuilder(obs[["track", "frame", "u", "v"]], WindowOptions(window_size=8, overlap=4))
+    other = MapBuilder(obs[["track", "frame", "u", "v"]])
     assemble(other, plan, predict=predict if again else None)
     assert sorted(other.map.cameras["frame"]) == sorted(b.map.cameras["frame"])
 
@@ -68,7 +67,7 @@ def test_parts_of_a_window_without_a_common_track_are_aligned_each():
     one, two = [*range(7), 10, 11, 12], [*range(4), 7, 8, 9, 13, 14, 15]
     obs = obs[np.where(obs["track"] % 2 == 0, obs["frame"].isin(one), obs["frame"].isin(two))]
     gauges = lambda f: (2.5, TURN, SHIFT) if f in one else (0.8, TURN.T, -SHIFT)
-    b = MapBuilder(obs[["track", "frame", "u", "v"]], WindowOptions(window_size=12, overlap=6))
+    b = MapBuilder(obs[["track", "frame", "u", "v"]])
     plan = {0: predicted(r, c, obs, list(range(10)), lambda f: (1.0, EYE, ZERO)), 1: predicted(r, c, obs, list(range(4, 16)), gauges)}
     attempts = assemble(b, plan, lambda builder, waiting: sorted(waiting))
     assert attempts["status"].tolist() == ["accepted", "accepted"] and len(b.map.cameras) == 16
@@ -81,7 +80,7 @@ def test_a_bridge_joins_a_part_without_a_frame_of_the_map(seen):
     x, r, c, obs = scene(n=14, m=500)
     obs = obs[np.where(obs["track"] < 300, (obs["frame"] < 10) | seen, obs["frame"] >= 10)]
     gauges = lambda f: (1.0, EYE, ZERO) if f < 10 else (1.6, TURN, SHIFT)
-    b = MapBuilder(obs[["track", "frame", "u", "v"]], WindowOptions(window_size=8, overlap=4))
+    b = MapBuilder(obs[["track", "frame", "u", "v"]])
     plan = {0: predicted(r, c, obs, list(range(8)), gauges), 1: predicted(r, c, obs, list(range(4, 14)), gauges)}
     attempts = assemble(b, plan, lambda builder, waiting: sorted(waiting))
     second = attempts[attempts["window"] == 1].iloc[0]

@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from lumenframe.options import RepairPolicy, RetrievalOptions, WindowOptions
 from lumenframe.plans import repair
 
 
@@ -25,12 +24,12 @@ def test_repair_finds_loops_and_asks_for_proof(spark):
         points = both.withColumn("source_feature", F.explode(F.sequence(F.lit(0), F.lit(79)).cast("array<long>")))
         return points.select("source", "target", k, k.alias("target_feature"), F.lit(True).alias("inlier"), F.lit(1.0).alias("confidence"), x.alias("au"), y.alias("av"), x.alias("bu"), y.alias("bv"))
 
-    search = RetrievalOptions(candidates_per_frame=1, minimum_frame_gap=8, minimum_time_gap=5.0)
-    _, tracks, history = repair.repair(frames, match, lambda added: added, RepairPolicy(maximum_rounds=0), WindowOptions(), describe, (640, 480), search)
+    search = {"each": 1, "apart_frames": 8, "apart_seconds": 5.0}
+    _, tracks, history = repair.repair(frames, match, lambda added: added, rounds=0, describe=describe, size=(640, 480), search=search)
     true = {(i, i + 14) for i in range(4)}
     assert true | {(10, 22)} <= asked[0] and history[0]["verified_loops"] == 6 and history[0]["corroborated_loops"] == 4
     assert {(r["source"], r["target"]) for r in history[-1]["loop_links"].select("source", "target").distinct().collect()} == true
     assert tracks.where("frame IN (0, 14)").groupBy("head_frame", "head_kp").count().where("count = 2").count() == 80
     # without the images' size nothing can prove a loop
-    tracks = repair.repair(frames, match, lambda added: added, RepairPolicy(maximum_rounds=0), WindowOptions())[1]
+    tracks = repair.repair(frames, match, lambda added: added, rounds=0)[1]
     assert tracks.where("frame IN (0, 14)").groupBy("head_frame", "head_kp").count().where("count = 2").count() == 0
