@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import dense_queries, frames_queries, map_queries, match_queries, state_queries, support_queries  # noqa: F401
+from .plans import dense_queries, frames_queries, graph_queries, map_queries, match_queries, state_queries, support_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -17,7 +17,7 @@ from ..plans.spread import spread_join
 
 
 #: Edges that one task unites by itself before the rounds between tasks begin.
-TOGETHER = 500_000
+TOGETHER = 1_000_000
 
 
 def _united(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
@@ -109,12 +109,60 @@ def join_constrained(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(*n, *min(g)) for g in groups.values() for n in g], columns=["frame", "kp", "head_frame", "head_kp"])
 
 
+#: Edges of a component that one task joins by itself; larger ones are joined by rounds over all tasks.
+JOINED = 200_000
+
+
+def join_by_rounds(edges: DataFrame) -> DataFrame:
+    """What :func:`join_constrained` gives, of any number of edges, as (frame, kp, head_frame, head_kp).
+
+    What happens to an edge depends only on the stronger edges at its two groups. So in a round every edge that is the
+    strongest left at both its groups is decided at once: the groups are joined, or share a frame and the edge goes
+    for good, as groups only grow. Such edges touch each group once, so joined groups come in pairs.
+    """
+    node = lambda f, k: F.struct(F.col(f).alias("frame"), F.col(k).alias("kp"))
+    order = F.struct("confidence", "fa", "ka", "fb", "kb", "is_loop")
+    live = saved(edges.select(node("fa", "ka").alias("a"), node("fb", "kb").alias("b"), order.alias("at")).distinct(), "join-edges")
+    members = saved(live.select(F.col("a").alias("node")).union(live.select("b")).distinct().select("node", F.col("node").alias("head")), "join-members")
+    while True:
+        live = saved(live.where("a <> b"), "join-edges")
+        best = live.select(F.col("a").alias("head"), "at").union(live.select("b", "at")).groupBy("head").agg(F.max("at").alias("at"))
+        chosen = live.join(best.select(F.col("head").alias("a"), "at"), ["a", "at"]).join(best.select(F.col("head").alias("b"), "at"), ["b", "at"]).select("a", "b", "at")
+        chosen = saved(chosen, "join-chosen")
+        if not chosen.take(1):
+            break
+        frames = members.select("head", F.col("node.frame").alias("frame"))
+        both = chosen.join(frames.withColumnRenamed("head", "a"), "a").join(frames.withColumnRenamed("head", "b"), ["b", "frame"])
+        clash = saved(both.select("a", "b").distinct(), "join-clashes")
+        moves = chosen.join(clash, ["a", "b"], "left_anti").select(F.greatest("a", "b").alias("head"), F.least("a", "b").alias("to"))
+        moves = saved(moves, "join-moves")
+        renamed = lambda df, c: df.join(moves.withColumnRenamed("head", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        members = saved(renamed(members, "head"), "join-members")
+        rejected = chosen.join(clash, ["a", "b"]).select("at")
+        live = renamed(renamed(live.join(rejected, "at", "left_anti"), "a"), "b")
+    return members.select("node.frame", "node.kp", F.col("head.frame").alias("head_frame"), F.col("head.kp").alias("head_kp"))
+
+
 def build_tracks(edges: DataFrame, minimum_views: int = 3) -> DataFrame:
     """Observations (track, frame, kp) of tracks with enough views; a track is numbered by its least observation.
 
     Joining never leaves an unconstrained component, so components are found first, distributed; a component that
-    no conflict touches (each frame once) is a track as it stands, and only the others are joined edge by edge.
+    no conflict touches (each frame once) is a track as it stands, and only the others are joined edge by edge: small
+    ones each in one task, large ones by rounds.
     """
+    tracks = joined_tracks(edges)
+    views = tracks.groupBy("head_frame", "head_kp").agg(F.count(F.lit(1)).alias("views")).where(F.col("views") >= minimum_views)
+    return tracks.join(views, ["head_frame", "head_kp"])
+
+
+def rejected_edges(edges: DataFrame, joined: DataFrame) -> DataFrame:
+    """Edges whose ends came to lie in different tracks of ``joined``, the result of :func:`joined_tracks`: those that a conflict kept out."""
+    ends = [joined.select(F.col("frame").alias(f), F.col("kp").alias(k), F.struct("head_frame", "head_kp").alias(h)) for f, k, h in (("fa", "ka", "ha"), ("fb", "kb", "hb"))]
+    return edges.join(ends[0], ["fa", "ka"]).join(ends[1], ["fb", "kb"]).where("ha <> hb").drop("ha", "hb")
+
+
+def joined_tracks(edges: DataFrame) -> DataFrame:
+    """(frame, kp, head_frame, head_kp) of all keypoints that edges touch, before short tracks go."""
     node = lambda f, k: F.struct(F.col(f).alias("frame"), F.col(k).alias("kp"))
     keyed = edges.select("*", F.xxhash64("fa", "ka").alias("u"), F.xxhash64("fb", "kb").alias("v"))
     keyed = saved(keyed, "track-edges")
@@ -125,10 +173,37 @@ def build_tracks(edges: DataFrame, minimum_views: int = 3) -> DataFrame:
     clean = members.join(sizes.where("n = frames"), "root").select(F.col("o.frame").alias("frame"), F.col("o.kp").alias("kp"), F.col("head.frame").alias("head_frame"), F.col("head.kp").alias("head_kp"))
     clashing = keyed.join(roots.select(F.col("node").alias("u"), "root"), "u").join(sizes.where("n <> frames").select("root"), "root", "left_semi")
     columns = ["root", "fa", "ka", "fb", "kb", "confidence", "is_loop"]
-    joined = clashing.select(*columns).groupBy("root").applyInPandas(lambda pdf: join_constrained(pdf), "frame long, kp long, head_frame long, head_kp long")
-    tracks = clean.unionByName(joined)
-    views = tracks.groupBy("head_frame", "head_kp").agg(F.count(F.lit(1)).alias("views")).where(F.col("views") >= minimum_views)
-    return tracks.join(views, ["head_frame", "head_kp"])
+    clashing = saved(clashing.select(*columns), "track-clashes")
+    large = clashing.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > JOINED).select("root")
+    small = clashing.join(large, "root", "left_anti")
+    joined = small.groupBy("root").applyInPandas(lambda pdf: join_constrained(pdf), "frame long, kp long, head_frame long, head_kp long")
+    if large.take(1):
+        joined = joined.unionByName(join_by_rounds(clashing.join(large, "root", "left_semi").drop("root")))
+    return clean.unionByName(joined)
+
+
+def summary(candidates: DataFrame, matches: DataFrame, verified: DataFrame, corroborated: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of counts of a match graph: pairs asked for as loops, verified and corroborated, edges, conflicts, tracks, components.
+
+    ``candidates`` and ``corroborated`` are loop pairs, ``verified`` all verified pairs with their ``pair_kind``, and
+    ``edges`` what tracks are built from, with ``is_loop``.
+    """
+    edges = saved(edges, "summary-edges")
+    joined, temporal = saved(joined_tracks(edges), "summary-joined"), joined_tracks(edges.where(~F.col("is_loop")))
+    enough = lambda tracks: tracks.groupBy("head_frame", "head_kp").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    tracks = saved(enough(joined), "summary-tracks")
+    loops = loop_links(edges, joined.join(tracks, ["head_frame", "head_kp"], "left_semi")).select("head_frame", "head_kp").distinct()
+    frames = connected_components(verified.select(F.col("source").alias("u"), F.col("target").alias("v")))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    rows = [
+        count(verified, "verified_pairs"), count(edges, "match_edges"), count(rejected_edges(edges, joined), "conflicting_edges"), count(tracks, "tracks"), count(enough(temporal), "temporal_tracks"),
+        count(candidates, "loop_candidates"), count(verified.where("pair_kind = 'loop'"), "verified_loops"), count(corroborated, "corroborated_loops"), count(loops, "loop_tracks"),
+        count(frames.select("root").distinct(), "components"), count(matches.select("source", "target").distinct(), "matched_pairs"),
+    ]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.crossJoin(row)  # one row each
+    return out
 
 
 def loop_links(edges: DataFrame, tracks: DataFrame) -> DataFrame:

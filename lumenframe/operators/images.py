@@ -21,6 +21,22 @@ def laplacian_variance(rgb: np.ndarray) -> float:
     return float(max(0.0, (lap**2).mean() - lap.mean() ** 2))
 
 
+def sharpness_of_pixels(pixels: DataFrame) -> DataFrame:
+    """(frame, sharpness) of ``pixels(frame, x, y, luma)``, whole rasters: the same measure as columns.
+
+    A pixel's four neighbours come by shifted keys; beyond the border lies the mirror image, the edge not repeated.
+    """
+    ends = pixels.groupBy("frame").agg(F.max("x").alias("right"), F.max("y").alias("bottom"))
+    rows = pixels.join(ends, "frame")
+    mirrored = lambda at, last: F.when(last == 0, 0).when(at < 0, -at).when(at > last, 2 * last - at).otherwise(at)
+    sides = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+    asked = rows.withColumn("side", F.explode(sides))
+    asked = asked.select("frame", "x", "y", "luma", mirrored(F.col("x") + F.col("side.dx"), F.col("right")).alias("nx"), mirrored(F.col("y") + F.col("side.dy"), F.col("bottom")).alias("ny"))
+    near = pixels.select("frame", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("luma").alias("beside"))
+    laplacian = asked.join(near, ["frame", "nx", "ny"]).groupBy("frame", "x", "y").agg((F.sum("beside") - 4 * F.first("luma")).alias("l"))
+    return laplacian.groupBy("frame").agg(F.greatest(F.lit(0.0), F.avg(F.col("l") * F.col("l")) - F.avg("l") * F.avg("l")).alias("sharpness"))
+
+
 def sharpness(images: DataFrame) -> DataFrame:
     """(frame, sharpness) of ``images(frame, h, w, rgb)``, rgb as bytes row by row; images are measured one at a time."""
 

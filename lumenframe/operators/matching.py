@@ -34,10 +34,15 @@ def reusable_pairs(previous: DataFrame, loops: DataFrame) -> DataFrame:
     return previous.where("pair_kind = 'temporal'").select(*PAIR).unionByName(previous.join(loops, PAIR, "left_semi").select(*PAIR)).distinct()
 
 
+def plan_differences(plan: DataFrame, cached: DataFrame) -> DataFrame:
+    """Pairs that a plan and a cached batch don't hold equally often, with the surplus of the plan."""
+    sides = plan.select(*PAIR, F.lit(1).alias("n")).unionByName(cached.select(*PAIR, F.lit(-1).alias("n")))
+    return sides.groupBy(*PAIR).agg(F.sum("n").alias("surplus")).where("surplus <> 0")
+
+
 def same_plan(plan: DataFrame, cached: DataFrame) -> bool:
     """Whether a cached batch holds exactly the planned pairs."""
-    a, b = plan.select(*PAIR), cached.select(*PAIR)
-    return not (a.exceptAll(b).take(1) or b.exceptAll(a).take(1))
+    return not plan_differences(plan, cached).take(1)
 
 
 def remap_pairs(pairs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -86,10 +86,17 @@ def pixel_lookup(spark, d):
     return images.pixel_lookup(obs, grids).select("track", "frame", "d")
 
 
-@query("reliable_matches", "WITH p AS (SELECT source, target, count(*) AS matches, count(*) FILTER (inlier) AS inliers FROM v_match GROUP BY ALL) SELECT source, target, inliers FROM p WHERE inliers >= 60 AND inliers / matches >= 0.4")
+_CELL = "least(3, floor({v} * 4 / 51.0::DOUBLE)::INT) * 4 + least(3, floor({u} * 4 / 110000.0::DOUBLE)::INT)"
+
+
+@query(
+    "reliable_matches",
+    f"""WITH p AS (SELECT source, target, count(*) AS matches, count(*) FILTER (inlier) AS inliers, count(DISTINCT {_CELL.format(u="au", v="av")}) FILTER (inlier) AS ca, count(DISTINCT {_CELL.format(u="bu", v="bv")}) FILTER (inlier) AS cb FROM v_match GROUP BY ALL)
+    SELECT source, target, inliers, least(ca, cb) / 16 AS coverage FROM p WHERE inliers >= 60 AND inliers / matches >= 0.4 AND least(ca, cb) / 16 >= 0.8""",
+)
 def reliable_matches(spark, d):
     quality = matching.match_coverage(v_match(spark, d), 110000.0, 51.0, 110000.0, 51.0)
-    return matching.reliable(quality, coverage=0.0).select("source", "target", "inliers")
+    return matching.reliable(quality, coverage=0.8).select("source", "target", "inliers", "coverage")
 
 
 @query("reusable_pairs", f"WITH {_PLAN} SELECT source, target FROM plan WHERE pair_kind = 'temporal' UNION SELECT source, target FROM plan SEMI JOIN (SELECT * FROM lp WHERE source % 2 = 0) USING (source, target)")

@@ -66,13 +66,18 @@ def read_manifest(spark: SparkSession, path: str, frames: DataFrame | None = Non
     return head
 
 
-def check_alignment(selected: DataFrame, decoded: DataFrame, key: str = "candidate", columns: tuple[str, ...] = ("source_frame", "ticks", "ts_s")) -> None:
-    """Selected records equal the decoded ones."""
+def misaligned(selected: DataFrame, decoded: DataFrame, key: str = "candidate", columns: tuple[str, ...] = ("source_frame", "ticks", "ts_s")) -> DataFrame:
+    """Selected records that differ from the decoded record of the same key, or have none."""
     both = selected.select(key, *[F.col(c).alias(f"s_{c}") for c in columns]).join(decoded.select(key, *columns), key, "left")
     differs = F.lit(False)
     for c in columns:
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"s_{c}"))
-    expect_empty(both.where(differs), "selected frames differ from decoded ones")
+    return both.where(differs)
+
+
+def check_alignment(selected: DataFrame, decoded: DataFrame, key: str = "candidate", columns: tuple[str, ...] = ("source_frame", "ticks", "ts_s")) -> None:
+    """Selected records equal the decoded ones."""
+    expect_empty(misaligned(selected, decoded, key, columns), "selected frames differ from decoded ones")
 
 
 def read_pairs(spark: SparkSession, path: str, frames: int | None = None) -> DataFrame:

@@ -142,3 +142,38 @@ def test_command_line(spark, sf, tmp_path, capsys):
     assert main(["run", "--input", sf, "--query", "camera_support", "--output", str(tmp_path / "o")]) == 0
     assert pd.read_parquet(tmp_path / "o").shape[0] == 10
     assert main(["run", "--input", sf, "--query", "nothing"]) == 1
+
+
+def test_only_a_local_master_may_use_a_folder_of_its_own(spark, monkeypatch):
+    from lumenframe.plans import scratch
+
+    class Elsewhere:
+        """A session on a cluster whose checkpoint folder is not set."""
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            class _jsc:  # noqa: N801
+                @staticmethod
+                def sc():
+                    return type("sc", (), {"getCheckpointDir": lambda self: type("none", (), {"isEmpty": lambda self: True})()})()
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(Elsewhere)
+    Elsewhere.conf.get = staticmethod(lambda key, default: "hdfs://shared/folder/")
+    assert scratch.shared_folder(Elsewhere) == "hdfs://shared/folder"
+    assert scratch.shared_folder(spark)
+
+
+def test_a_step_drops_its_own_tables(spark):
+    from lumenframe.plans import scratch
+
+    with scratch.step(spark):
+        kept, gone = saved(spark.range(5), "kept", keep=True), saved(spark.range(3), "gone")
+        assert gone.count() == 3
+    assert kept.count() == 5
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found|FAILED_READ_FILE"):
+        gone.count()

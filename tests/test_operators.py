@@ -241,3 +241,62 @@ def test_skewed_components_and_long_chains(spark):
     chain = [(i, i + 1) for i in range(200)]
     got = {r["node"]: r["root"] for r in graph.connected_components(spark.createDataFrame(chain + [(900, 900)], "u long, v long")).collect()}
     assert set(got.values()) == {0, 900} and len(got) == 202
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_rounds_join_like_one_task(spark, monkeypatch, seed):
+    """Greedy joining by strength, edge by edge in one task and in rounds over all tasks, on edges full of conflicts."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    rows = {(int(a), int(b), int(c), int(d)) for a, b, c, d in rng.integers(0, [9, 4, 9, 4], (90, 4)) if a < c}
+    edges = pd.DataFrame([(*r, float(rng.integers(0, 6)), bool(rng.integers(0, 2))) for r in sorted(rows)], columns=["fa", "ka", "fb", "kb", "confidence", "is_loop"])
+    df = spark.createDataFrame(edges, "fa long, ka long, fb long, kb long, confidence double, is_loop boolean")
+    want = set(map(tuple, graph.join_constrained(edges).itertuples(index=False)))
+    assert {tuple(r) for r in graph.join_by_rounds(df).collect()} == want
+    whole = {tuple(r) for r in graph.joined_tracks(df).collect()}
+    monkeypatch.setattr(graph, "JOINED", 0)
+    assert {tuple(r) for r in graph.joined_tracks(df).collect()} == whole == want
+    heads = {(f, k): (a, b) for f, k, a, b in want}
+    assert graph.rejected_edges(df, graph.joined_tracks(df)).count() == sum(heads[a, b] != heads[c, d] for a, b, c, d in rows)
+
+
+def test_components_over_several_tasks_and_heavy_nodes(spark, monkeypatch):
+    import numpy as np
+
+    from lumenframe.plans import spread
+
+    monkeypatch.setattr(graph, "TOGETHER", 300)
+    monkeypatch.setattr(spread, "LEAST", 10)
+    monkeypatch.setattr(spread, "PARTS", 50)
+    rng = np.random.default_rng(0)
+    u, v = np.concatenate([rng.integers(0, 4000, 2000), np.full(800, 9000)]), np.concatenate([rng.integers(0, 4000, 2000), rng.integers(5000, 6000, 800)])
+    parent = {int(x): int(x) for x in np.concatenate([u, v])}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(pd.DataFrame({"u": u, "v": v})).repartition(6)
+    assert {r["node"]: r["root"] for r in graph.connected_components(df).collect()} == {x: top(x) for x in parent}
+
+
+def test_a_union_refuses_what_lies_in_two_parts(spark):
+    cams = spark.range(10).withColumnRenamed("id", "frame")
+    obs = cams.select(F.col("frame").alias("track"), "frame")
+    one, two = (cams.where("frame < 5"), obs.where("frame < 5")), (cams.where("frame >= 5"), obs.where("frame >= 5"))
+    assert mapping.disjoint_union([one, two])[0].count() == 10
+    with pytest.raises(ValueError, match="two parts"):
+        mapping.disjoint_union([one, (cams.where("frame >= 4"), two[1])])
+
+
+def test_voxels_follow_the_median_scene_depth(spark):
+    depths = spark.createDataFrame([(float(v),) for v in (1, 2, 9)], "scene_depth double")
+    assert dense.voxel_width(depths) == 0.02
+    for wrong in (0.0, 2.0):
+        with pytest.raises(ValueError):
+            dense.voxel_width(depths, wrong)
