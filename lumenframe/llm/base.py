@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..plans.scratch import saved
 
@@ -42,8 +44,9 @@ def with_columns(df: DataFrame, text_col: str, added: dict[str, str], make, extr
     first = len(kept) + (not same)
     schema = rows.select(*rows.columns[: len(kept)]).schema
     for name, kind in added.items():
-        schema = schema.add(f"new_{name}", kind)
+        schema = schema.add(f"new_{name}", DataType.fromDDL(kind))
     names = [f.name for f in schema.fields]
+    types = [to_arrow_type(schema[f"new_{name}"].dataType) for name in added]
 
     def run(batches):
         import pyarrow as pa
@@ -53,7 +56,7 @@ def with_columns(df: DataFrame, text_col: str, added: dict[str, str], make, extr
                 part = batch.slice(start, STEP)
                 texts = ["" if t is None else t for t in part.column(at).to_pylist()]
                 extras = [part.column(i).to_pylist() for i in range(first, part.num_columns)]
-                made = [pa.array(m) for m in make(texts, extras)]
+                made = [pa.array(m, type=t) for m, t in zip(make(texts, extras), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], names=names)
 
     return rows.mapInArrow(run, schema).toDF(*kept, *added)

@@ -7,6 +7,8 @@ result is that of the plain recursion.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 SEGMENT = 32
@@ -121,8 +123,8 @@ def _transfer(emissions: np.ndarray, transitions: np.ndarray, start: np.ndarray
     return m[0]
 
 
-def mean_of_long(emissions: np.ndarray, weights: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Label probabilities of one sequence, averaged by ``weights``, in runs of RUN positions.
+def runs_of_long(emissions: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Label probabilities of one sequence as (first, past the last, probabilities) of runs of RUN positions.
 
     Messages between runs come from the runs' transfer matrices, so working memory is that of one run.
     """
@@ -136,9 +138,14 @@ def mean_of_long(emissions: np.ndarray, weights: np.ndarray, transitions: np.nda
     right = [None] * len(spans)
     for i in range(len(spans) - 2, -1, -1):
         right[i] = _normal(moves[i + 1] @ (np.ones(k) if right[i + 1] is None else right[i + 1]))
-    total = np.zeros(k)
     for (a, b), before, behind in zip(spans, left, right, strict=True):
-        p = forward_backward(emissions[a:b], np.array([b - a]), transitions, start, before=before, behind=behind)
+        yield a, b, forward_backward(emissions[a:b], np.array([b - a]), transitions, start, before=before, behind=behind)
+
+
+def mean_of_long(emissions: np.ndarray, weights: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Label probabilities of one sequence, averaged by ``weights``."""
+    total = np.zeros(emissions.shape[1])
+    for a, b, p in runs_of_long(emissions, transitions, start):
         total += weights[a:b] @ p
     return total / weights.sum()
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import documents, text_of, with_columns
-from .chain import Adagrad, forward_backward, mean_of_long
+from .chain import Adagrad, forward_backward, mean_of_long, runs_of_long
 from .sampling import thinned
 from .words import hashes, per_range, ranges, stretches
 
@@ -99,7 +99,11 @@ def _encoded(texts: list[str]) -> list[bytes]:
 
 
 def fit(texts: list[str], labels: np.ndarray, classes: int, *, passes: int = 3, batch: int = 48, rate: float = 0.15) -> dict:
-    """Weights from texts whose words all bear the text's label."""
+    """Weights from texts whose words all bear the text's label.
+
+    Every second pair of texts is read as one sequence, so the transitions see where one language gives way to another
+    and learn how rare that is, not only that it never happens.
+    """
     tables = np.zeros((len(GRAMS) + 1, 1 << BITS, classes), np.float32)
     transitions = np.eye(classes) * 2.0
     start = np.zeros(classes)
@@ -114,17 +118,24 @@ def fit(texts: list[str], labels: np.ndarray, classes: int, *, passes: int = 3,
             sizes, truth = words.counts[full], labels[pick][full]
             if not len(sizes):
                 continue
+            marks = np.repeat(truth, sizes)
+            head = np.arange(len(sizes)) % 4 != 1  # a text that follows another of its sequence begins none
+            sizes, truth = np.add.reduceat(sizes, np.flatnonzero(head)), truth[head]
             p, pairs, firsts = forward_backward(words.emissions(tables), sizes, transitions, start, pairs=True)
             seen = np.zeros_like(p)
-            seen[np.arange(len(p)), np.repeat(truth, sizes)] = 1
-            joins, begins = np.diag(np.bincount(truth, weights=sizes - 1, minlength=classes)), np.bincount(truth, minlength=classes)
+            seen[np.arange(len(p)), marks] = 1
+            joins, begins = np.zeros((classes, classes)), np.bincount(truth, minlength=classes)
+            inside = np.ones(len(p), bool)
+            inside[np.cumsum(sizes) - sizes] = False
+            at = np.flatnonzero(inside)
+            np.add.at(joins, (marks[at - 1], marks[at]), 1)
             n = len(p)
             climb.climb(words.spread((seen - p).astype(np.float32)) / n, (joins - pairs) / n - 1e-3 * transitions, (begins - firsts) / len(sizes))
     return {"tables": tables, "transitions": transitions, "start": start}
 
 
-def _long(model: dict, whole: bytes) -> np.ndarray:
-    """The probabilities of one long text, by stretches of its bytes; zeros if it has no word.
+def _long(model: dict, whole: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions, weights, starts and ends of one long text's words, by stretches of its bytes.
 
     A word's features are sums over its bytes, so stretches may end anywhere. Beside the text some 40 bytes a
     word are held, and 4 for each label.
@@ -132,8 +143,6 @@ def _long(model: dict, whole: bytes) -> np.ndarray:
     tables = model["tables"]
     data = _LOWER[np.frombuffer(b" " + whole + b"    ", np.uint8)]
     first, last = ranges(data != 32)
-    if not len(first):
-        return np.zeros(tables.shape[2])
     lexicon = (hashes(data, first, last, 0x100000001B3) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
     out = tables[-1][lexicon.astype(np.int64)].astype(np.float32)
     weight, starts = np.zeros((len(first), 1)), first - 1
@@ -145,7 +154,18 @@ def _long(model: dict, whole: bytes) -> np.ndarray:
         per_byte[_idle(data[a : b + 1])] = 0
         per_range(per_byte, a, starts, out)
         per_range(_TEXTUAL[data[a:b]].astype(float)[:, None], a, starts, weight)
-    return mean_of_long(out, weight[:, 0] + 1e-6, model["transitions"], model["start"])
+    return out, weight[:, 0] + 1e-6, first - 1, last - 1
+
+
+def word_labels(model: dict, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes at which the words of a text begin and end, each one's likeliest label, and how likely that is."""
+    raw = text.encode("utf-8", "surrogatepass")
+    emissions, _, first, last = _long(model, raw)
+    best, sure = np.zeros(len(first), np.int64), np.zeros(len(first))
+    if len(first):
+        for a, b, p in runs_of_long(emissions, model["transitions"], model["start"]):
+            best[a:b], sure[a:b] = p.argmax(axis=1), p.max(axis=1)
+    return first, last, best, sure
 
 
 def predict(model: dict, texts: list[str]) -> np.ndarray:
@@ -155,7 +175,9 @@ def predict(model: dict, texts: list[str]) -> np.ndarray:
     at = 0
     while at < len(raw):
         if len(raw[at]) > TOGETHER:
-            out[at] = _long(model, raw[at])
+            emissions, weight, _, _ = _long(model, raw[at])
+            if len(weight):
+                out[at] = mean_of_long(emissions, weight, model["transitions"], model["start"])
             at += 1
             continue
         end, held = at, 0
@@ -208,6 +230,36 @@ def identify(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     return with_columns(df, text_col, {"lang_pred": "string", "score": "double"}, make, {"sound": sound})
 
 
+def label_words(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """Append ``passages`` to every row: the runs of words of one language, as (start, end, lang, score).
+
+    Offsets count code points, end exclusive; the score is the mean probability of the run's words. So a text that
+    switches between languages shows where. Null texts count as empty, texts without a word have no passage, and
+    so has every text if the model has no label. Columns are carried as by :func:`identify`.
+    """
+    kind = "array<struct<start:int,end:int,lang:string,score:double>>"
+    if not model["classes"]:
+        return df.select(*[df[c] for c in df.columns if c.lower() != "passages"], F.array().cast(kind).alias("passages"))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def one(text: str) -> list[dict]:
+        held = shared.value
+        first, last, best, sure = word_labels(held, text)
+        if not len(first):
+            return []
+        begin = np.concatenate([[0], np.flatnonzero(np.diff(best)) + 1])
+        end = np.append(begin[1:], len(best))
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before each byte
+        mean = np.add.reduceat(sure, begin) / (end - begin)
+        return [
+            {"start": int(points[first[a]]), "end": int(points[last[b - 1]]), "lang": held["classes"][best[a]], "score": float(m)}
+            for a, b, m in zip(begin.tolist(), end.tolist(), mean, strict=True)
+        ]
+
+    return with_columns(df, text_col, {"passages": kind}, lambda texts, extras: ([one(t) for t in texts],))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))) % 3 == 1

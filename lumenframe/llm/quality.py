@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import documents, with_columns
-from .chain import Adagrad, forward_backward, mean_of_long
+from .chain import Adagrad, forward_backward, mean_of_long, runs_of_long
 from .sampling import thinned
 from .words import hashes, ranges, stretches
 
@@ -179,8 +179,8 @@ def _grouped(costs: list[int]) -> Iterator[slice]:
         at = end
 
 
-def _long_score(model: dict, raw: bytes) -> float:
-    """The score of one text in parts cut at line ends; beside the text it holds some 40 bytes a line.
+def _long_emissions(model: dict, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions and lengths of one text's lines, in parts cut at line ends; beside the text it holds some 40 bytes a line.
 
     A first pass names the lines, as repeats count over the whole text; a second makes the emissions, each
     part adding its end lines' features to the neighbouring parts. Messages of the chain pass between its runs.
@@ -209,7 +209,22 @@ def _long_score(model: dict, raw: bytes) -> float:
         last = before[-1]
     out[0] += weights[-2]
     out[-1] += weights[-1]
-    return float(mean_of_long(out, (length + 1).astype(float), model["transitions"], model["start"])[1])
+    return out, length
+
+
+def line_probabilities(model: dict, texts: list[str]) -> list[np.ndarray]:
+    """How likely each line of each text is good."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    costs, chain, out = [_cost(r) for r in raw], (model["transitions"], model["start"]), []
+    for part in _grouped(costs):
+        if costs[part.start] > TOGETHER:
+            emissions, _ = _long_emissions(model, raw[part.start])
+            out.append(np.concatenate([p[:, 1] for _, _, p in runs_of_long(emissions, *chain)]))
+        else:
+            own, _, lines = line_features(raw[part])
+            good = forward_backward(emissions_of(own, lines, model["weights"]), lines, *chain)[:, 1]
+            out += np.split(good, np.cumsum(lines)[:-1])
+    return out
 
 
 def raw_scores(model: dict, texts: list[str]) -> np.ndarray:
@@ -218,7 +233,8 @@ def raw_scores(model: dict, texts: list[str]) -> np.ndarray:
     costs = [_cost(r) for r in raw]
     for part in _grouped(costs):
         if costs[part.start] > TOGETHER:
-            out[part] = _long_score(model, raw[part.start])
+            emissions, length = _long_emissions(model, raw[part.start])
+            out[part] = mean_of_long(emissions, (length + 1).astype(float), model["transitions"], model["start"])[1]
             continue
         own, length, lines = line_features(raw[part])
         good = forward_backward(emissions_of(own, lines, model["weights"]), lines, model["transitions"], model["start"])[:, 1]
@@ -296,6 +312,15 @@ def score_quality(df: DataFrame, model: dict | None, text_col: str = "text") ->
     return with_columns(df, text_col, {"score": "double"}, make)
 
 
+def label_lines(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """Append ``lines``, for each line of the text the probability that it is good, to every row.
+
+    A line ends at a line feed, so a text has one line more than it has line feeds; null texts count as empty. A line
+    is good or bad as the field labels it among its neighbours. Columns are carried as by :func:`score_quality`.
+    """
+    return with_columns(df, text_col, {"lines": "array<double>"}, lambda texts, extras: ([p.tolist() for p in line_probabilities(model, texts)],))
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")

@@ -82,3 +82,30 @@ def test_quality_odd_and_empty_tables(spark, odd, none):
     assert len(scores) == odd.count() and all(0 <= s <= 1 for s in scores)
     assert quality.score_quality(none, model).count() == 0 and quality.train(odd, labels.limit(0)) is None
     assert {r["score"] for r in quality.score_quality(odd, None).collect()} == {0.5}
+
+
+def test_words_of_switched_text_bear_their_own_language(spark):
+    rng = np.random.default_rng(7)
+    english, german = "the cat and dog were there with them all day".split(), "der hund und die katze waren da mit ihnen heute".split()
+    say = lambda words, n: " ".join(words[i] for i in rng.integers(0, len(words), n))
+    texts = [say(english, 12) for _ in range(60)] + [say(german, 12) for _ in range(60)]
+    model = language.fit(texts, np.repeat([0, 1], 60), 2, passes=6, batch=16) | {"classes": ["de" if i else "en" for i in (0, 1)]}
+    one, two, three = say(english, 9), say(german, 7), say(english, 11)
+    switched = f"{one} {two}\n{three}"
+    df = spark.createDataFrame([(1, switched, "x"), (2, "", "y"), (3, None, "z"), (4, one, "é")], "i int, text string, passages string")
+    got = {r["i"]: r["passages"] for r in language.label_words(df, model).collect()}
+    assert [(switched[p["start"] : p["end"]], p["lang"]) for p in got[1]] == [(one, "en"), (two, "de"), (three, "en")]
+    assert got[2] == got[3] == [] and [p["lang"] for p in got[4]] == ["en"] and all(0.5 < p["score"] <= 1 for p in got[1])
+    assert (model["transitions"].diagonal() > [model["transitions"][0, 1], model["transitions"][1, 0]]).all()
+
+
+def test_lines_are_labelled_among_their_neighbours(spark, monkeypatch):
+    good, bad = "Here is a line of plain words.", "$$$ !!! ||| ###"
+    texts = ["\n".join([good] * n) for n in (3, 5, 8)] * 10 + ["\n".join([bad] * n) for n in (3, 5, 8)] * 10
+    model = quality.fit(texts, np.repeat([1, 0], 30))
+    mixed = "\n".join([good] * 4 + [bad] * 5 + [good] * 3)
+    df = spark.createDataFrame([(1, mixed), (2, None), (3, "\n\n")], "i int, text string")
+    got = {r["i"]: r["lines"] for r in quality.label_lines(df, model).collect()}
+    assert [p > 0.5 for p in got[1]] == [True] * 4 + [False] * 5 + [True] * 3 and len(got[2]) == 1 and len(got[3]) == 3
+    monkeypatch.setattr(quality, "TOGETHER", 60)
+    assert np.allclose(quality.line_probabilities(model, [mixed])[0], got[1])
