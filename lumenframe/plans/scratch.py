@@ -44,18 +44,18 @@ def clear(spark: SparkSession) -> None:
     _delete(spark, _own(spark))
 
 
-_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+_steps: ContextVar[tuple[list[str], ...]] = ContextVar("steps", default=())
 
 
 @contextmanager
 def step(spark: SparkSession) -> Iterator[None]:
-    """Drops the tables saved inside, when it ends. A result that outlives it must be saved after it, or stored."""
+    """Drops the tables saved inside when it ends, all but those to be kept, which belong to the step around it."""
     mine: list[str] = []
-    before = _written.set(mine)
+    before = _steps.set((*_steps.get(), mine))
     try:
         yield
     finally:
-        _written.reset(before)
+        _steps.reset(before)
         for path in mine:
             _delete(spark, path)
 
@@ -68,13 +68,13 @@ def saved(df: DataFrame, name: str, rows: int | None = None, *, keep: bool = Fal
     """Write and read back: lineage ends here, and a lost executor costs no step before it.
 
     ``rows`` is an upper bound of the table's rows: small tables then take few files and tasks. With ``keep`` the
-    table outlives the :func:`step` it is saved in.
+    table belongs not to the innermost :func:`step` but to the one around it.
     """
     if rows is not None:
         df = df.coalesce(-(-rows // ROWS) or 1)
     path = f"{_own(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    mine = _written.get()
-    if mine is not None and not keep:
-        mine.append(path)
+    steps = _steps.get()[: -1 if keep else None]
+    if steps:
+        steps[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
