@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components as components
+from ..plans.scratch import step
 from ..plans.spread import LEAST, PARTS, spread_join
 from .base import documents, saved, text_of
 from .words import hashes, ranges
@@ -294,8 +295,16 @@ def near_duplicates(df: DataFrame, text_col: str = "text", *, id_col: str = "doc
     of copies; it only saves work. The second confirms every pair of different components that is within DISTANCE
     and that a longer sketch doesn't rule out.
     """
-    rows = df.select(df[id_col].alias("id"), text_of(df, text_col).alias("text"))
-    described = saved(_described(rows), "shingled")
+    with step(df.sparkSession):
+        described, told, count = _components(df.select(df[id_col].alias("id"), text_of(df, text_col).alias("text")), percent)
+    out = spread_join(described, told, ["k1", "k2"], "copies", count, ["id"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def _components(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """From (id, text): the described rows, what the sets of linked or repeated ones are told, and the number of rows."""
+    described = saved(_described(rows), "shingled", keep=True)
     count = described.count()
     groups = described.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     groups = saved(groups.withColumnRenamed("k1", "node"), "groups", count)
@@ -337,9 +346,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", *, id_col: str = "doc
     label = joined.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     joined = spread_join(joined, saved(label, "labels", count), ["root"], "n", count, ["node"], "left").where("copies > 1 OR component_id IS NOT NULL")
     told = joined.select(F.col("node").alias("k1"), "k2", F.coalesce("component_id", "rep").alias("component_id"), "copies")
-    out = spread_join(described, saved(told, "told", count), ["k1", "k2"], "copies", count, ["id"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    return described, saved(told, "told", count, keep=True), count
 
 
 def _shingled(rows: DataFrame) -> DataFrame:
