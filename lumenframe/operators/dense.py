@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..options import require
+from ..plans.ordered import bare, ordered, ranked
 from .mapping import with_error
 
 OFFSETS = (-4, -2, -1, 1, 2, 4)
@@ -163,4 +163,4 @@ def preview(cells: DataFrame, most: int = 240_000) -> DataFrame:
     """A strided sample of cells in grid order, at most ``most``."""
     n = cells.count()
     stride = max(1, -(-n // most))
-    return cells.withColumn("at", F.row_number().over(W.orderBy("vx", "vy", "vz")) - 1).where(F.col("at") % stride == 0).drop("at")
+    return bare(ranked(ordered(cells, "vx", "vy", "vz"), "at").where(F.col("at") % stride == 0).drop("at"))

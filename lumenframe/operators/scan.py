@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..options import require
+from ..plans.ordered import bare, ordered, previous, ranked, running
+
 
 def temporal_range(frames: DataFrame, start: float, duration: float) -> DataFrame:
     """Frames with start <= ts_s < start + duration; the filter reaches the scan."""
@@ -24,21 +27,30 @@ def uniform_sampling(frames: DataFrame, start: float, duration: float, count: in
     """``count`` frames at even times: output n is the first frame after output n-1 with ts_s >= start + n*duration/count.
 
     Closed form: with first(n) the first rank at or after target n, output n has rank n + max over m <= n of
-    (first(m) - m). Ranks are taken within ``by`` (for instance a video id).
+    (first(m) - m). With ``by`` (for instance a video id) each group is a partition of its own; without, frames and
+    targets are dealt into ranges of time.
     """
-    inside = temporal_range(frames, start, duration)
+    require(count >= 1 and duration > 0, "count and duration must be positive")
+    inside, target = temporal_range(frames, start, duration), start + F.col("n") * duration / count
+    if not by:
+        ranks = bare(ranked(ordered(inside, "ts_s")))
+        targets = frames.sparkSession.range(count).select(F.col("id").cast("int").alias("n")).withColumn("ts_s", target)
+        none = F.lit(None)
+        timeline = ranks.select("ts_s", "rank", none.cast("int").alias("n")).unionByName(targets.select("ts_s", none.cast("long").alias("rank"), "n"))
+        timeline = ordered(timeline, "ts_s", F.col("n").asc_nulls_last())
+        firsts = running(timeline, F.col("rank"), F.min, "first", back=True).where("n IS NOT NULL AND first IS NOT NULL")
+        chosen = running(firsts, F.col("first") - F.col("n"), F.max, "ahead").select("n", (F.col("n") + F.col("ahead")).alias("rank"))
+        return chosen.join(ranks, "rank").drop("rank")
     order = W.partitionBy(*by).orderBy("ts_s")
-    ranked = inside.withColumn("rank", F.row_number().over(order) - 1)
-    spine = ranked.select(*by).distinct() if by else ranked.sparkSession.range(1).select()
-    targets = spine.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    targets = targets.withColumn("ts_s", start + F.col("n") * duration / count)
-    timeline = ranked.select(*by, "ts_s", "rank", F.lit(None).cast("int").alias("n")).unionByName(targets.select(*by, "ts_s", F.lit(None).cast("int").alias("rank"), "n"))
+    ranks = inside.withColumn("rank", F.row_number().over(order) - 1)
+    targets = ranks.select(*by).distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("ts_s", target)
+    timeline = ranks.select(*by, "ts_s", "rank", F.lit(None).cast("int").alias("n")).unionByName(targets.select(*by, "ts_s", F.lit(None).cast("int").alias("rank"), "n"))
     # Backwards in time, so that the frame only grows: a frame that ends at the last row would be summed anew for each row.
     ahead = W.partitionBy(*by).orderBy(F.col("ts_s").desc(), F.col("n").desc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     firsts = timeline.withColumn("first", F.min("rank").over(ahead)).where("n IS NOT NULL AND first IS NOT NULL")
     upto = W.partitionBy(*by).orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     chosen = firsts.withColumn("rank", F.col("n") + F.max(F.col("first") - F.col("n")).over(upto)).select(*by, "n", "rank")
-    return chosen.join(ranked, [*by, "rank"]).drop("rank")
+    return chosen.join(ranks, [*by, "rank"]).drop("rank")
 
 
 def exact_frames(frames: DataFrame, requested: DataFrame) -> DataFrame:
@@ -47,14 +59,45 @@ def exact_frames(frames: DataFrame, requested: DataFrame) -> DataFrame:
     return wanted.join(frames, "ticks", "left").withColumn("found", F.col("candidate").isNotNull())
 
 
+def requested_frames(frames: DataFrame, requested: DataFrame, *, start: float | None = None, duration: float | None = None, count: int | None = None) -> DataFrame:
+    """The frames of the requested ticks; a missing one is an error, and a list of ticks goes with no range or count."""
+    require(start is None and duration is None and count is None, "requested ticks exclude start, duration and count")
+    found = exact_frames(frames, requested)
+    missing = found.where("NOT found").agg(F.count(F.lit(1)).alias("n"), F.min("ticks").alias("least")).first()
+    require(not missing["n"], f"{missing['n']} requested frames are missing, the first at tick {missing['least']}")
+    return found.drop("found")
+
+
+def packet_index(packets: DataFrame) -> DataFrame:
+    """One row: packets shown, key frames among them, discarded ones, first and last tick, and whether a split by key frames is possible.
+
+    ``packets(ticks, is_key, is_discard)``. It is not if a tick is missing or occurs twice, or the first shown packet isn't a key frame.
+    """
+    shown = ~F.col("is_discard")
+    out = packets.agg(
+        F.count_if(shown).alias("packets"),
+        F.count_if(shown & F.col("is_key")).alias("keys"),
+        F.count_if("is_discard").alias("discarded"),
+        F.min(F.when(shown, F.col("ticks"))).alias("first"),
+        F.max(F.when(shown, F.col("ticks"))).alias("last"),
+        F.count_if(shown & F.col("ticks").isNull()).alias("blank"),
+        F.min_by("is_key", F.when(shown, F.col("ticks"))).alias("opens"),
+    )
+    twice = packets.where(shown).groupBy("ticks").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("twice"))
+    out = out.crossJoin(twice)  # one row each
+    eligible = (F.col("packets") > 0) & (F.col("blank") == 0) & (F.col("twice") == 0) & F.coalesce("opens", F.lit(False))
+    return out.select("packets", "keys", "discarded", "first", "last", eligible.alias("eligible"))
+
+
 def range_partition(index: DataFrame, devices: int) -> DataFrame:
     """Section starts from ``index(ticks, is_key)``: the first key frame at or after each n-th part of the ranks.
 
     Starts rise strictly; a part without a later key frame gives none. Returns (section, begin).
     """
-    ranked = index.withColumn("rank", F.row_number().over(W.orderBy("ticks")) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy()))
-    parts = F.array(*[F.floor(F.col("n") * d / devices) for d in range(1, devices)])
-    targets = ranked.where((F.col("rank") == 0) | F.array_contains(parts, F.col("rank").cast("bigint")))
+    rows = ordered(index.select("ticks", "is_key"), "ticks")
+    n = rows.count()
+    parts = sorted({0, *(n * d // devices for d in range(1, devices))})
+    targets = ranked(rows).where(F.col("rank").isin(parts))
     keys = index.where("is_key").select(F.col("ticks").alias("key"))
     starts = targets.where("rank > 0").select(F.col("ticks").alias("target")).join(keys, F.col("key") >= F.col("target"))  # devices - 1 targets
     starts = starts.groupBy("target").agg(F.min("key").alias("begin")).select("begin")
@@ -65,7 +108,7 @@ def range_partition(index: DataFrame, devices: int) -> DataFrame:
 def sections(index: DataFrame, begins: DataFrame) -> DataFrame:
     """Every packet's section, and where decoding of the section starts: two key frames before its begin."""
     edges = begins.withColumn("end", F.lead("begin").over(W.orderBy("begin")))
-    keys = index.where("is_key").withColumn("preroll", F.lag("ticks", 2).over(W.orderBy("ticks"))).select(F.col("ticks").alias("begin"), "preroll")
+    keys = previous(ordered(index.where("is_key").select("ticks"), "ticks"), F.col("ticks"), "preroll", 2).select(F.col("ticks").alias("begin"), "preroll")
     edges = edges.join(keys, "begin", "left").withColumn("preroll", F.coalesce("preroll", "begin"))
     inside = (F.col("ticks") >= F.col("begin")) & (F.col("end").isNull() | (F.col("ticks") < F.col("end")))
     return index.join(F.broadcast(edges), inside)  # one row per device
@@ -83,13 +126,16 @@ def merge_mismatches(expected: DataFrame, merged: DataFrame, key: str, columns:
 
 def gap_groups(requests: DataFrame, time: str, gap: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Number runs of requests: a new group where the step from the one before is above ``gap``."""
+    step = lambda before: F.coalesce(F.col(time) - before > gap, F.lit(True)).cast("int")
+    if not by:
+        rows = previous(ordered(requests, time), F.col(time), "before")
+        return bare(running(rows, step(F.col("before")), F.sum, "grp")).withColumn("grp", F.col("grp").cast("long") - 1).drop("before")
     order = W.partitionBy(*by).orderBy(time)
-    new = F.coalesce(F.col(time) - F.lag(time).over(order) > gap, F.lit(True))
-    return requests.withColumn("new", new.cast("int")).withColumn("grp", F.sum("new").over(order).cast("long") - 1).drop("new")
+    return requests.withColumn("new", step(F.lag(time).over(order))).withColumn("grp", F.sum("new").over(order).cast("long") - 1).drop("new")
 
 
 def violations_of_order(frames: DataFrame, order: str, value: str) -> DataFrame:
     """Rows whose ``value`` is not finite or does not exceed the one before."""
-    w = W.orderBy(order)
-    bad = F.isnan(value) | F.col(value).isNull() | (F.abs(value) == float("inf")) | (F.col(value) <= F.lag(value).over(w))
-    return frames.withColumn("bad", F.coalesce(bad, F.lit(False))).where("bad").drop("bad")
+    rows = previous(ordered(frames, order), F.col(value), "before")
+    bad = F.isnan(value) | F.col(value).isNull() | (F.abs(value) == float("inf")) | (F.col(value) <= F.col("before"))
+    return bare(rows.where(F.coalesce(bad, F.lit(False))).drop("before"))

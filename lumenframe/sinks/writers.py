@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import struct
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -17,14 +18,22 @@ def publish(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[
     """Write under a temporary name and rename: a reader sees all of a table or none of it."""
     spark = df.sparkSession
     jvm = spark._jvm
-    to, staging = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".staging")
+    at = lambda suffix: jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + suffix)
+    mine = uuid.uuid4().hex  # two writers don't share a staging name
+    to, staging, old = at(""), at(f".staging-{mine}"), at(f".old-{mine}")
     fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(staging, True)
     writer = df.write.format(kind)
-    (writer.partitionBy(*partition_by) if partition_by else writer).save(staging.toString())
-    fs.delete(to, True)
-    if not fs.rename(staging, to):
-        raise OSError(f"could not publish {path}")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).save(staging.toString())
+        # The old table steps aside and returns if the new one can't take its place.
+        aside = fs.exists(to) and fs.rename(to, old)
+        if not fs.rename(staging, to):
+            if aside:
+                fs.rename(old, to)
+            raise OSError(f"could not publish {path}")
+        fs.delete(old, True)
+    finally:
+        fs.delete(staging, True)
 
 
 def document(path: str, content: dict) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.scan import violations_of_order
+from ..plans.ordered import bare, ordered, ranked
 
 MANIFEST = "format_version INT, source_width INT, source_height INT, width INT, height INT, decoder STRING, max_edge INT, timestamp_origin DOUBLE, storage STRING, candidate_frame_count BIGINT"
 PAIRS = (
@@ -36,13 +37,13 @@ def natural_key(name: Column) -> Column:
 
 def read_images(spark: SparkSession, folder: str, first: int | None = None) -> DataFrame:
     """Image files of a folder in natural order: path, content, position."""
-    from pyspark.sql import Window as W
-
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     files = files.where(F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*IMAGES)).withColumn("natural", natural_key(name))
-    ordered = files.withColumn("position", F.row_number().over(W.orderBy("natural", "path")) - 1).drop("natural")
-    return ordered if first is None else ordered.where(F.col("position") < first)
+    # Names are ranked without the images' bytes.
+    places = bare(ranked(ordered(files.select("path", "natural"), "natural", "path"), "position")).drop("natural")
+    out = files.drop("natural").join(places, "path")
+    return out if first is None else out.where(F.col("position") < first)
 
 
 def check_dimensions(frames: DataFrame) -> None:
