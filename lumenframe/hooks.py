@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,6 +29,38 @@ def estimate(name: str, rows: DataFrame, done: DataFrame | None = None, key: str
     return rows.mapInPandas(function, schema)
 
 
+class StageTimes:
+    """Seconds spent in named stages, added up over their entries; for a run's status document."""
+
+    def __init__(self) -> None:
+        self.seconds: dict[str, float] = {}
+        self.entries: dict[str, int] = {}
+
+    @contextmanager
+    def stage(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.seconds[name] = self.seconds.get(name, 0.0) + time.perf_counter() - began
+            self.entries[name] = self.entries.get(name, 0) + 1
+
+    def document(self) -> dict:
+        return {"stage_seconds": {k: round(v, 3) for k, v in self.seconds.items()}, "stage_entries": dict(self.entries)}
+
+
+class Recent:
+    """What a viewer shows of a long run: the last ``kept`` samples, each thinned evenly to at most ``most`` items."""
+
+    def __init__(self, kept: int, most: int):
+        self.samples: deque = deque(maxlen=kept)
+        self.most = most
+
+    def add(self, items: Sequence) -> None:
+        stride = max(1, -(-len(items) // self.most))
+        self.samples.append(items[::stride])
+
+
 class Progress(StreamingQueryListener):
     """Passes progress records on, at most one per ``seconds``; a failing callback never stops the query."""
 
@@ -33,8 +68,6 @@ class Progress(StreamingQueryListener):
         self.callback, self.seconds, self.last = callback, seconds, 0.0
 
     def _send(self, record: dict, always: bool = False) -> None:
-        import time
-
         if always or time.monotonic() - self.last >= self.seconds:
             self.last = time.monotonic()
             try:

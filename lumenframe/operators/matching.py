@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +81,38 @@ def mutual_nearest(scores: DataFrame) -> DataFrame:
     return rows.join(columns, ["g", "i", "j"], "left_semi")
 
 
+def nearest_pairs(a: DataFrame, b: DataFrame, block: int = 1024) -> DataFrame:
+    """Mutual nearest neighbours (g, i, j, score) by dot product of ``a(g, i, vector)`` and ``b(g, j, vector)`` within a group.
+
+    Blocks meet blocks in matrix products, each pair of blocks in a row of its own; only the best of each row and column
+    of a product leave it, so scores are never a table. The lower index wins a tie.
+    """
+    require(block >= 1, "a block has at least one row")
+
+    def packed(df: DataFrame, index: str, name: str) -> DataFrame:
+        sizes = df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+        dealt = df.join(sizes, "g").withColumn(f"{name}_block", F.pmod(F.xxhash64(index), F.col("blocks")))
+        row = F.struct(F.col(index).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v"))
+        return dealt.groupBy("g", f"{name}_block").agg(F.sort_array(F.collect_list(row)).alias(name))
+
+    grid = packed(a, "i", "left").join(packed(b, "j", "right"), "g").repartition("g", "left_block", "right_block").select("g", "left", "right")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, left, right in zip(batch["g"], batch["left"], batch["right"], strict=True):
+                x, y = np.array([r["v"] for r in left]), np.array([r["v"] for r in right])
+                i, j = np.array([r["id"] for r in left]), np.array([r["id"] for r in right])
+                scores = np.zeros((len(x), len(y)))
+                for d in range(x.shape[1]):  # one order of terms, so a score doesn't depend on the blocks
+                    scores += x[:, d : d + 1] * y[:, d]
+                to_j, to_i = scores.argmax(axis=1), scores.argmax(axis=0)  # ids ascend: the first of equals is the lowest
+                yield pd.DataFrame({"g": g, "of_row": True, "i": i, "j": j[to_j], "score": scores[np.arange(len(i)), to_j]})
+                yield pd.DataFrame({"g": g, "of_row": False, "i": i[to_i], "j": j, "score": scores[to_i, np.arange(len(j))]})
+
+    best = grid.mapInPandas(run, f"g {a.schema['g'].dataType.simpleString()}, of_row boolean, i long, j long, score double")
+    return mutual_nearest(best.drop("of_row"))
+
+
 def pair_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("matches"), F.count_if("inlier").alias("inliers"))
 

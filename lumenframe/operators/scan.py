@@ -124,6 +124,15 @@ def merge_mismatches(expected: DataFrame, merged: DataFrame, key: str, columns:
     return e.join(m, key, "full").where(differs)
 
 
+def check_merge(expected: DataFrame, merged: DataFrame, key: str = "candidate") -> None:
+    """A concatenation of sections against the index: as many rows, one frame size, and every tick in its place."""
+    counts, sizes = (expected.count(), merged.count()), merged.select("w", "h").distinct().limit(2).count()
+    require(counts[0] == counts[1], f"{counts[1]} frames were merged of {counts[0]}")
+    require(sizes <= 1, "frame dimensions differ between sections")
+    first = merge_mismatches(expected, merged, key, ["ticks"]).agg(F.min(key).alias("least")).first()["least"]
+    require(first is None, f"merged frames differ from the index, first at {first}")
+
+
 def gap_groups(requests: DataFrame, time: str, gap: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Number runs of requests: a new group where the step from the one before is above ``gap``."""
     step = lambda before: F.coalesce(F.col(time) - before > gap, F.lit(True)).cast("int")

@@ -8,6 +8,7 @@ from ..functions import geometry as G
 from ..operators import scan, windows
 from ..registry import query
 from ..sources.fixtures import table, v_frames, v_obs
+from ..streaming.keyframes import quality_gate
 
 START, DAY = 1704153600.0, 86400.0
 
@@ -68,7 +69,7 @@ def working_size(spark, d):
 
 @query("frame_quality_gate", "SELECT candidate, feature_count, sharpness FROM v_frames WHERE feature_count >= 120 AND sharpness >= 20")
 def frame_quality_gate(spark, d):
-    return v_frames(spark, d).where((F.col("feature_count") >= 120) & (F.col("sharpness") >= 20)).select("candidate", "feature_count", "sharpness")
+    return quality_gate(v_frames(spark, d)).select("candidate", "feature_count", "sharpness")
 
 
 @query(

@@ -85,10 +85,9 @@ def half_pixel_rescale(spark, d):
 )
 def mutual_nearest_neighbors(spark, d):
     rows = v_desc(spark, d)
-    a = rows.where("frame % 2 = 0").select(F.col("label").alias("g"), F.col("frame").alias("i"), F.col("emb").alias("a"))
-    b = rows.where("frame % 2 = 1").select(F.col("label").alias("g"), F.col("frame").alias("j"), F.col("emb").alias("b"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return matching.mutual_nearest(a.join(b, "g").select("g", "i", "j", dot.alias("score"))).withColumn("score", F.round("score", 6))
+    a = rows.where("frame % 2 = 0").select(F.col("label").alias("g"), F.col("frame").alias("i"), F.col("emb").alias("vector"))
+    b = rows.where("frame % 2 = 1").select(F.col("label").alias("g"), F.col("frame").alias("j"), F.col("emb").alias("vector"))
+    return matching.nearest_pairs(a, b).withColumn("score", F.round("score", 6))
 
 
 _FRAMES = "SELECT DISTINCT frame FROM v_obs"

@@ -23,9 +23,21 @@ def head_limit(spark, d):
     return scan.head(v_frames(spark, d), 120).select("candidate", "ts_s")
 
 
-@query("packet_index", f"WITH {_INDEX} SELECT count(*) AS packets, count(*) FILTER (is_key) AS keys, min(ticks) AS first, max(ticks) AS last FROM ix")
+@query(
+    "packet_index",
+    """WITH p AS (SELECT ticks, event_type = 'signup' AS is_key, candidate % 23 = 5 AS is_discard FROM v_frames), s AS (SELECT * FROM p WHERE NOT is_discard)
+    SELECT (SELECT count(*) FROM s) AS packets, (SELECT count(*) FROM s WHERE is_key) AS keys, (SELECT count(*) FROM p WHERE is_discard) AS discarded, (SELECT min(ticks) FROM s) AS first, (SELECT max(ticks) FROM s) AS last,
+      (SELECT count(*) = count(DISTINCT ticks) FROM s) AND (SELECT bool_or(is_key) FROM s WHERE ticks = (SELECT min(ticks) FROM s)) AS eligible""",
+)
 def packet_index(spark, d):
-    return _index(spark, d).agg(F.count(F.lit(1)).alias("packets"), F.count_if("is_key").alias("keys"), F.min("ticks").alias("first"), F.max("ticks").alias("last"))
+    packets = v_frames(spark, d).select("ticks", (F.col("event_type") == "signup").alias("is_key"), (F.col("candidate") % 23 == 5).alias("is_discard"))
+    return scan.packet_index(packets)
+
+
+@query("requested_frames", "SELECT ticks, candidate, feature_count FROM v_frames WHERE feature_count % 9 = 4")
+def requested_frames(spark, d):
+    frames = v_frames(spark, d).select("ticks", "candidate", "feature_count")
+    return scan.requested_frames(frames, frames.where("feature_count % 9 = 4"))
 
 
 @query(

@@ -136,3 +136,15 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     """Observations (track, frame, u, v) from one JSON object {frame: [u, v]} a line; tracks are numbered in ``track``."""
     lines = spark.read.schema(T.StructType([T.StructField("track", T.LongType()), T.StructField("observations", T.MapType(T.StringType(), T.ArrayType(T.DoubleType())))])).json(path)
     return lines.select("track", F.explode("observations").alias("frame", "p")).select("track", F.col("frame").cast("long").alias("frame"), F.get("p", F.lit(0)).alias("u"), F.get("p", F.lit(1)).alias("v"))
+
+
+def read_loop_links(spark: SparkSession, path: str, tracks: DataFrame | None = None) -> DataFrame:
+    """Loop links (track, source, target); a link of a frame with itself, or of frames that don't see the track in ``tracks``, is an error."""
+    lines = spark.read.schema("track BIGINT, links ARRAY<ARRAY<BIGINT>>").option("mode", "FAILFAST").json(path)
+    links = lines.select("track", F.explode("links").alias("l")).select("track", F.get("l", F.lit(0)).alias("source"), F.get("l", F.lit(1)).alias("target"))
+    expect_empty(links.where(F.coalesce(F.col("source") == F.col("target"), F.lit(True))), "invalid loop links")
+    if tracks is not None:
+        for end in ("source", "target"):
+            seen = tracks.select("track", F.col("frame").alias(end))
+            expect_empty(links.join(seen, ["track", end], "left_anti"), f"loop links whose {end} does not see the track")
+    return links

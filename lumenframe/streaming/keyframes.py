@@ -119,6 +119,11 @@ class Selector:
         return not self.broken and self.count >= self.options.minimum_keyframes
 
 
+def quality_gate(frames: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """Frames with enough features that are sharp enough: what selection looks at at all."""
+    return frames.where((F.col("feature_count") >= thresholds.minimum_features) & (F.col("sharpness") >= thresholds.minimum_sharpness))
+
+
 def select_keyframes(frames: DataFrame, quality: Callable[[int, int, int], Quality], options: Thresholds = Thresholds()) -> DataFrame:
     """Decisions for ``frames(video, candidate, ts_s, feature_count, sharpness)``, each video folded in order."""
 
