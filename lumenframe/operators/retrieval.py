@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..options import require
-from ..plans.scratch import saved
+from ..plans.ordered import bare, ordered, ranked
 
 
 def normalize(descriptors: DataFrame, emb: str = "emb") -> DataFrame:
@@ -60,11 +60,10 @@ def loop_candidates(descriptors: DataFrame, neighbors: int = 4, *, each: int = 3
     """
     require(each >= 1 and apart_frames >= 0 and apart_seconds >= 0 and spacing > 0, "distances must not be negative, spacing and number positive")
     unit = normalize(descriptors).where("ok").select("frame", "ts_s", "unit")
-    count = unit.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    blocks = max(1, -(-count // block))
-    # Neighbours in time share a block, so what excludes a target is mostly in its own block.
-    span = F.floor(F.col("ts_s") / (4 * spacing))
-    dealt = saved(unit.withColumn("b", F.pmod(F.xxhash64(span), F.lit(blocks)).cast("int")), "descriptors")
+    # Blocks are runs of so many frames in time, so none is larger, and what excludes a target is mostly in its own block.
+    dealt = ordered(unit, "ts_s", "frame")
+    blocks = max(1, -(-dealt.count() // block))
+    dealt = bare(ranked(dealt)).withColumn("b", F.floor(F.col("rank") / block).cast("int")).drop("rank")
     packed = dealt.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("frame", "ts_s", "unit"))).alias("rows"))
     left, right = packed.select(F.col("b").alias("qb"), F.col("rows").alias("q")), packed.select(F.col("b").alias("tb"), F.col("rows").alias("t"))
     grid = left.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "tb")
@@ -90,8 +89,8 @@ def loop_candidates(descriptors: DataFrame, neighbors: int = 4, *, each: int = 3
                 yield pd.concat(out)
 
     best = grid.mapInPandas(run, "query long, frame long, ts_s double, score double")
-    ranked = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg_score"), "frame", "ts_s"))).alias("ranked"))
-    chosen = ranked.select("query", F.explode(diversified(F.col("ranked"), spacing, each)).alias("c"))
+    walks = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg_score"), "frame", "ts_s"))).alias("ranked"))
+    chosen = walks.select("query", F.explode(diversified(F.col("ranked"), spacing, each)).alias("c"))
     pairs = chosen.select(F.least("query", "c.frame").alias("source"), F.greatest("query", "c.frame").alias("target"), "query", (-F.col("c.neg_score")).alias("score"))
     return pairs.groupBy("source", "target").agg(F.max_by("score", "query").alias("score"))
 
