@@ -55,3 +55,28 @@ def test_anchor_component(spark):
     comps = spark.createDataFrame([(0, 0), (1, 0), (5, 5), (6, 5)], "node long, root long")
     obs = spark.createDataFrame([(1, 0), (2, 0), (3, 5)], "track long, frame long")
     assert bridges.anchor_component(comps, obs, spark.createDataFrame([(5,), (6,)], "frame long")).first()["root"] == 5
+
+
+def test_turned_cameras_agree_on_a_plane(spark):
+    """Depths of one plane, seen by cameras of different rotation, centre and focal length, support each other; wrong ones don't."""
+    from lumenframe.operators import dense
+    from lumenframe.operators.alignment import _rodrigues
+
+    w, h, cameras, pixels = 24, 18, [], []
+    for f in range(3):
+        r, c, fx, fy = _rodrigues(np.array([0.02 * f, 0.03 * f, -0.02 * f])), np.array([0.4 * f, 0.1 * f, 0.05 * f]), 30.0 + f, 31.0 - f
+        cameras.append((f, fx, fy, 12.0, 9.0, *c.tolist(), r.ravel().tolist()))
+        for y in range(h):
+            for x in range(w):
+                ray = r @ np.array([(x - 12.0) / fx, (y - 9.0) / fy, 1.0])
+                pixels.append((f, x, y, float((10 - c[2]) / ray[2]), 0.5, 0.4, 0.3))
+    cams = spark.createDataFrame(cameras, "frame long, fx double, fy double, cx double, cy double, c0 double, c1 double, c2 double, r array<double>")
+    grid = spark.createDataFrame(pixels, "frame long, x long, y long, depth double, red double, green double, blue double")
+    rows = dense.measure(grid.withColumn("z", grid["depth"]), grid, cams, w, h).toPandas()
+    assert len(rows) > 1000 and rows["agree"].mean() > 0.9 and (rows["back"] - rows["z"]).abs().max() < 0.6
+    out = dense.consensus(grid, cams, w, h).toPandas()
+    inner = out[out["accepted"]]
+    assert len(inner) > 300 and (inner["refined"] / inner["depth"] - 1).abs().max() < 0.02
+    assert dense.measure(grid.withColumn("z", grid["depth"] * 1.2), grid, cams, w, h).where("agree").count() == 0
+    assert dense.measure(grid.withColumn("z", grid["depth"]), grid.withColumn("blue", grid["blue"] + 1), cams, w, h).where("agree").count() == 0
+    assert dense.measure(grid.withColumn("z", grid["depth"]), grid, cams.where("frame = 0"), w, h).count() == 0
