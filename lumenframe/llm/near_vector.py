@@ -25,7 +25,7 @@ SAMPLE, SPACING = 4096, 1.5
 NEAREST = ((0.17, 5), (0.4, 6), (np.inf, 8))
 THRESHOLD = 0.98
 #: Rows of an inverted list compared at once; longer lists are compared block by block, in tasks of their own.
-BLOCK = 1024
+BLOCK = 256
 
 
 def choose_pivots(nodes: DataFrame, width: int, threshold: float) -> tuple[np.ndarray, int]:
