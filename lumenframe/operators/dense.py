@@ -102,19 +102,24 @@ def measure(
     rows = rows.withColumn("pu", F.col("n_fx") * F.col("k0") / F.col("k2") + F.col("n_cx")).withColumn("pv", F.col("n_fy") * F.col("k1") / F.col("k2") + F.col("n_cy"))
     rows = rows.where(F.col("pu").between(0, w - 1) & F.col("pv").between(0, h - 1))
     rows = rows.withColumn("sx", F.rint("pu").cast("bigint")).withColumn("sy", F.rint("pv").cast("bigint"))
+    a, b = ([F.col(f"w{i}") - c[i] for i in range(3)] for c in (ca, cn))
+    dot = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
+    cosine = dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    # The sample lies at its depth along a ray; ray and neighbour's centre in the point's camera are all the join has to carry.
+    zero = [F.lit(0.0)] * 3
+    ray = G.camera_point(*G.back_project(F.col("pu"), F.col("pv"), F.lit(1.0), *_of("n_", CALIBRATION), rn, zero), ra, zero)
+    origin = G.camera_point(*cn, ra, ca)
+    carried = [*points.columns, "neighbor", "sx", "sy", "k2", *(f"a_{c}" for c in CALIBRATION)]
+    named = [v.alias(f"{n}{i}") for n, vs in (("ray", ray), ("origin", origin)) for i, v in enumerate(vs)]
+    rows = rows.select(*carried, *named, cosine.alias("cosine"))
     samples = pixels.where("depth > 0").select(F.col("frame").alias("neighbor"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("depth").alias("zn"), *[F.col(c).alias(f"{c}_n") for c in CHANNELS])
     rows = rows.join(samples, ["neighbor", "sx", "sy"])
-    seen = G.back_project(F.col("pu"), F.col("pv"), F.col("zn"), *_of("n_", CALIBRATION), rn, cn)
-    rows = rows.withColumns(dict(zip(("s0", "s1", "s2"), seen, strict=True)))
-    rows = rows.withColumns(dict(zip(("b0", "b1", "back"), G.camera_point(*_of("s", ("0", "1", "2")), ra, ca), strict=True)))
+    rows = rows.withColumns({n: F.col(f"ray{i}") * F.col("zn") + F.col(f"origin{i}") for i, n in enumerate(("b0", "b1", "back"))})
     off = F.hypot(F.col("a_fx") * F.col("b0") / F.col("back") + F.col("a_cx") - F.col("x"), F.col("a_fy") * F.col("b1") / F.col("back") + F.col("a_cy") - F.col("y"))
     rows = rows.withColumn("relative", F.abs(F.col("k2") - F.col("zn")) / F.col("zn")).withColumn("cycle", F.when(F.col("back") > 0, off))
-    a, b = ([F.col(f"w{i}") - c[i] for i in range(3)] for c in (ca, cn))
-    dot = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
-    cosine = dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
     apart = sum((F.abs(F.col(c) - F.col(f"{c}_n")) for c in CHANNELS[1:]), F.abs(F.col(CHANNELS[0]) - F.col(f"{CHANNELS[0]}_n"))) / 3
     agree = (F.col("back") > 0) & (F.round("relative", 9) <= depth) & (F.round("cycle", 9) <= cycle) & (F.round(apart, 9) <= colour)
-    agree = agree & (F.round(cosine, 12) < round(math.cos(math.radians(parallax)), 12))
+    agree = agree & (F.round("cosine", 12) < round(math.cos(math.radians(parallax)), 12))
     rows = rows.withColumn("agree", F.coalesce(agree, F.lit(False)))
     return rows.withColumn("weight", F.when(F.col("agree"), 1 / (1 + F.pow(F.col("relative") / 0.02, 2))).otherwise(0.0))
 
