@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -24,17 +26,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows and bytes of text handed to a row-wise operator at once; a single text may be longer.
+STEP, BYTES = 1000, 16_000_000
+
 
-#: Rows handed to a row-wise operator at once.
-STEP = 1000
+def _cuts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of at most STEP rows and BYTES bytes, or of one row."""
+    at = held = 0
+    for i, size in enumerate(sizes):
+        if i > at and (i - at == STEP or held + size > BYTES):
+            yield at, i
+            at, held = i, 0
+        held += size
+    if sizes:
+        yield at, len(sizes)
 
 
 def with_columns(df: DataFrame, text_col: str, added: dict[str, str], make, extra: dict | None = None) -> DataFrame:
     """Append the columns ``added`` (name to type) that ``make(texts, extras)`` gives for lists of texts.
 
-    Other columns pass through as Arrow buffers, untouched; only the texts of a thousand rows at a time become
-    Python strings. Null texts come as empty ones. ``extra`` names further column expressions whose values come
-    as the list ``extras``. Columns of ``df`` named like an added one are replaced.
+    Other columns pass through as Arrow buffers, untouched; only some texts at a time become Python strings. Null texts
+    come as empty ones. ``extra`` names further column expressions whose values come as the list ``extras``. Columns of ``df`` named like an added one are replaced.
     """
     kept = [c for c in df.columns if c.lower() not in {a.lower() for a in added}]
     same = text_col in kept and dict(df.dtypes)[text_col] == "string"
@@ -50,10 +62,12 @@ def with_columns(df: DataFrame, text_col: str, added: dict[str, str], make, extr
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            for start in range(0, batch.num_rows, STEP):
-                part = batch.slice(start, STEP)
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+            for start, stop in _cuts(sizes):
+                part = batch.slice(start, stop - start)
                 texts = ["" if t is None else t for t in part.column(at).to_pylist()]
                 extras = [part.column(i).to_pylist() for i in range(first, part.num_columns)]
                 made = [pa.array(m, type=t) for m, t in zip(make(texts, extras), types, strict=True)]

@@ -196,7 +196,10 @@ def predict(model: dict, texts: list[str]) -> np.ndarray:
 
 
 def train(df: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", most_rows: int = MOST_ROWS, longest: int = LONGEST) -> dict:
-    """Fit on about ``most_rows`` rows with a label and a text of at most ``longest`` characters, alike for each label."""
+    """Fit on about ``most_rows`` rows with a label and a text of at most ``longest`` characters, alike for each label.
+
+    At most the 1000 most frequent labels are learned (``sampling.CLASSES``).
+    """
     rows = df.select(df[id_col].alias("id"), df[label_col].cast("string").alias("label"), df[text_col].cast("string").alias("text"))
     rows = rows.where(F.col("label").isNotNull() & (F.length("text") <= longest) & F.regexp_like("text", F.lit(r"\p{L}")))
     taken = thinned(rows, "id", "label", most_rows).toPandas().sort_values(["id", "label", "text"], kind="stable")

@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def thinned(rows: DataFrame, id_col: str, class_col: str, most: int) -> DataFrame:
-    """About ``most`` rows in all at most, alike for each class, picked by a hash of the id; classes are few."""
-    counts = {r[0]: r["n"] for r in rows.groupBy(class_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
+#: Classes that are learned at most, the most frequent ones.
+CLASSES = 1000
+
+
+def thinned(rows: DataFrame, id_col: str, class_col: str, most: int, classes: int = CLASSES) -> DataFrame:
+    """About ``most`` rows in all at most, alike for each class, picked by a hash of the id.
+
+    Rows of classes beyond the ``classes`` most frequent ones are not taken, so a model doesn't know them.
+    """
+    counts = {r[0]: r["n"] for r in rows.groupBy(class_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(classes).collect()}
     if not counts:
         return rows.limit(0)
     each = max(1, most // len(counts))

@@ -124,3 +124,12 @@ def test_long_texts_pass_every_stage_and_query(spark, tmp_path):
 
 def test_shingles_of_a_word_beyond_any_stretch():
     assert [len(s) for s in near_text.shingle_sets(["x" * 3_000_000, "y " * 1_000_000])] == [1, 1]
+
+
+def test_rows_go_to_an_operator_in_bounded_parts(monkeypatch):
+    from lumenframe.llm import base
+
+    monkeypatch.setattr(base, "STEP", 3)
+    monkeypatch.setattr(base, "BYTES", 10)
+    assert list(base._cuts([])) == [] and list(base._cuts([99])) == [(0, 1)]
+    assert list(base._cuts([4, 4, 4, 1, 1, 1, 99, 2])) == [(0, 2), (2, 5), (5, 6), (6, 7), (7, 8)]
