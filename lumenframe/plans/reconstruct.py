@@ -16,6 +16,7 @@ from ..operators.map_builder import MapBuilder, assemble
 from ..options import require
 from ..sinks import writers
 from ..sources.cache import fingerprint
+from ..sources.readers import read_windows
 from .repair import tracks_of
 from .scratch import saved
 
@@ -64,7 +65,8 @@ def reconstruct(
             return known
     os.makedirs(target, exist_ok=True)
     writers.document(status_path, {"identity": name, "complete": False})
-    frames, matches, cameras, depths = (spark.read.parquet(f"{source.rstrip('/')}/{n}.parquet") for n in INPUTS)
+    frames, matches = (spark.read.parquet(f"{source.rstrip('/')}/{n}.parquet") for n in INPUTS[:2])
+    cameras, depths = read_windows(spark, source)
     with times.stage("tracks"):
         loops = None
         if size is not None and "pair_kind" in matches.columns:

@@ -134,6 +134,12 @@ def write_depth_frames(refined: DataFrame, path: str) -> None:
     publish(rows.select("frame", "h", "w", *values), path, "parquet", ["frame"])
 
 
+def write_windows(cameras: DataFrame, depths: DataFrame, folder: str) -> None:
+    """Predictions of windows as :func:`readers.read_windows` takes them, depths in one folder for each window."""
+    publish(cameras, f"{folder.rstrip('/')}/cameras.parquet")
+    publish(depths, f"{folder.rstrip('/')}/depths.parquet", partition_by=["window"])
+
+
 def write_loop_links(links: DataFrame, path: str) -> None:
     """One JSON object a line: a track and its loop links as (source, target) pairs in order."""
     pairs = F.sort_array(F.collect_list(F.array(F.col("source").cast("long"), F.col("target").cast("long")))).alias("links")

@@ -46,6 +46,36 @@ def read_images(spark: SparkSession, folder: str, first: int | None = None) -> D
     return out if first is None else out.where(F.col("position") < first)
 
 
+#: The first bytes of the readable kinds of image.
+SIGNATURES = {"png": "89504E470D0A1A0A", "jpg": "FFD8FF", "jpeg": "FFD8FF"}
+
+
+def unreadable_images(images: DataFrame) -> DataFrame:
+    """Paths of ``images(path, content)`` that are empty or don't begin as their kind of file does. Only the first bytes are looked at."""
+    kind, start = F.lower(F.element_at(F.split("path", r"\."), -1)), F.hex(F.substring("content", 1, 8))
+    sound = F.lit(False)
+    for name, signature in SIGNATURES.items():
+        sound = sound | ((kind == name) & start.startswith(signature))
+    return images.where(~F.coalesce(sound, F.lit(False))).select("path")
+
+
+def check_images(images: DataFrame) -> None:
+    expect_empty(unreadable_images(images), "unreadable images")
+
+
+CAMERAS = "window BIGINT, frame BIGINT, fx DOUBLE, fy DOUBLE, cx DOUBLE, cy DOUBLE, r ARRAY<DOUBLE>, c ARRAY<DOUBLE>"
+DEPTHS = "window BIGINT, frame BIGINT, kp BIGINT, depth DOUBLE"
+
+
+def read_windows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Predicted cameras and depths of windows; other columns are left in the files, and a frame predicted twice in a window is an error."""
+    cameras, depths = (spark.read.schema(schema).parquet(f"{folder.rstrip('/')}/{name}.parquet") for name, schema in (("cameras", CAMERAS), ("depths", DEPTHS)))
+    twice = cameras.groupBy("window", "frame").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    expect_empty(twice, "frames predicted twice in a window")
+    check_cameras(cameras)
+    return cameras, depths
+
+
 def check_dimensions(frames: DataFrame) -> None:
     """All frames share one width and height."""
     sizes = frames.select("w", "h").distinct().limit(2).collect()

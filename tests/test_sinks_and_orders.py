@@ -95,3 +95,20 @@ def test_stage_times_add_up_and_viewers_see_the_last():
     for k in (2, 10, 4):
         recent.add(list(range(k)))
     assert list(recent.samples) == [[0, 4, 8], [0, 2]]
+
+
+def test_predictions_come_back_and_images_are_looked_at(spark, tmp_path):
+    unit = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    cameras = spark.createDataFrame([(w, f, 600.0, 600.0, 320.0, 240.0, unit, [float(f), 0.0, 0.0]) for w in (0, 1) for f in (w, w + 1)], readers.CAMERAS)
+    depths = spark.createDataFrame([(w, w, 5, 2.5) for w in (0, 1)], readers.DEPTHS)
+    writers.write_windows(cameras, depths, str(tmp_path))
+    back = readers.read_windows(spark, str(tmp_path))
+    assert back[0].count() == 4 and sorted(map(tuple, back[1].select(depths.columns).collect())) == sorted(map(tuple, depths.collect()))
+    writers.write_windows(cameras.unionAll(cameras), depths, str(tmp_path))
+    with pytest.raises(readers.RecordError, match="twice"):
+        readers.read_windows(spark, str(tmp_path))
+    png, jpeg = bytes.fromhex("89504E470D0A1A0A0000"), bytes.fromhex("FFD8FFE000")
+    images = spark.createDataFrame([("a/1.png", png), ("a/2.JPG", jpeg), ("a/3.jpeg", png), ("a/4.png", b""), ("a/5.png", None)], "path string, content binary")
+    assert {r["path"] for r in readers.unreadable_images(images).collect()} == {"a/3.jpeg", "a/4.png", "a/5.png"}
+    with pytest.raises(readers.RecordError, match="unreadable"):
+        readers.check_images(images)
