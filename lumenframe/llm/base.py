@@ -11,7 +11,7 @@ from pyspark.sql.types import DataType
 
 from ..plans.scratch import saved
 
-__all__ = ["WORD", "documents", "saved", "text_of", "with_columns"]
+__all__ = ["WORD", "documents", "lean", "saved", "text_of", "with_columns"]
 
 #: Fixed by the contracts: white space is space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of a batch that goes to Python.
+BATCH = 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Let batches for Python hold BATCH bytes at most, if the session has no bound of its own.
+
+    A batch is held in Arrow buffers by the JVM and again by the worker, so its bound is that of both.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.conf().contains(key):
+        spark.conf.set(key, str(BATCH))
+
+
 #: Rows and bytes of text handed to a row-wise operator at once; a single text may be longer.
 STEP, BYTES = 1000, 16_000_000
 
@@ -48,6 +62,7 @@ def with_columns(df: DataFrame, text_col: str, added: dict[str, str], make, extr
     Other columns pass through as Arrow buffers, untouched; only some texts at a time become Python strings. Null texts
     come as empty ones. ``extra`` names further column expressions whose values come as the list ``extras``. Columns of ``df`` named like an added one are replaced.
     """
+    lean(df.sparkSession)
     kept = [c for c in df.columns if c.lower() not in {a.lower() for a in added}]
     same = text_col in kept and dict(df.dtypes)[text_col] == "string"
     more = [*([] if same else [text_of(df, text_col)]), *(extra or {}).values()]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components as components
 from ..plans.scratch import step
 from ..plans.spread import LEAST, PARTS, spread_join
-from .base import documents, saved, text_of
+from .base import documents, lean, saved, text_of
 from .words import hashes, ranges
 
 WORDS, PERCENT = 5, 75
@@ -295,6 +295,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", *, id_col: str = "doc
     of copies; it only saves work. The second confirms every pair of different components that is within DISTANCE
     and that a longer sketch doesn't rule out.
     """
+    lean(df.sparkSession)
     with step(df.sparkSession):
         described, told, count = _components(df.select(df[id_col].alias("id"), text_of(df, text_col).alias("text")), percent)
     out = spread_join(described, told, ["k1", "k2"], "copies", count, ["id"], "left")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components as components
 from ..plans.spread import spread_join
-from .base import saved
+from .base import lean, saved
 
 PIVOTS, SHARED = 256, 2
 #: Pivots are picked from this many vectors, the first by hash, and lie this many link distances apart at least.
@@ -115,6 +115,7 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
 
     Every row is indexed. The sample bounds pivots only.
     """
+    lean(df.sparkSession)
     vector = F.transform(df[vector_col], lambda x: x.cast("double"))
     sound = F.size(vector) > 0
     sound = sound & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import documents, saved, text_of
+from .base import documents, lean, saved, text_of
 
 LENGTH = 2048
 #: Parts into which the pieces of one length are dealt for ranking.
@@ -72,6 +72,7 @@ def pieces(df: DataFrame, text_col: str = "text", *, id_col: str = "doc_id", len
     Returns id, start, length, ids_crc32, doc_tokens, and the ids themselves where asked. Null texts count as
     empty and give one piece, the end id.
     """
+    lean(df.sparkSession)
     rows = df.select(df[id_col].alias("id"), text_of(df, text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
