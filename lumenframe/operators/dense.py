@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
 from ..options import require
 from ..plans.ordered import bare, ordered, ranked
 from .mapping import with_error
@@ -67,19 +66,24 @@ def voxel_width(scene_depths: DataFrame, fraction: float = 0.01) -> float:
     return fraction * middle
 
 
-def _with_camera(rows: DataFrame, cameras: DataFrame, frame: str, mark: str) -> DataFrame:
-    return rows.join(cameras.select(F.col("frame").alias(frame), *[F.col(c).alias(f"{mark}{c}") for c in ("fx", "fy", "cx", "cy", "c0", "c1", "c2", "r")]), frame)
+CALIBRATION = ("fx", "fy", "cx", "cy")
 
 
-def _rotation(mark: str) -> list[Column]:
-    return [F.get(f"{mark}r", F.lit(i)) for i in range(9)]
+def camera_pairs(cameras: DataFrame) -> DataFrame:
+    """Each camera with its neighbours at OFFSETS: what takes a point of its frame into the neighbour's, six short rows a camera.
 
-
-def _of(mark: str, names: tuple[str, ...]) -> list[Column]:
-    return [F.col(f"{mark}{n}") for n in names]
-
-
-CALIBRATION, CENTRE = ("fx", "fy", "cx", "cy"), ("c0", "c1", "c2")
+    k = m q + t takes camera coordinates to the neighbour's, q = m' k + o back; ``n_`` marks the neighbour's calibration.
+    """
+    a = cameras.select("frame", F.col("r").alias("ra"), *[F.col(f"c{i}").alias(f"a{i}") for i in range(3)])
+    a = a.withColumn("neighbor", F.explode(F.array(*[F.col("frame") + o for o in OFFSETS])))
+    n = cameras.select(F.col("frame").alias("neighbor"), F.col("r").alias("rn"), *[F.col(f"c{i}").alias(f"n{i}") for i in range(3)], *[F.col(c).alias(f"n_{c}") for c in CALIBRATION])
+    ra, rn = ([F.get(r, F.lit(i)) for i in range(9)] for r in ("ra", "rn"))
+    total = lambda terms: sum(terms[1:], terms[0])
+    m = [total([rn[3 * k + i] * ra[3 * k + j] for k in range(3)]).alias(f"m{i}{j}") for i in range(3) for j in range(3)]
+    apart = [F.col(f"a{k}") - F.col(f"n{k}") for k in range(3)]
+    t = [total([rn[3 * k + i] * apart[k] for k in range(3)]).alias(f"t{i}") for i in range(3)]
+    o = [(-total([ra[3 * k + i] * apart[k] for k in range(3)])).alias(f"o{i}") for i in range(3)]
+    return a.join(n, "neighbor").select("frame", "neighbor", *m, *t, *o, *[f"n_{c}" for c in CALIBRATION])
 
 
 def measure(
@@ -93,28 +97,26 @@ def measure(
     must agree in depth (relative), cycle (pixels), mean difference of the channels, and parallax (degrees). ``back``
     is the sample's depth in the point's own camera.
     """
-    rows = _with_camera(points, cameras, "frame", "a_").withColumn("neighbor", F.explode(F.array(*[F.col("frame") + o for o in OFFSETS])))
-    rows = _with_camera(rows, cameras, "neighbor", "n_")
-    ra, rn, ca, cn = _rotation("a_"), _rotation("n_"), _of("a_", CENTRE), _of("n_", CENTRE)
-    world = G.back_project(F.col("x"), F.col("y"), F.col("z"), *_of("a_", CALIBRATION), ra, ca)
-    rows = rows.withColumns(dict(zip(("w0", "w1", "w2"), world, strict=True)))
-    rows = rows.withColumns(dict(zip(("k0", "k1", "k2"), G.camera_point(*_of("w", ("0", "1", "2")), rn, cn), strict=True))).where("k2 > 0")
-    rows = rows.withColumn("pu", F.col("n_fx") * F.col("k0") / F.col("k2") + F.col("n_cx")).withColumn("pv", F.col("n_fy") * F.col("k1") / F.col("k2") + F.col("n_cy"))
-    rows = rows.where(F.col("pu").between(0, w - 1) & F.col("pv").between(0, h - 1))
-    rows = rows.withColumn("sx", F.rint("pu").cast("bigint")).withColumn("sy", F.rint("pv").cast("bigint"))
-    a, b = ([F.col(f"w{i}") - c[i] for i in range(3)] for c in (ca, cn))
-    dot = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
-    cosine = dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-    # The sample lies at its depth along a ray; ray and neighbour's centre in the point's camera are all the join has to carry.
-    zero = [F.lit(0.0)] * 3
-    ray = G.camera_point(*G.back_project(F.col("pu"), F.col("pv"), F.lit(1.0), *_of("n_", CALIBRATION), rn, zero), ra, zero)
-    origin = G.camera_point(*cn, ra, ca)
-    carried = [*points.columns, "neighbor", "sx", "sy", "k2", *(f"a_{c}" for c in CALIBRATION)]
-    named = [v.alias(f"{n}{i}") for n, vs in (("ray", ray), ("origin", origin)) for i, v in enumerate(vs)]
-    rows = rows.select(*carried, *named, cosine.alias("cosine"))
-    samples = pixels.where("depth > 0").select(F.col("frame").alias("neighbor"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("depth").alias("zn"), *[F.col(c).alias(f"{c}_n") for c in CHANNELS])
+    # Whatever depends on cameras alone lies below a join, so it is worked out once for each pair and not for each pixel.
+    rows = points.join(cameras.select("frame", *[F.col(c).alias(f"a_{c}") for c in CALIBRATION]), "frame")
+    rows = rows.withColumn("q0", (F.col("x") - F.col("a_cx")) / F.col("a_fx") * F.col("z")).withColumn("q1", (F.col("y") - F.col("a_cy")) / F.col("a_fy") * F.col("z"))
+    rows = rows.join(camera_pairs(cameras), "frame")
+    c = F.col
+    k = [c(f"m{i}0") * c("q0") + c(f"m{i}1") * c("q1") + c(f"m{i}2") * c("z") + c(f"t{i}") for i in range(3)]
+    rows = rows.withColumns({f"k{i}": v for i, v in enumerate(k)}).where("k2 > 0")
+    rows = rows.withColumn("pu", c("n_fx") * c("k0") / c("k2") + c("n_cx")).withColumn("pv", c("n_fy") * c("k1") / c("k2") + c("n_cy"))
+    rows = rows.where(c("pu").between(0, w - 1) & c("pv").between(0, h - 1))
+    # The sample lies at its depth along a ray of the neighbour; the ray and the neighbour's centre, both in the point's camera, go along.
+    u, v = (c("pu") - c("n_cx")) / c("n_fx"), (c("pv") - c("n_cy")) / c("n_fy")
+    ray = [(c(f"m0{i}") * u + c(f"m1{i}") * v + c(f"m2{i}")).alias(f"ray{i}") for i in range(3)]
+    length = lambda x, y, z: F.sqrt(c(x) * c(x) + c(y) * c(y) + c(z) * c(z))
+    along = sum(((c(f"k{i}") - c(f"t{i}")) * c(f"k{i}") for i in (1, 2)), (c("k0") - c("t0")) * c("k0"))
+    cosine = (along / (length("q0", "q1", "z") * length("k0", "k1", "k2"))).alias("cosine")
+    nearest = [F.rint("pu").cast("bigint").alias("sx"), F.rint("pv").cast("bigint").alias("sy")]
+    rows = rows.select(*points.columns, "neighbor", *nearest, "k2", cosine, *ray, "o0", "o1", "o2", *[f"a_{n}" for n in CALIBRATION])
+    samples = pixels.where("depth > 0").select(c("frame").alias("neighbor"), c("x").alias("sx"), c("y").alias("sy"), c("depth").alias("zn"), *[c(n).alias(f"{n}_n") for n in CHANNELS])
     rows = rows.join(samples, ["neighbor", "sx", "sy"])
-    rows = rows.withColumns({n: F.col(f"ray{i}") * F.col("zn") + F.col(f"origin{i}") for i, n in enumerate(("b0", "b1", "back"))})
+    rows = rows.withColumns({n: c(f"ray{i}") * c("zn") + c(f"o{i}") for i, n in enumerate(("b0", "b1", "back"))})
     off = F.hypot(F.col("a_fx") * F.col("b0") / F.col("back") + F.col("a_cx") - F.col("x"), F.col("a_fy") * F.col("b1") / F.col("back") + F.col("a_cy") - F.col("y"))
     rows = rows.withColumn("relative", F.abs(F.col("k2") - F.col("zn")) / F.col("zn")).withColumn("cycle", F.when(F.col("back") > 0, off))
     apart = sum((F.abs(F.col(c) - F.col(f"{c}_n")) for c in CHANNELS[1:]), F.abs(F.col(CHANNELS[0]) - F.col(f"{CHANNELS[0]}_n"))) / 3
