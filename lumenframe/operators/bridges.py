@@ -100,11 +100,12 @@ def recover_bridges(targets: dict[int, pd.DataFrame], k: np.ndarray | dict[int,
 def restored_tracks(landmarks: DataFrame, tracks: DataFrame, cameras: DataFrame, side: DataFrame, pixels: float = 3.0) -> DataFrame:
     """Track observations that fit their landmark in merged cameras; ``bridges`` marks tracks seen from both sides.
 
-    ``side(frame, anchor)`` says which part a camera came from.
+    ``side(frame, anchor)`` says which part a camera came from. Errors are compared to the billionth of a pixel, so an
+    error of just ``pixels`` is kept however its last digits fall.
     """
     rows = tracks.join(landmarks, "track").join(cameras, "frame").join(side, "frame")
     p = G.camera_point(F.col("x"), F.col("y"), F.col("z"), [F.get("r", F.lit(i)) for i in range(9)], [F.get("c", F.lit(i)) for i in range(3)])
     error = G.reprojection_error(p, *[F.col(c) for c in ("fx", "fy", "cx", "cy", "u", "v")])
-    kept = rows.withColumn("error", error).where(F.col("error") <= pixels)
+    kept = rows.withColumn("error", error).where(F.round("error", 9) <= pixels)
     both = kept.groupBy("track").agg((F.bool_or("anchor") & F.bool_or(~F.col("anchor"))).alias("bridges"))
     return kept.join(both, "track").select("track", "frame", "u", "v", "error", "bridges")

@@ -80,3 +80,12 @@ def test_turned_cameras_agree_on_a_plane(spark):
     assert dense.measure(grid.withColumn("z", grid["depth"] * 1.2), grid, cams, w, h).where("agree").count() == 0
     assert dense.measure(grid.withColumn("z", grid["depth"]), grid.withColumn("blue", grid["blue"] + 1), cams, w, h).where("agree").count() == 0
     assert dense.measure(grid.withColumn("z", grid["depth"]), grid, cams.where("frame = 0"), w, h).count() == 0
+
+
+def test_an_error_of_just_the_limit_is_kept(spark):
+    land = spark.createDataFrame([(t, 1.0 + t / 7, 0.0, 3.0 + t / 11) for t in range(60)], "track long, x double, y double, z double")
+    rows = [(t, 7, 507.0 * (1.0 + t / 7) / (3.0 + t / 11) + 320.0 + step, 240.0) for t in range(60) for step in (3 + 1e-11, 3.001)]
+    tracks = spark.createDataFrame(rows, "track long, frame long, u double, v double")
+    camera = spark.createDataFrame([(7, 507.0, 507.0, 320.0, 240.0, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [0.0, 0.0, 0.0])], "frame long, fx double, fy double, cx double, cy double, r array<double>, c array<double>")
+    kept = bridges.restored_tracks(land, tracks, camera, spark.createDataFrame([(7, True)], "frame long, anchor boolean")).collect()
+    assert sorted(r["track"] for r in kept) == list(range(60)) and any(r["error"] > 3 for r in kept)
