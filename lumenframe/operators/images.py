@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordered import percentiles
+from ..plans.scratch import saved
+
 #: Luma weights (fixed values).
 LUMA = np.array([0.299, 0.587, 0.114])
 
@@ -81,7 +84,8 @@ def strided_points(depth_frames: DataFrame, most: int = 2000) -> DataFrame:
 
 
 def display_fit(points: DataFrame) -> DataFrame:
-    """One row: the median centre of points and the radius that holds 95 % of them."""
-    centre = points.agg(*[F.percentile(c, 0.5).alias(f"m{c}") for c in "xyz"])
-    away = points.crossJoin(centre).select("mx", "my", "mz", F.sqrt(sum((F.pow(F.col(c) - F.col(f"m{c}"), 2) for c in "xyz"), F.lit(0.0))).alias("r"))  # one row
-    return away.groupBy("mx", "my", "mz").agg(F.percentile("r", 0.95).alias("radius"))
+    """One row: the median centre of points and the radius that holds 95 % of them; none of no points."""
+    centre = saved(percentiles(points, {f"m{c}": F.col(c) for c in "xyz"}, 0.5), "centre")
+    away = F.sqrt(sum((F.pow(F.col(c) - F.col(f"m{c}"), 2) for c in "xyz"), F.lit(0.0)))
+    radius = percentiles(points.crossJoin(F.broadcast(centre)), {"radius": away}, 0.95)  # one row
+    return points.limit(1).select().crossJoin(centre).crossJoin(radius)  # one row each

@@ -63,5 +63,24 @@ def previous(rows: DataFrame, value: Column, name: str, back: int = 1) -> DataFr
     return rows.withColumn(name, F.when(F.col("inner_value").isNotNull(), F.col("inner_value.previous_value")).otherwise(F.col("tail_value"))).drop("previous_rank", "previous_value", "inner_value", "tail_value")
 
 
+def percentiles(rows: DataFrame, asked: dict[str, Column], share: float) -> DataFrame:
+    """One row with the exact ``share`` quantile of each column, between two values as :func:`F.percentile` gives it.
+
+    F.percentile holds all distinct values in one task. Here they are counted, ordered in ranges, and the one or two at
+    the place are picked. Nulls don't count; of no values the quantile is null.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("of"), value.cast("double").alias("value")) for i, value in enumerate(asked.values())]))
+    counts = rows.select(pairs.alias("p")).select("p.*").where("value IS NOT NULL").groupBy("of", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = running(ordered(counts, "of", "value"), F.col("n"), F.sum, "upto")
+    sizes = counts.groupBy("of").agg(F.sum("n").alias("all"), F.max("upto").alias("end"))  # one row a column
+    at = (F.col("all") - 1) * F.lit(share)
+    sizes = sizes.select("of", (F.col("end") - F.col("all")).alias("begin"), at.alias("at"), F.floor(at).alias("low"), F.ceil(at).alias("high"))
+    held = counts.join(F.broadcast(sizes), "of").withColumns({"last": F.col("upto") - F.col("begin"), "first": F.col("upto") - F.col("begin") - F.col("n")})
+    held = held.where("first <= high AND last > low").groupBy("of", "at", "low", "high").agg(*[F.max(F.when((F.col("first") <= F.col(c)) & (F.col("last") > F.col(c)), F.col("value"))).alias(f"{c}_value") for c in ("low", "high")])
+    between = (F.col("high") - F.col("at")) * F.col("low_value") + (F.col("at") - F.col("low")) * F.col("high_value")
+    held = held.select("of", F.when(F.col("low_value") == F.col("high_value"), F.col("low_value")).otherwise(between).alias("value"))
+    return held.agg(*[F.max(F.when(F.col("of") == i, F.col("value"))).alias(name) for i, name in enumerate(asked)])
+
+
 def bare(rows: DataFrame) -> DataFrame:
     return rows.drop(PART, PLACE)

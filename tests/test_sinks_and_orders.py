@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe import hooks
-from lumenframe.operators import scan
-from lumenframe.plans.ordered import bare, ordered, previous, ranked, running
+from lumenframe.operators import images, scan
+from lumenframe.plans.ordered import bare, ordered, percentiles, previous, ranked, running
 from lumenframe.sinks import writers
 from lumenframe.sources import readers
 
@@ -119,3 +119,18 @@ def test_a_requested_frame_comes_without_others_of_its_tick(spark):
     assert {r["candidate"] for r in scan.requested_frames(frames, frames.where("feature_count % 9 = 3")).collect()} == {0, 2, 3}
     with pytest.raises(ValueError):
         scan.requested_frames(frames, spark.createDataFrame([(10, 2)], "ticks long, candidate long"))
+
+
+def test_percentiles_by_counts_equal_the_gathered_ones(spark):
+    rng = np.random.default_rng(2)
+    values = [(float(a), float(b) if b > 1 else None) for a, b in zip(rng.normal(size=301).round(1), rng.integers(0, 9, 301), strict=True)]
+    rows = spark.createDataFrame([*values, (float("nan"), None)], "a double, b double").repartition(5)
+    for share in (0.0, 0.02, 0.5, 0.95, 1.0):
+        want = rows.agg(F.percentile("a", share).alias("a"), F.percentile("b", share).alias("b")).first()
+        got = percentiles(rows, {"a": F.col("a"), "b": F.col("b")}, share)
+        assert repr(got.first()) == repr(want)
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert percentiles(rows.where("false"), {"a": F.col("a")}, 0.5).first()["a"] is None
+    points = rows.select(F.col("a").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    assert "percentile" not in images.display_fit(points)._jdf.queryExecution().optimizedPlan().toString()
+    assert images.display_fit(points.where("false")).count() == 0
