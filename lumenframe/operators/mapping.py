@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..options import require
+from ..plans.ordered import bare, ordered, ranked
+from ..plans.scratch import saved
 from .graph import connected_components
 
 
@@ -146,6 +152,21 @@ def validate_holdouts(holdouts: DataFrame, training: DataFrame, model: DataFrame
     return out.withColumn("accepted", (F.col("holdouts") < 5) | (F.col("passed") >= 0.75 * F.col("holdouts")))
 
 
+#: Cameras to a block: pairs of blocks are rows of their own, so a whole table's pairs spread over all tasks.
+BLOCK = 1024
+
+
+def _pairs_of_blocks(rows: DataFrame, below: bool = False) -> DataFrame:
+    """(q, t): every two blocks of rows of a table as arrays of structs, dealt out over the tasks; ``below``: only blocks up to q's own."""
+    dealt = ordered(rows, "frame")
+    blocks = max(1, -(-dealt.count() // BLOCK))
+    dealt = bare(ranked(dealt)).withColumn("b", F.floor(F.col("rank") / BLOCK).cast("int")).drop("rank")
+    packed = saved(dealt.groupBy("b").agg(F.collect_list(F.struct(*rows.columns)).alias("rows")), "blocks")
+    numbers = rows.sparkSession.range(blocks).select(F.col("id").cast("int").alias("qb"))
+    grid = numbers.withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("qb") if below else F.lit(blocks - 1))))
+    return grid.join(packed.select(F.col("b").alias("qb"), F.col("rows").alias("q")), "qb").join(packed.select(F.col("b").alias("tb"), F.col("rows").alias("t")), "tb").repartition(max(1, min(blocks * blocks, 192)), "qb", "tb").select("q", "t")
+
+
 def center_scale_votes(reference: DataFrame, local: DataFrame, floor_reference: float, floor_local: float) -> DataFrame:
     """(i, j, scale) for pairs j < i of shared cameras with enough displacement and like directions; windows hold at most a few dozen cameras."""
     both = reference.join(local.select("frame", *[F.col(f"c{k}").alias(f"l{k}") for k in range(3)]), "frame")
@@ -160,11 +181,22 @@ def center_scale_votes(reference: DataFrame, local: DataFrame, floor_reference:
 
 
 def rotation_costs(rotations: DataFrame) -> DataFrame:
-    """(frame, cost, medoid): summed angle to all others of a window; the least is the medoid, the first of equals."""
-    a = rotations.select("frame", F.col("r").alias("ra"))
-    b = rotations.select(F.col("r").alias("rb"))
-    angle = G.rotation_angle([F.col("ra")[k] for k in range(9)], [F.col("rb")[k] for k in range(9)])
-    costs = a.crossJoin(F.broadcast(b)).groupBy("frame").agg(F.round(F.sum(angle), 5).alias("cost"))  # one window's cameras
+    """(frame, cost, medoid): summed angle to all others; the least is the medoid, the first of equals. Blocks of cameras meet blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q, t in zip(batch["q"], batch["t"], strict=True):
+                a, b = np.array([r["r"] for r in q], float), np.array([r["r"] for r in t], float).T.copy()
+                sums = np.empty(len(a))
+                for i in range(len(a)):
+                    trace = a[i, 0] * b[0]
+                    for k in range(1, 9):  # the terms in the order of G.rotation_angle
+                        trace += a[i, k] * b[k]
+                    sums[i] = np.arccos(np.clip((trace - 1) / 2, -1, 1)).sum()
+                yield pd.DataFrame({"frame": [r["frame"] for r in q], "part": sums})
+
+    sums = _pairs_of_blocks(rotations.select("frame", "r")).mapInPandas(run, "frame long, part double")
+    costs = saved(sums.groupBy("frame").agg(F.round(F.sum("part"), 5).alias("cost")), "rotation-costs")
     best = costs.agg(F.min(F.struct("cost", "frame")).alias("b"))
     return costs.crossJoin(best).select("frame", "cost", (F.col("frame") == F.col("b.frame")).alias("medoid"))
 

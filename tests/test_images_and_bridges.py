@@ -89,3 +89,16 @@ def test_an_error_of_just_the_limit_is_kept(spark):
     camera = spark.createDataFrame([(7, 507.0, 507.0, 320.0, 240.0, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [0.0, 0.0, 0.0])], "frame long, fx double, fy double, cx double, cy double, r array<double>, c array<double>")
     kept = bridges.restored_tracks(land, tracks, camera, spark.createDataFrame([(7, True)], "frame long, anchor boolean")).collect()
     assert sorted(r["track"] for r in kept) == list(range(60)) and any(r["error"] > 3 for r in kept)
+
+
+def test_rotation_costs_by_blocks_equal_plain_ones(spark, monkeypatch):
+    from lumenframe.operators import mapping
+
+    monkeypatch.setattr(mapping, "BLOCK", 7)
+    rng = np.random.default_rng(8)
+    turns = [alignment._rodrigues(v) for v in rng.normal(size=(40, 3))]
+    rows = spark.createDataFrame([(i, [float(v) for v in r.ravel()]) for i, r in enumerate(turns)], "frame long, r array<double>")
+    costs = [sum(np.arccos(np.clip((np.trace(p.T @ q) - 1) / 2, -1, 1)) for q in turns) for p in turns]
+    found = {r["frame"]: (r["cost"], r["medoid"]) for r in mapping.rotation_costs(rows).collect()}
+    assert all(abs(found[i][0] - costs[i]) < 2e-5 for i in range(40)) and found[int(np.argmin(costs))][1]
+    assert mapping._pairs_of_blocks(rows).count() == 36
