@@ -168,16 +168,27 @@ def _pairs_of_blocks(rows: DataFrame, below: bool = False) -> DataFrame:
 
 
 def center_scale_votes(reference: DataFrame, local: DataFrame, floor_reference: float, floor_local: float) -> DataFrame:
-    """(i, j, scale) for pairs j < i of shared cameras with enough displacement and like directions; windows hold at most a few dozen cameras."""
+    """(i, j, scale) for pairs j < i of shared cameras with enough displacement and like directions; blocks of cameras meet blocks."""
+    names = [*[f"c{k}" for k in range(3)], *[f"l{k}" for k in range(3)]]
     both = reference.join(local.select("frame", *[F.col(f"c{k}").alias(f"l{k}") for k in range(3)]), "frame")
-    a = both.select(F.col("frame").alias("i"), *[F.col(f"c{k}").alias(f"a{k}") for k in range(3)], *[F.col(f"l{k}").alias(f"p{k}") for k in range(3)])
-    b = both.select(F.col("frame").alias("j"), *[F.col(f"c{k}").alias(f"b{k}") for k in range(3)], *[F.col(f"l{k}").alias(f"q{k}") for k in range(3)])
-    pairs = a.join(b, F.col("j") < F.col("i"))
-    t = [F.col(f"a{k}") - F.col(f"b{k}") for k in range(3)]
-    s = [F.col(f"p{k}") - F.col(f"q{k}") for k in range(3)]
-    tt, ss, st = (sum((x * y for x, y in zip(m, n, strict=True)), F.lit(0.0)) for m, n in ((t, t), (s, s), (s, t)))
-    pairs = pairs.select("i", "j", F.sqrt(tt).alias("tn"), F.sqrt(ss).alias("sn"), st.alias("dot")).where((F.col("tn") > floor_reference) & (F.col("sn") > floor_local))
-    return pairs.where(F.col("dot") / (F.col("sn") * F.col("tn")) >= 0.8).select("i", "j", (F.col("dot") / (F.col("sn") * F.col("sn"))).alias("scale"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q, t in zip(batch["q"], batch["t"], strict=True):
+                fq, ft = np.array([r["frame"] for r in q]), np.array([r["frame"] for r in t])
+                a, b = ([np.array([r[c] for r in rows], float) for c in names] for rows in (q, t))
+                found = []
+                for i in range(len(fq)):
+                    tt, ss, st = (sum(((a[m][i] - b[m]) * (a[n][i] - b[n]) for m, n in zip(x, y, strict=True)), np.zeros(len(ft))) for x, y in (((0, 1, 2), (0, 1, 2)), ((3, 4, 5), (3, 4, 5)), ((3, 4, 5), (0, 1, 2))))
+                    tn, sn = np.sqrt(tt), np.sqrt(ss)
+                    with np.errstate(all="ignore"):
+                        at = np.flatnonzero((ft < fq[i]) & (tn > floor_reference) & (sn > floor_local) & (st / (sn * tn) >= 0.8))
+                    found.append((np.full(len(at), fq[i]), ft[at], st[at] / (sn[at] * sn[at])))
+                    if sum(len(f[0]) for f in found) >= 100_000 or i == len(fq) - 1:
+                        yield pd.DataFrame(dict(zip(("i", "j", "scale"), (np.concatenate(c) for c in zip(*found, strict=True)), strict=True)))
+                        found = []
+
+    return _pairs_of_blocks(both.select("frame", *names), below=True).mapInPandas(run, "i long, j long, scale double")
 
 
 def rotation_costs(rotations: DataFrame) -> DataFrame:

@@ -102,3 +102,23 @@ def test_rotation_costs_by_blocks_equal_plain_ones(spark, monkeypatch):
     found = {r["frame"]: (r["cost"], r["medoid"]) for r in mapping.rotation_costs(rows).collect()}
     assert all(abs(found[i][0] - costs[i]) < 2e-5 for i in range(40)) and found[int(np.argmin(costs))][1]
     assert mapping._pairs_of_blocks(rows).count() == 36
+
+
+def test_pairs_of_cameras_by_blocks_equal_plain_ones(spark, monkeypatch):
+    from lumenframe.operators import mapping
+
+    monkeypatch.setattr(mapping, "BLOCK", 7)
+    rng = np.random.default_rng(8)
+    c = rng.uniform(-9, 9, (40, 3))
+    near = c * 0.5 + rng.normal(size=(40, 3)) * 0.8
+    frame = lambda v: spark.createDataFrame([(i * 3, *map(float, r)) for i, r in enumerate(v)], "frame long, c0 double, c1 double, c2 double")
+    got = {(r["i"], r["j"]): r["scale"] for r in mapping.center_scale_votes(frame(c), frame(near), 1.0, 0.5).collect()}
+    want = {}
+    for i in range(40):
+        for j in range(i):
+            t, s = c[i] - c[j], near[i] - near[j]
+            if (t @ t) ** 0.5 > 1 and (s @ s) ** 0.5 > 0.5 and s @ t / ((s @ s) ** 0.5 * (t @ t) ** 0.5) >= 0.8:
+                want[i * 3, j * 3] = s @ t / (s @ s)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    plan = mapping.center_scale_votes(frame(c), frame(near), 1.0, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan
