@@ -122,3 +122,19 @@ def test_pairs_of_cameras_by_blocks_equal_plain_ones(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     plan = mapping.center_scale_votes(frame(c), frame(near), 1.0, 0.5)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" in plan
+
+
+def test_many_matches_are_verified_in_parts(monkeypatch):
+    from lumenframe.operators import ransac
+
+    rng, sizes = np.random.default_rng(6), []
+    x = np.c_[rng.uniform(-2, 2, (9000, 2)), rng.uniform(5, 9, 9000)]
+    turn = alignment._rodrigues(np.array([0.02, 0.1, -0.03]))
+    y = x @ turn.T + (0.4, 0.1, -0.2)
+    a, b = (500 * p[:, :2] / p[:, 2:] + (320, 240) for p in (x, y))
+    b[::5] += 40
+    errors = ransac.errors
+    monkeypatch.setattr(ransac, "errors", lambda model, m, a, b: sizes.append(len(m) * len(a)) or errors(model, m, a, b))
+    name, n, *_, inside = ransac.verify(1, 2, a, b, (640, 480), (640, 480), hypotheses=250)
+    assert name == "fundamental" and 7200 <= n < 7600 and inside.sum() == n
+    assert max(sizes) <= 250 * ransac.MATCHES < 250 * len(a)
