@@ -49,13 +49,17 @@ def _possible(times: np.ndarray, spacing: float, k: int) -> int:
     return len(times)
 
 
+#: Targets of a block that are looked at first by a rough score, and how far that may be from the exact one (of unit vectors).
+LOOKED_AT, ROUGH = 24, 1e-9
+
+
 def loop_candidates(descriptors: DataFrame, neighbors: int = 4, *, each: int = 3, apart_frames: int = 32, apart_seconds: float = 10.0, spacing: float = 5.0, block: int = 512) -> DataFrame:
     """Pairs (source, target, score): each frame's best far frames by cosine, walked for spacing.
 
     A far frame is more than ``apart_frames`` (and ``neighbors``) frames and at least ``apart_seconds`` away; ``each`` are
     taken for a frame, ``spacing`` seconds apart from each other.
 
-    Blocks of queries meet blocks of targets in matrix products. Of a block, only targets that the whole walk could
+    Blocks of queries meet blocks of targets in matrix products, which choose whose scores are worked out exactly. Of a block, only targets that the whole walk could
     take are passed on (see :func:`_possible`), some for each query and block; the walk over those is the whole walk.
     """
     require(each >= 1 and apart_frames >= 0 and apart_seconds >= 0 and spacing > 0, "distances must not be negative, spacing and number positive")
@@ -64,29 +68,49 @@ def loop_candidates(descriptors: DataFrame, neighbors: int = 4, *, each: int = 3
     dealt = ordered(unit, "ts_s", "frame")
     blocks = max(1, -(-dealt.count() // block))
     dealt = bare(ranked(dealt)).withColumn("b", F.floor(F.col("rank") / block).cast("int")).drop("rank")
+    # A block is three flat arrays, which come to Python without an object for each number.
     packed = dealt.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("frame", "ts_s", "unit"))).alias("rows"))
-    left, right = packed.select(F.col("b").alias("qb"), F.col("rows").alias("q")), packed.select(F.col("b").alias("tb"), F.col("rows").alias("t"))
-    grid = left.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "tb")
+    packed = packed.select("b", F.col("rows.frame").alias("f"), F.col("rows.ts_s").alias("s"), F.flatten("rows.unit").alias("u"))
+    left, right = (packed.select(*[F.col(c).alias(f"{side}{c}") for c in "bfsu"]) for side in "qt")
+    grid = left.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "tb").select(*[f"{side}{c}" for side in "qt" for c in "fsu"])
     gap = max(neighbors, apart_frames)
 
+    def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(b))
+        for d in range(b.shape[1]):  # one fixed order of terms, so a score doesn't depend on the blocks
+            total += a[..., d] * b[:, d]
+        return total
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for q, t in zip(batch["q"], batch["t"], strict=True):
-                a, b = np.array([r["unit"] for r in q]), np.array([r["unit"] for r in t])
-                fq, ft = np.array([r["frame"] for r in q]), np.array([r["frame"] for r in t])
-                sq, st = np.array([r["ts_s"] for r in q]), np.array([r["ts_s"] for r in t])
-                scores = np.zeros((len(a), len(b)))
-                for d in range(a.shape[1]):  # one fixed order of terms, so a score doesn't depend on the blocks
-                    scores += a[:, d : d + 1] * b[:, d]
-                far = (np.abs(fq[:, None] - ft) > gap) & (np.abs(sq[:, None] - st) >= apart_seconds)
-                scores[~far] = -np.inf
-                out = []
-                for i in range(len(a)):
-                    at = np.lexsort((ft, -scores[i]))
-                    at = at[np.isfinite(scores[i, at])]
-                    at = at[: _possible(st[at], spacing, each)]
-                    out.append(pd.DataFrame({"query": fq[i], "frame": ft[at], "ts_s": st[at], "score": scores[i, at]}))
-                yield pd.concat(out)
+            for fq, sq, uq, ft, st, ut in batch.itertuples(index=False):
+                a, b = np.reshape(uq, (len(fq), -1)), np.reshape(ut, (len(ft), -1))
+                rough = a @ b.T
+                far = (np.abs(fq[:, None] - ft) > gap) & (np.abs(sq[:, None] - st) >= apart_seconds) & np.isfinite(rough)
+                rough[~far] = -np.inf
+                few = min(LOOKED_AT, len(ft))
+                bar = np.partition(rough, len(ft) - few, axis=1)[:, len(ft) - few]
+                i, j = np.nonzero(far & (rough >= bar[:, None] - 2 * ROUGH))
+                score = exact(a[i], b[j])
+                order = np.lexsort((ft[j], -score, i))
+                i, j, score = i[order], j[order], score[order]
+                ends = np.searchsorted(i, np.arange(len(fq) + 1))
+                rows, columns, scores = [], [], []
+                for k in range(len(fq)):
+                    at, value = j[ends[k] : ends[k + 1]], score[ends[k] : ends[k + 1]]
+                    sure = int((value >= bar[k] - ROUGH).sum())  # better than all that were not looked at
+                    n = _possible(st[at[:sure]], spacing, each)
+                    if n == sure and sure < far[k].sum():
+                        at = np.flatnonzero(far[k])
+                        value = exact(a[k], b[at])
+                        order = np.lexsort((ft[at], -value))
+                        at, value = at[order], value[order]
+                        n = _possible(st[at], spacing, each)
+                    rows.append(np.full(n, fq[k]))
+                    columns.append(at[:n])
+                    scores.append(value[:n])
+                at = np.concatenate(columns)
+                yield pd.DataFrame({"query": np.concatenate(rows), "frame": ft[at], "ts_s": st[at], "score": np.concatenate(scores)})
 
     best = grid.mapInPandas(run, "query long, frame long, ts_s double, score double")
     walks = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg_score"), "frame", "ts_s"))).alias("ranked"))

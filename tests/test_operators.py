@@ -300,3 +300,12 @@ def test_voxels_follow_the_median_scene_depth(spark):
     for wrong in (0.0, 2.0):
         with pytest.raises(ValueError):
             dense.voxel_width(depths, wrong)
+
+
+def test_few_looked_at_find_the_same_loops(spark, monkeypatch):
+    rows = [(i, float(i // 3), [float(math.cos(i % 7)), float(math.sin(i % 7)), float(i % 2)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "frame long, ts_s double, emb array<double>")
+    ask = lambda: sorted(map(tuple, retrieval.loop_candidates(df, apart_frames=4, apart_seconds=2.0, block=40).collect()))
+    whole = ask()
+    monkeypatch.setattr(retrieval, "LOOKED_AT", 1)
+    assert whole and ask() == whole
