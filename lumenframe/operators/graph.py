@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..options import require
 from ..plans.scratch import saved
@@ -20,8 +24,8 @@ from ..plans.spread import spread_join
 TOGETHER = 1_000_000
 
 
-def _united(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-    """(u, v) of the nodes that these edges join to a lesser one, the least they reach among these edges."""
+def _rooted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of these edges, the places of all ``u`` and then all ``v`` among them, and the place of the least node that each reaches."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = at[: len(u)], at[len(u) :]
     root = np.arange(len(nodes))
@@ -34,6 +38,12 @@ def _united(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
         np.minimum.at(root, np.maximum(left, right), np.minimum(left, right))
         while (root != root[root]).any():
             root = root[root]
+    return nodes, at, root
+
+
+def _united(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+    """(u, v) of the nodes that these edges join to a lesser one, the least they reach among these edges."""
+    nodes, _, root = _rooted(u, v)
     moved = np.flatnonzero(root != np.arange(len(nodes)))
     return pd.DataFrame({"u": nodes[moved], "v": nodes[root[moved]]})
 
@@ -143,16 +153,116 @@ def join_by_rounds(edges: DataFrame) -> DataFrame:
     return members.select("node.frame", "node.kp", F.col("head.frame").alias("head_frame"), F.col("head.kp").alias("head_kp"))
 
 
-def build_tracks(edges: DataFrame, minimum_views: int = 3) -> DataFrame:
-    """Observations (track, frame, kp) of tracks with enough views; a track is numbered by its least observation.
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges with the least node of their component among up to TOGETHER edges, and which ends first name a node there."""
+    held, rows = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows and (batch is None or rows >= TOGETHER):
+            edges = pa.Table.from_batches(held)
+            nodes, at, root = _rooted(edges["u"].to_numpy(), edges["v"].to_numpy())
+            named = np.zeros(2 * rows, bool)
+            seen = np.empty(len(nodes), np.int64)
+            seen[at] = np.arange(2 * rows)
+            named[seen] = True
+            edges = edges.append_column("label", pa.array(nodes[root[at[:rows]]])).append_column("names_u", pa.array(named[:rows])).append_column("names_v", pa.array(named[rows:]))
+            yield from edges.to_batches(max_chunksize=50_000)
+            held, rows = [], 0
+
+
+#: Rows of two numbers that a join sends to all executors.
+SENT = 2_000_000
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, count: int, how: str = "inner") -> DataFrame:
+    return rows.join(F.broadcast(table) if count <= SENT else table, key, how)
+
+
+def _join_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """:func:`join_constrained` for many small components at a time, which come one after the other; they don't meet."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            whole = int(held["root"].searchsorted(held["root"].iloc[-1])) if len(held) else 0
+        else:
+            whole = 0 if held is None else len(held)
+        if whole and (batch is None or whole >= JOINED // 4):
+            yield join_constrained(held.iloc[:whole])
+            held = held.iloc[whole:]
+
+
+class _Parts(NamedTuple):
+    """Components of edges: (frame, kp, root) of all nodes; (root, n, frames, head_frame, head_kp) of components; edges
+    with their root; the edges of components that a conflict touches; and how their nodes were joined."""
+
+    members: DataFrame
+    components: DataFrame
+    edges: DataFrame
+    clashing: DataFrame
+    joined: DataFrame
+
 
-    Joining never leaves an unconstrained component, so components are found first, distributed; a component that
-    no conflict touches (each frame once) is a track as it stands, and only the others are joined edge by edge: small
-    ones each in one task, large ones by rounds.
+def _parts(edges: DataFrame) -> _Parts:
+    """Joining never leaves an unconstrained component, so components are found first, distributed.
+
+    Each task labels up to TOGETHER of its edges with their component among those, which is the whole component where
+    edges of a track arrive together. Only nodes with several labels tie labels to each other, so what goes through
+    :func:`connected_components` is the labels that are split between tasks. A component that no conflict touches (each
+    frame once) is a track as it stands, and only the others are joined edge by edge: small ones many to a task, large
+    ones by rounds.
     """
-    tracks = joined_tracks(edges)
-    views = tracks.groupBy("head_frame", "head_kp").agg(F.count(F.lit(1)).alias("views")).where(F.col("views") >= minimum_views)
-    return tracks.join(views, ["head_frame", "head_kp"])
+    keyed = edges.select("*", F.xxhash64("fa", "ka").alias("u"), F.xxhash64("fb", "kb").alias("v"))
+    schema = T.StructType([*keyed.schema.fields, T.StructField("label", T.LongType()), T.StructField("names_u", T.BooleanType()), T.StructField("names_v", T.BooleanType())])
+    keyed = saved(keyed.mapInArrow(_labelled, schema), "track-edges")
+    ends = keyed.where("names_u").select(F.col("u").alias("node"), F.col("fa").alias("frame"), F.col("ka").alias("kp"), "label")
+    ends = ends.unionAll(keyed.where("names_v").select("v", "fb", "kb", "label"))
+    nodes = ends.groupBy("node").agg(F.min("label").alias("label"), F.max("label").alias("other"), F.first("frame").alias("frame"), F.first("kp").alias("kp"))
+    nodes = saved(nodes, "track-nodes")
+    split = nodes.where("label <> other").select("node", F.col("label").alias("least"))
+    ties = _looked_up(ends.select("node", "label"), split, "node", split.count()).where("label <> least")
+    roots = saved(connected_components(ties.select(F.col("label").alias("u"), F.col("least").alias("v")).distinct()).withColumnRenamed("node", "label"), "track-roots")
+    ties_of = roots.count()
+    rooted = lambda df: _looked_up(df, roots, "label", ties_of, "left").withColumn("root", F.coalesce("root", "label"))
+    members = rooted(nodes.select("label", "frame", "kp")).select("frame", "kp", "root")
+    by_frame = members.groupBy("root", "frame").agg(F.count(F.lit(1)).alias("n"), F.min("kp").alias("kp"))
+    components = by_frame.groupBy("root").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("frames"), F.min("frame").alias("head_frame"), F.min_by("kp", "frame").alias("head_kp"))
+    components = saved(components, "track-components")
+    touched = components.where("n <> frames").select("root")
+    placed = rooted(keyed).select("root", *edges.columns)
+    clashing = saved(_looked_up(placed, touched, "root", touched.count(), "left_semi"), "track-clashes")
+    columns = ["root", "fa", "ka", "fb", "kb", "confidence", "is_loop"]
+    large = clashing.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > JOINED).select("root")
+    small = clashing.select(*columns).join(large, "root", "left_anti").repartition("root").sortWithinPartitions("root")
+    joined = small.mapInPandas(_join_parts, "frame long, kp long, head_frame long, head_kp long")
+    if large.take(1):
+        joined = joined.unionByName(join_by_rounds(clashing.select(*columns).join(large, "root", "left_semi").drop("root")))
+    return _Parts(members, components, placed, clashing, saved(joined, "track-joined"))
+
+
+def _counted(joined: DataFrame) -> DataFrame:
+    return joined.groupBy("head_frame", "head_kp").agg(F.count(F.lit(1)).alias("views"))
+
+
+def _views(parts: _Parts, minimum: int) -> DataFrame:
+    clean = parts.components.where("n = frames").select("head_frame", "head_kp", F.col("n").alias("views"))
+    return clean.unionAll(_counted(parts.joined)).where(F.col("views") >= minimum)
+
+
+def track_views(edges: DataFrame, minimum_views: int = 3) -> DataFrame:
+    """(head_frame, head_kp, views) of the tracks of :func:`build_tracks`, without their observations."""
+    return _views(_parts(edges), minimum_views)
+
+
+def build_tracks(edges: DataFrame, minimum_views: int = 3) -> DataFrame:
+    """Observations (track, frame, kp) of tracks with enough views; a track is numbered by its least observation."""
+    parts = _parts(edges)
+    columns = ["head_frame", "head_kp", "frame", "kp", "views"]
+    clean = parts.components.where("n = frames").withColumn("views", F.col("n")).where(F.col("views") >= minimum_views)
+    long = _counted(parts.joined).where(F.col("views") >= minimum_views)
+    return parts.members.join(clean, "root").select(*columns).unionAll(parts.joined.join(long, ["head_frame", "head_kp"]).select(*columns))
 
 
 def rejected_edges(edges: DataFrame, joined: DataFrame) -> DataFrame:
@@ -163,23 +273,9 @@ def rejected_edges(edges: DataFrame, joined: DataFrame) -> DataFrame:
 
 def joined_tracks(edges: DataFrame) -> DataFrame:
     """(frame, kp, head_frame, head_kp) of all keypoints that edges touch, before short tracks go."""
-    node = lambda f, k: F.struct(F.col(f).alias("frame"), F.col(k).alias("kp"))
-    keyed = edges.select("*", F.xxhash64("fa", "ka").alias("u"), F.xxhash64("fb", "kb").alias("v"))
-    keyed = saved(keyed, "track-edges")
-    roots = saved(connected_components(keyed.select("u", "v")), "track-roots")
-    nodes = keyed.select(F.col("u").alias("node"), node("fa", "ka").alias("o")).union(keyed.select("v", node("fb", "kb"))).distinct()
-    members = nodes.join(roots, "node")
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o.frame").alias("frames"), F.min("o").alias("head"))
-    clean = members.join(sizes.where("n = frames"), "root").select(F.col("o.frame").alias("frame"), F.col("o.kp").alias("kp"), F.col("head.frame").alias("head_frame"), F.col("head.kp").alias("head_kp"))
-    clashing = keyed.join(roots.select(F.col("node").alias("u"), "root"), "u").join(sizes.where("n <> frames").select("root"), "root", "left_semi")
-    columns = ["root", "fa", "ka", "fb", "kb", "confidence", "is_loop"]
-    clashing = saved(clashing.select(*columns), "track-clashes")
-    large = clashing.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > JOINED).select("root")
-    small = clashing.join(large, "root", "left_anti")
-    joined = small.groupBy("root").applyInPandas(lambda pdf: join_constrained(pdf), "frame long, kp long, head_frame long, head_kp long")
-    if large.take(1):
-        joined = joined.unionByName(join_by_rounds(clashing.join(large, "root", "left_semi").drop("root")))
-    return clean.unionByName(joined)
+    parts = _parts(edges)
+    clean = parts.members.join(parts.components.where("n = frames"), "root").select("frame", "kp", "head_frame", "head_kp")
+    return clean.unionByName(parts.joined)
 
 
 def summary(candidates: DataFrame, matches: DataFrame, verified: DataFrame, corroborated: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import camera_point
@@ -31,19 +32,28 @@ def v_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def v_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("track"), (F.col("l_suppkey") % 100).alias("frame"), "l_extendedprice", "l_quantity")
+def _observed(lineitem: DataFrame) -> DataFrame:
+    rows = lineitem.select(F.col("l_partkey").alias("track"), (F.col("l_suppkey") % 100).alias("frame"), "l_extendedprice", "l_quantity")
     return rows.groupBy("track", "frame").agg(F.min("l_extendedprice").alias("u"), F.min("l_quantity").alias("v"))
 
 
+def v_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _observed(table(spark, sf_dir, "lineitem"))
+
+
 def v_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Band self-join over the four following frames: offsets are spread on one side, so it stays an equi-join."""
-    obs = v_obs(spark, sf_dir)
-    a = obs.select("track", F.col("frame").alias("source"), F.col("u").alias("au"), F.col("v").alias("av"))
-    a = a.withColumn("target", F.explode(F.sequence(F.col("source") + 1, F.col("source") + 4)))
-    b = obs.select("track", F.col("frame").alias("target"), F.col("u").alias("bu"), F.col("v").alias("bv"))
+    """Band self-join over the four following frames: a track's observations in order, each with the next four.
+
+    A track has one observation a frame, so no more than four lie within the band. Rows move once, by track, and
+    the matches of a track stay side by side.
+    """
+    lineitem = table(spark, sf_dir, "lineitem").where("l_partkey IS NOT NULL AND l_suppkey IS NOT NULL")
+    following = W.partitionBy("track").orderBy("source")
+    obs = _observed(lineitem.repartition("l_partkey")).select("track", F.col("frame").alias("source"), F.col("u").alias("au"), F.col("v").alias("av"))
+    b = F.struct(F.col("source").alias("target"), F.col("au").alias("bu"), F.col("av").alias("bv"))
+    both = obs.withColumn("next", F.array(*[F.lead(b, k).over(following) for k in range(1, 5)])).withColumn("b", F.explode("next")).where("b.target <= source + 4").select("track", "source", "au", "av", "b.*")
     gap = F.abs(F.col("av") - F.col("bv"))
-    return a.join(b, ["track", "target"]).select(
+    return both.select(
         "source",
         "target",
         F.col("track").alias("source_feature"),

@@ -309,3 +309,26 @@ def test_few_looked_at_find_the_same_loops(spark, monkeypatch):
     whole = ask()
     monkeypatch.setattr(retrieval, "LOOKED_AT", 1)
     assert whole and ask() == whole
+
+
+def _ladder():
+    """Edges of 200 tracks of five frames in the order of the tracks, then weak ones that join neighbours, every third in conflict."""
+    rows = [(f + 5 * (t % 3 > 0) * (t % 2), t, f + 1 + 5 * (t % 3 > 0) * (t % 2), t, 0.9, False) for t in range(200) for f in range(4)]
+    weak = [(0, t, 5 * ((t + 1) % 3 > 0), t + 1, 0.0, True) for t in range(0, 200, 2)]
+    return pd.DataFrame(rows + weak, columns=["fa", "ka", "fb", "kb", "confidence", "is_loop"])
+
+
+def test_tracks_that_arrive_together_need_no_rounds(spark, monkeypatch):
+    asked = []
+    plain = graph.connected_components
+    monkeypatch.setattr(graph, "connected_components", lambda edges: asked.append(edges.count()) or plain(edges))
+    pdf = _ladder()
+    df = spark.createDataFrame(pdf, "fa long, ka long, fb long, kb long, confidence double, is_loop boolean")
+    want = graph.join_constrained(pdf)
+    assert {tuple(r) for r in graph.joined_tracks(df).collect()} == set(map(tuple, want.itertuples(index=False)))
+    views = want.groupby(["head_frame", "head_kp"]).size().reset_index()
+    assert sorted(views[0].unique()) == [5, 10]
+    assert {tuple(r) for r in graph.track_views(df, 6).collect()} == set(map(tuple, views[views[0] >= 6].itertuples(index=False)))
+    assert max(asked) <= 220  # two for each weak edge and some where a partition ends, of 900 edges
+    apart = df.repartition(7, "fa", "ka", "fb")
+    assert {tuple(r) for r in graph.joined_tracks(apart).collect()} == set(map(tuple, want.itertuples(index=False)))
