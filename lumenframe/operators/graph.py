@@ -271,6 +271,12 @@ def rejected_edges(edges: DataFrame, joined: DataFrame) -> DataFrame:
     return edges.join(ends[0], ["fa", "ka"]).join(ends[1], ["fb", "kb"]).where("ha <> hb").drop("ha", "hb")
 
 
+def conflicting_edges(edges: DataFrame) -> DataFrame:
+    """What :func:`rejected_edges` gives for ``edges`` and their own joined tracks, looked for only where a conflict is."""
+    parts = _parts(edges)
+    return rejected_edges(parts.clashing.drop("root"), parts.joined).select(*edges.columns)
+
+
 def joined_tracks(edges: DataFrame) -> DataFrame:
     """(frame, kp, head_frame, head_kp) of all keypoints that edges touch, before short tracks go."""
     parts = _parts(edges)

@@ -332,3 +332,15 @@ def test_tracks_that_arrive_together_need_no_rounds(spark, monkeypatch):
     assert max(asked) <= 220  # two for each weak edge and some where a partition ends, of 900 edges
     apart = df.repartition(7, "fa", "ka", "fb")
     assert {tuple(r) for r in graph.joined_tracks(apart).collect()} == set(map(tuple, want.itertuples(index=False)))
+
+
+def test_rejected_edges_are_looked_for_where_a_conflict_is(spark, monkeypatch):
+    looked = []
+    plain = graph.rejected_edges
+    monkeypatch.setattr(graph, "rejected_edges", lambda edges, joined: looked.append((edges.count(), joined.count())) or plain(edges, joined))
+    pdf = _ladder()
+    df = spark.createDataFrame(pdf, "fa long, ka long, fb long, kb long, confidence double, is_loop boolean")
+    head = {(f, k): (a, b) for f, k, a, b in graph.join_constrained(pdf).itertuples(index=False)}
+    want = sorted(r for r in pdf.itertuples(index=False, name=None) if head[r[0], r[1]] != head[r[2], r[3]])
+    assert want and sorted(map(tuple, graph.conflicting_edges(df).collect())) == want
+    assert looked == [(9 * len(want), 10 * len(want))]  # a weak edge and its two tracks, of 900 edges
