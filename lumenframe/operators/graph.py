@@ -290,15 +290,25 @@ def summary(candidates: DataFrame, matches: DataFrame, verified: DataFrame, corr
     ``candidates`` and ``corroborated`` are loop pairs, ``verified`` all verified pairs with their ``pair_kind``, and
     ``edges`` what tracks are built from, with ``is_loop``.
     """
-    edges = saved(edges, "summary-edges")
-    joined, temporal = saved(joined_tracks(edges), "summary-joined"), joined_tracks(edges.where(~F.col("is_loop")))
-    enough = lambda tracks: tracks.groupBy("head_frame", "head_kp").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    tracks = saved(enough(joined), "summary-tracks")
-    loops = loop_links(edges, joined.join(tracks, ["head_frame", "head_kp"], "left_semi")).select("head_frame", "head_kp").distinct()
+    whole = _parts(edges)
+    clean, long = whole.components.where("n = frames"), _counted(whole.joined).where("views >= 3")
+    looped = saved(whole.edges.where("is_loop").select("root").distinct(), "summary-looped")
+    asked = looped.count()
+    # Without loop edges nothing changes in a component that holds none and that no conflict touches.
+    same = _looked_up(clean.where("n >= 3"), looped, "root", asked, "left_anti")
+    changed = saved(looped.union(whole.components.where("n <> frames").select("root")).distinct(), "summary-changed")
+    temporal = _looked_up(whole.edges, changed, "root", changed.count(), "left_semi").where(~F.col("is_loop")).select(*edges.columns)
+    temporal = _views(_parts(temporal), 3)
+    looped_clean = _looked_up(clean.where("n >= 3"), looped, "root", asked, "left_semi")
+    looped_joined = loop_links(whole.clashing, whole.joined.join(long, ["head_frame", "head_kp"], "left_semi"))
+    heads = ["head_frame", "head_kp"]
+    loops = looped_clean.select(*heads).unionAll(looped_joined.select(*heads).distinct())
+    tracks = _views(whole, 3)
+    found = same.select(*heads).unionAll(temporal.select(*heads))
     frames = connected_components(verified.select(F.col("source").alias("u"), F.col("target").alias("v")))
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     rows = [
-        count(verified, "verified_pairs"), count(edges, "match_edges"), count(rejected_edges(edges, joined), "conflicting_edges"), count(tracks, "tracks"), count(enough(temporal), "temporal_tracks"),
+        count(verified, "verified_pairs"), count(edges, "match_edges"), count(rejected_edges(whole.clashing, whole.joined), "conflicting_edges"), count(tracks, "tracks"), count(found, "temporal_tracks"),
         count(candidates, "loop_candidates"), count(verified.where("pair_kind = 'loop'"), "verified_loops"), count(corroborated, "corroborated_loops"), count(loops, "loop_tracks"),
         count(frames.select("root").distinct(), "components"), count(matches.select("source", "target").distinct(), "matched_pairs"),
     ]

@@ -344,3 +344,21 @@ def test_rejected_edges_are_looked_for_where_a_conflict_is(spark, monkeypatch):
     want = sorted(r for r in pdf.itertuples(index=False, name=None) if head[r[0], r[1]] != head[r[2], r[3]])
     assert want and sorted(map(tuple, graph.conflicting_edges(df).collect())) == want
     assert looked == [(9 * len(want), 10 * len(want))]  # a weak edge and its two tracks, of 900 edges
+
+
+def test_a_summary_joins_anew_only_what_loop_edges_touch(spark, monkeypatch):
+    asked = []
+    plain = graph._parts
+    monkeypatch.setattr(graph, "_parts", lambda edges: asked.append(edges.count()) or plain(edges))
+    pdf = _ladder().query("not is_loop or fb > 0 or ka < 100")
+    df = spark.createDataFrame(pdf, "fa long, ka long, fb long, kb long, confidence double, is_loop boolean")
+    pairs = df.select(F.col("fa").alias("source"), F.col("fb").alias("target")).distinct()
+    verified = pairs.select("*", F.lit("temporal").alias("pair_kind"))
+    got = graph.summary(pairs.limit(0), df.select(F.col("fa").alias("source"), F.col("fb").alias("target")), verified, pairs.limit(0), df).first()
+    size = lambda rows: graph.join_constrained(rows).groupby(["head_frame", "head_kp"]).size()
+    of = {(f, k): (a, b) for f, k, a, b in graph.join_constrained(pdf).itertuples(index=False)}
+    loops = pdf[pdf.is_loop]
+    kept = {of[r.fa, r.ka] for r in loops.itertuples() if of[r.fa, r.ka] == of[r.fb, r.kb]}
+    assert (got["match_edges"], got["tracks"], got["temporal_tracks"]) == (len(pdf), (size(pdf) >= 3).sum(), (size(pdf[~pdf.is_loop]) >= 3).sum())
+    assert (got["loop_tracks"], got["conflicting_edges"]) == (len(kept), len(loops) - sum(of[r.fa, r.ka] == of[r.fb, r.kb] for r in loops.itertuples()))
+    assert asked == [len(pdf), 8 * len(loops)]  # the second time the edges of the tracks that a loop edge touches, of 800
